@@ -7,6 +7,6 @@ function (``functions``) or a ``DataFrame -> DataFrame`` function
 readers, sinks and the derived test fixtures, ``streaming`` the incremental job.
 """
 
-from offerlake.session import configure, get_session, scratch_path
+from offerlake.session import configure, get_session, materialize, scratch_path
 
-__all__ = ["configure", "get_session", "scratch_path"]
+__all__ = ["configure", "get_session", "materialize", "scratch_path"]

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.session import materialize
+
 RUN_KEYS = ("source", "run_id")
 NO_STOP = 2**31 - 1
 # Width of a block of consecutive page numbers / cursors for running totals.
@@ -126,7 +128,8 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
     step = F.coalesce(F.col("items_count"), F.lit(default_step)).cast("bigint")
     p = (pages.where(F.col("cursor") >= start_cursor)
               .withColumn("expected_next", F.coalesce(F.col("next_cursor"), F.col("cursor") + step)))
-    keys = p.select(*part, "cursor", "expected_next")
+    # page keys are narrow (three numbers a page): stored once, read by every branch below
+    keys = materialize(p.select(*part, "cursor", "expected_next"))
     pointed = keys.select(*part, F.col("expected_next").alias("cursor")).distinct()
     on_chain = keys.join(pointed, part + ["cursor"], "left_semi").unionByName(
         keys.where(F.col("cursor") == start_cursor))
@@ -143,7 +146,7 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
                                    block_width=PAGE_BLOCK * max(default_step, 1))
     if max_pages is not None:
         numbered = numbered.where(F.col("page") <= max_pages)
-    numbered = numbered.withColumn("page", F.col("page").cast("int")).drop("_one")
+    numbered = materialize(numbered.withColumn("page", F.col("page").cast("int")).drop("_one"))
     if max_pages is not None and max_pages <= BROADCAST_MAX_PAGES:
         numbered = F.broadcast(numbered)
     return p.drop("page").join(numbered, part + ["cursor"], "inner")

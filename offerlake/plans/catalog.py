@@ -25,7 +25,7 @@ from offerlake.operators.extract import explode_postings, locate_data_list, loca
 from offerlake.operators.paging import cursor_chain, page_range
 from offerlake.plans.ingest import plan_run, plan_sources
 from offerlake.session import configure, scratch_path
-from offerlake.sources.fixtures import fixture_a, fixture_b, fixture_c, table
+from offerlake.sources.fixtures import landed, table
 from offerlake.sources.store import append_records, stored_ids
 from offerlake.sources.tables import RAW_POSTINGS, SOURCE_A, SOURCE_B
 
@@ -35,11 +35,11 @@ UNLIMITED = 10**9
 
 
 def _a_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_postings(locate_postings(fixture_a(spark, sf)), ["source", "run_id", "page"])
+    return explode_postings(locate_postings(landed(spark, sf, "a")), ["source", "run_id", "page"])
 
 
 def _b_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_postings(locate_data_list(fixture_b(spark, sf)), ["source", "run_id", "cursor"])
+    return explode_postings(locate_data_list(landed(spark, sf, "b")), ["source", "run_id", "cursor"])
 
 
 def _id(col: str = "v") -> F.Column:
@@ -67,7 +67,7 @@ def q_locate_data_list(spark, sf):
 
 def q_cursor_chain(spark, sf):
     """E5 L4: the cursor chain, numbered from 1."""
-    pages = cursor_chain(locate_data_list(fixture_b(spark, sf)), start_cursor=0, max_pages=None,
+    pages = cursor_chain(locate_data_list(landed(spark, sf, "b")), start_cursor=0, max_pages=None,
                          default_step=100)
     return pages.select(_big("page"), "cursor", F.col("next_cursor").alias("api_next"),
                         F.col("expected_next").alias("next_cursor"))
@@ -102,7 +102,7 @@ def q_since_window(spark, sf):
 
 def q_page_range(spark, sf):
     """Pages 5 … 504 of the run."""
-    pages = page_range(fixture_a(spark, sf), start_page=5, max_pages=500)
+    pages = page_range(landed(spark, sf, "a"), start_page=5, max_pages=500)
     return explode_postings(locate_postings(pages), ["page"]).select(_big("page"), _big("pos"), _id().alias("id"))
 
 
@@ -180,13 +180,13 @@ def q_skip_existing(spark, sf):
 def q_enrich_details(spark, sf):
     """Every posting left-joined to its latest detail document."""
     p = _a_postings(spark, sf).withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
-    out = attach_details(p, fixture_c(spark, sf), SOURCE_A)
+    out = attach_details(p, landed(spark, sf, "c"), SOURCE_A)
     return out.select(_id().alias("id"), F.col("details").isNotNull().alias("has_details"))
 
 
 def q_detail_sections(spark, sf):
     """Sections of every detail document, both layouts."""
-    d = fixture_c(spark, sf).withColumn("s", extract_sections(F.col("body")))
+    d = landed(spark, sf, "c").withColumn("s", extract_sections(F.col("body")))
     return d.select("job_slug", F.array_join("s.must_have", "|").alias("must_have"),
                     F.col("s.requirements_description").alias("requirements_description"),
                     F.col("s.offer_description").alias("offer_description"))
@@ -203,7 +203,7 @@ def q_strip_html(spark, sf):
 def _run_b(spark, sf, **kw):
     args = dict(source=SOURCE_B, run_id="fb", max_pages=UNLIMITED, ingest_date=RUN_DATE, ingested_at=STAMP)
     args.update(kw)
-    return plan_run(spark, fixture_b(spark, sf), **args)
+    return plan_run(spark, landed(spark, sf, "b"), **args)
 
 
 def q_empty_page_stop(spark, sf):
@@ -240,8 +240,8 @@ def q_ingest_run(spark, sf):
 
 def q_ingest_run_a(spark, sf):
     """L5 on source A: details joined and sectioned, target count 1000."""
-    plan = plan_run(spark, fixture_a(spark, sf), source=SOURCE_A, run_id="fa", max_pages=UNLIMITED,
-                    ingest_date=RUN_DATE, ingested_at=STAMP, target_count=1000, details=fixture_c(spark, sf))
+    plan = plan_run(spark, landed(spark, sf, "a"), source=SOURCE_A, run_id="fa", max_pages=UNLIMITED,
+                    ingest_date=RUN_DATE, ingested_at=STAMP, target_count=1000, details=landed(spark, sf, "c"))
     r = plan.records
     return r.select("source_id", _big("page"), F.array_join("sections.must_have", "|").alias("must_have"),
                     F.col("sections.requirements_description").alias("requirements_description"),
@@ -250,8 +250,8 @@ def q_ingest_run_a(spark, sf):
 
 def q_run_summary(spark, sf):
     """Both sources in one frame, records counted per source."""
-    landed = fixture_a(spark, sf).unionByName(fixture_b(spark, sf))
-    recs = plan_sources(spark, landed, [dict(source=SOURCE_A, run_id="fa"), dict(source=SOURCE_B, run_id="fb")],
+    both = landed(spark, sf, "a").unionByName(landed(spark, sf, "b"))
+    recs = plan_sources(spark, both, [dict(source=SOURCE_A, run_id="fa"), dict(source=SOURCE_B, run_id="fb")],
                         max_pages=UNLIMITED, ingest_date=RUN_DATE, ingested_at=STAMP)
     return count_written(recs).select("source", F.col("written").cast("bigint").alias("written"))
 
@@ -261,7 +261,7 @@ def q_stream_ingest(spark, sf):
     from offerlake.streaming.ingest import run_stream_available_now
 
     landed_dir = scratch_path(spark, "landed-a")
-    fixture_a(spark, sf).repartition(4).write.parquet(landed_dir)
+    landed(spark, sf, "a").repartition(4).write.parquet(landed_dir)  # several files: several micro-batches
     store = scratch_path(spark, "store-stream")
     run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1)
     from offerlake.sources.store import read_store

@@ -30,6 +30,7 @@ from offerlake.operators.details import attach_details
 from offerlake.operators.extract import locate_data_list, locate_postings
 from offerlake.operators.paging import (RUN_KEYS, contiguous_end, cursor_chain, page_range, run_stops,
                                         target_stop)
+from offerlake.session import materialize
 from offerlake.sources.store import append_records, stored_ids
 from offerlake.sources.tables import (DEFAULT_PAGE_SIZE_A, DEFAULT_PAGE_SIZE_B, MAX_ITEMS_B, RAW_POSTINGS,
                                       SOURCE_A, SOURCE_B)
@@ -96,8 +97,8 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
     if source == SOURCE_A:
         stops = (stops.join(contiguous_end(pages, start_page), list(RUN_KEYS), "left")
                  .withColumn("last_page", F.least("last_page", "contiguous_last")).drop("contiguous_last"))
-    # one row per run: a bounded broadcast
-    stops = F.broadcast(stops)
+    # one row per run: stored once (it needs a pass over the pages) and broadcast
+    stops = F.broadcast(materialize(stops))
     quarantine = (pages.join(stops, list(RUN_KEYS), "inner")
                   .where((F.col("page") == F.col("first_bad_page"))
                          & (F.col("first_bad_page") == F.col("last_page") + 1))

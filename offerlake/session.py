@@ -77,3 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in root:
         os.makedirs(root, exist_ok=True)
     return f"{root}/offerlake/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage by a reliable checkpoint into the shared checkpoint folder.
+
+    Used for narrow, small intermediates (page keys, per-run stops) that
+    several branches of a plan read: the plan then starts from a stored leaf
+    instead of repeating the upstream work in every branch.  Reliable
+    checkpoints survive executor loss (never ``localCheckpoint``)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -161,3 +161,21 @@ def fixture_c(spark: SparkSession, sf_dir: str, fetched_at: dt.datetime = FIXTUR
         _ts_lit(fetched_at).alias("fetched_at"),
         F.when(F.col("l_orderkey") % 4 == 0, legacy).otherwise(modern).alias("body"),
         F.lit(None).cast("string").alias("error"))
+
+
+_LANDED: dict[tuple, str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """A fixture written once per session as a Parquet table under the shared
+    checkpoint folder, then scanned like any landed table."""
+    from offerlake.session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
+    path = _LANDED.get(key)
+    if path is None:
+        build = {"a": fixture_a, "b": fixture_b, "c": fixture_c}[which]
+        path = scratch_path(spark, f"landed-{which}")
+        build(spark, sf_dir).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(path)
