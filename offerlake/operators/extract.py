@@ -106,6 +106,13 @@ def first_list(body: Column, keys: Sequence[str] = GENERIC_LIST_KEYS) -> Column:
     return F.coalesce(*[top_level_list(body, k) for k in keys])
 
 
+_DATA_SCHEMA = T.StructType([
+    T.StructField("data", T.ArrayType(T.StringType())),
+    T.StructField("meta", T.StructType([T.StructField("next", T.StructType([
+        T.StructField("cursor", T.LongType())]))])),
+])
+
+
 def locate_data_list(pages: DataFrame, body: str = "body") -> DataFrame:
     """S2 + E4 + E5 for cursor-paged responses.
 
@@ -113,23 +120,35 @@ def locate_data_list(pages: DataFrame, body: str = "body") -> DataFrame:
     ``next_cursor BIGINT`` (``meta.next.cursor``, NULL-safe) and
     ``page_error`` (not JSON / not an object / truthy non-list ``data`` /
     truthy non-object ``meta`` or ``meta.next``).
+
+    One ``from_json`` pass serves well-formed bodies (a mismatched field comes
+    back NULL on its own); only rows where a field came back NULL are parsed
+    again as VARIANT to tell "absent or falsy" from "wrong type".
     """
-    bv = F.try_parse_json(F.col(body))
-    data = field(bv, "data")
-    meta = field(bv, "meta")
+    b = F.col(body)
+    p = F.from_json(b, _DATA_SCHEMA)
+    gate = (p["data"].isNull()
+            | (p["meta"].isNull() & b.contains('"meta"'))
+            | (p["meta"]["next"].isNull() & b.contains('"next"')))
+    bv = F.when(F.col("_gate"), F.try_parse_json(b))
+    data = field(F.col("_bv"), "data")
+    meta = field(F.col("_bv"), "meta")
     nxt = field(meta, "next")
-    data_list = top_level_list(F.col(body), "data")
-    error = (F.when(bv.isNull(), F.lit(ERR_NOT_JSON))
-              .when(~is_object(bv), F.lit(ERR_NOT_OBJECT))
-              .when(truthy(data) & ~is_array(data), F.lit(ERR_DATA_NOT_LIST))
-              .when((truthy(meta) & ~is_object(meta)) | (truthy(nxt) & ~is_object(nxt)), F.lit(ERR_META)))
-    postings = F.when(truthy(data), data_list).otherwise(F.array().cast("array<string>"))
+    bvc = F.col("_bv")
+    error = F.when(F.col("_gate"), F.when(bvc.isNull(), F.lit(ERR_NOT_JSON))
+                   .when(~is_object(bvc), F.lit(ERR_NOT_OBJECT))
+                   .when(truthy(data) & ~is_array(data), F.lit(ERR_DATA_NOT_LIST))
+                   .when((truthy(meta) & ~is_object(meta)) | (truthy(nxt) & ~is_object(nxt)), F.lit(ERR_META)))
     return (pages
+            .withColumn("_p", p)
+            .withColumn("_gate", F.coalesce(gate, F.lit(True)))
             .withColumn("_bv", bv)
             .withColumn("page_error", error)
-            .withColumn("postings", F.when(F.col("page_error").isNull(), postings))
-            .withColumn("next_cursor", F.try_variant_get(F.col("_bv"), "$.meta.next.cursor", "bigint"))
-            .drop("_bv"))
+            .withColumn("postings", F.when(F.col("page_error").isNull(),
+                                           F.coalesce(F.col("_p.data"), F.array().cast("array<string>"))))
+            .withColumn("next_cursor", F.when(F.col("_gate"), F.try_variant_get(bvc, "$.meta.next.cursor", "bigint"))
+                        .otherwise(F.col("_p.meta.next.cursor")))
+            .drop("_p", "_gate", "_bv"))
 
 
 def explode_postings(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -108,15 +108,17 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
              .drop("last_page"))
     posts = posts.where(keep_since(F.col("posted_at"), since_column(since)))
     sid = source_id_a if source == SOURCE_A else source_id_b
-    posts = posts.withColumn("source_id", sid(F.col("v"), F.col("posting")))
+    url = url_a if source == SOURCE_A else url_b
+    # every key is read from the parsed posting before the shuffle; the
+    # VARIANT copy is dropped so only the JSON text travels
+    posts = (posts.withColumn("source_id", sid(F.col("v"), F.col("posting")))
+                  .withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
+                  .withColumn("url", url(F.col("v")))
+                  .select("source", "run_id", "page", "pos", "posting", "source_id", "job_slug", "url"))
 
     new = first_seen(posts)
     new = skip_existing(new, stored_ids(spark, store_path, source, ingest_date, scope))
     new = target_stop(new, target_count)
-
-    url = url_a if source == SOURCE_A else url_b
-    new = (new.withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
-              .withColumn("url", url(F.col("v"))))
     new = attach_details(new, details if fetch_details else None, source)
     stamp = (F.lit(ingested_at.isoformat(sep=" ")).cast("timestamp") if ingested_at is not None
              else F.current_timestamp())

@@ -46,10 +46,11 @@ def write_batch(store_path: str):
     """``foreachBatch`` body: dedup within the batch, anti-join the store, append."""
     def _write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read twice below: the batch's dates, then the write
         new = first_seen(batch, keys=("source", "ingest_date", "source_id"),
                          order=("fetched_at", "order_key", "pos"))
         # the batch's dates are few; listing them prunes the store to those partitions
-        dates = [r[0] for r in new.select("ingest_date").distinct().collect()]
+        dates = [r[0] for r in batch.select("ingest_date").distinct().collect()]
         stored = (read_store(spark, store_path).where(F.col("ingest_date").isin(dates))
                   .select("source", "ingest_date", "source_id"))
         new = skip_existing(new, stored, keys=("source", "ingest_date", "source_id"))
@@ -59,6 +60,7 @@ def write_batch(store_path: str):
             F.lit(None).cast("string").alias("details"), F.lit(None).cast(SECTIONS).alias("sections"),
             "run_id", "source", "ingest_date")
         append_records(records.select(*[f.name for f in RAW_POSTINGS.fields]), store_path)
+        batch.unpersist()
     return _write
 
 
