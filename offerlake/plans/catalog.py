@@ -256,6 +256,15 @@ def q_run_summary(spark, sf):
     return count_written(recs).select("source", F.col("written").cast("bigint").alias("written"))
 
 
+def q_normalize_salary(spark, sf):
+    """One row per salary entry of every salaried posting."""
+    from offerlake.operators.normalize import normalize_salaries
+
+    p = _a_postings(spark, sf).where(has_salary_a(F.col("v"))).withColumn("id", _id()).drop("v")
+    return normalize_salaries(p, SOURCE_A, listing="posting", keep=("id",)).select(
+        "id", "employment_type", "salary_from", "salary_to", "currency", "period")
+
+
 def q_stream_ingest(spark, sf):
     """Landed pages arrive as files; micro-batches dedup and append."""
     from offerlake.streaming.ingest import run_stream_available_now
@@ -295,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_run": q_ingest_run,
     "ingest_run_a": q_ingest_run_a,
     "stream_ingest": q_stream_ingest,
+    "normalize_salary": q_normalize_salary,
 }
 
 
@@ -406,4 +416,8 @@ d AS ({_SECTIONS})
 SELECT r.source_id, r.page, d.must_have, d.requirements_description, d.offer_description
 FROM r LEFT JOIN d ON d.job_slug = r.source_id""",
     "stream_ingest": f"SELECT DISTINCT {_SID_A} AS source_id FROM orders WHERE o_orderstatus IN ('F','O')",
+    "normalize_salary": """SELECT o_orderkey AS id, CAST(NULL AS VARCHAR) AS employment_type, o_totalprice AS salary_from,
+       CAST(NULL AS DOUBLE) AS salary_to, 'PLN' AS currency, 'month' AS period FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'b2b', o_totalprice, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, 'perm', NULL, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'""",
 }
