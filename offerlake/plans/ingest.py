@@ -31,7 +31,7 @@ from offerlake.operators.extract import locate_data_list, locate_postings
 from offerlake.operators.paging import (RUN_KEYS, contiguous_end, cursor_chain, page_range, run_stops,
                                         target_stop)
 from offerlake.session import materialize
-from offerlake.sources.store import append_records, stored_ids
+from offerlake.sources.store import append_records, read_store, stored_ids
 from offerlake.sources.tables import (DEFAULT_PAGE_SIZE_A, DEFAULT_PAGE_SIZE_B, MAX_ITEMS_B, RAW_POSTINGS,
                                       SOURCE_A, SOURCE_B)
 
@@ -118,6 +118,11 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
 
     new = first_seen(posts)
     new = skip_existing(new, stored_ids(spark, store_path, source, ingest_date, scope))
+    if target_count:
+        # the new records feed both the per-page running count (L3) and the
+        # output; storing them once keeps the parse and the dedup shuffle
+        # from running once per branch
+        new = materialize(new)
     new = target_stop(new, target_count)
     new = attach_details(new, details if fetch_details else None, source)
     stamp = (F.lit(ingested_at.isoformat(sep=" ")).cast("timestamp") if ingested_at is not None
@@ -137,15 +142,20 @@ def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_ba
     ``on_bad_page='fail'`` raises and writes nothing when the run reaches a
     page that cannot be read; ``'quarantine'`` writes the pages before it
     (what the reference leaves on disk) and leaves the failure in the plan's
-    ``quarantine`` frame."""
-    plan = plan_run(spark, landed, store_path=store_path, **kwargs)
+    ``quarantine`` frame.  The counts are read back from the written
+    partition (pruned by source and date, filtered on this write's stamp),
+    so the records are computed once."""
+    stamp = kwargs.pop("ingested_at", None) or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    stamp = stamp.replace(microsecond=0)
+    plan = plan_run(spark, landed, store_path=store_path, ingested_at=stamp, **kwargs)
     if on_bad_page == "fail" and plan.quarantine.limit(1).count() > 0:
         row = plan.quarantine.select("page", "cursor", "reason").first()
         raise RuntimeError(f"unreadable listing page {row['page']} (cursor {row['cursor']}): {row['reason']}")
-    written_path = store_path
-    ckpt = plan.records.checkpoint(eager=True)  # one evaluation for both the write and the counts
-    append_records(ckpt, written_path)
-    return count_written(ckpt)
+    append_records(plan.records, store_path)
+    written = (read_store(spark, store_path, kwargs["source"], kwargs["ingest_date"])
+               .where((F.col("run_id") == kwargs["run_id"])
+                      & (F.col("ingested_at") == F.lit(stamp.isoformat(sep=" ")).cast("timestamp"))))
+    return count_written(written)
 
 
 def plan_sources(spark: SparkSession, landed: DataFrame, runs: list[dict], **common) -> DataFrame:
