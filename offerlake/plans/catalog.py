@@ -21,7 +21,7 @@ from offerlake.functions.text import strip_html
 from offerlake.functions.time import keep_since, posted_at, resolve_since, since_column
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details, extract_sections
-from offerlake.operators.extract import explode_postings, locate_data_list, locate_postings
+from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
 from offerlake.operators.paging import cursor_chain, page_range
 from offerlake.plans.ingest import plan_run, plan_sources
 from offerlake.session import configure, scratch_path
@@ -73,6 +73,17 @@ def q_cursor_chain(spark, sf):
                         F.col("expected_next").alias("next_cursor"))
 
 
+def q_first_list(spark, sf):
+    """The first of postings / content / data that is a list, on both
+    sources' bodies (nested pages have none: E3 does not search)."""
+    a = landed(spark, sf, "a").select("source", F.col("page").cast("bigint").alias("at"), "body")
+    b = landed(spark, sf, "b").select("source", F.col("cursor").alias("at"), "body")
+    both = a.unionByName(b).withColumn("postings", first_list(F.col("body")))
+    return both.select("source", "at", F.posexplode("postings").alias("pos", "posting")).select(
+        "source", "at", _big("pos"), F.get_json_object("posting", "$.slug").alias("slug"),
+        F.get_json_object("posting", "$.url").alias("url"))
+
+
 # --------------------------------------------------------------------------- P
 
 
@@ -281,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "locate_postings": q_locate_postings,
     "locate_data_list": q_locate_data_list,
     "cursor_chain": q_cursor_chain,
+    "first_list": q_first_list,
     "has_salary_truthy": q_has_salary_truthy,
     "has_salary_numeric": q_has_salary_numeric,
     "source_id_a": q_source_id_a,
@@ -343,6 +355,13 @@ FROM e""",
     "cursor_chain": """SELECT b + 1 AS page, b * 100 AS cursor, CASE WHEN b % 2 = 0 THEN (b + 1) * 100 END AS api_next,
        (b + 1) * 100 AS next_cursor
 FROM (SELECT DISTINCT ((SELECT max(event_id) FROM events) - event_id) // 100 AS b FROM events)""",
+    "first_list": f"""SELECT 'nofluff' AS source, o_orderkey // 20 + 1 AS at, o_orderkey % 20 AS pos,
+       CAST(NULL AS VARCHAR) AS slug, 'order-' || o_orderkey AS url
+FROM orders WHERE (o_orderkey // 20 + 1) % 10 <> 0
+UNION ALL
+SELECT 'justjoin', (g // 100) * 100, g % 100,
+       CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END, NULL
+FROM (SELECT (SELECT max(event_id) FROM events) - event_id AS g, * FROM events)""",
     "has_salary_truthy": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F','O')",
     "has_salary_numeric": f"WITH {_E} SELECT (g // 100) * 100 AS cursor, g % 100 AS pos FROM e WHERE {_OK_B}",
     "source_id_a": f"SELECT o_orderkey AS id, {_SID_A} AS source_id FROM orders",

@@ -136,7 +136,7 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
 
 
 def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_bad_page: str = "quarantine",
-               **kwargs) -> DataFrame:
+               quarantine_path: str | None = None, **kwargs) -> DataFrame:
     """Plan, check for a failed page, append to the store; returns A3 counts.
 
     ``on_bad_page='fail'`` raises and writes nothing when the run reaches a
@@ -152,6 +152,8 @@ def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_ba
         row = plan.quarantine.select("page", "cursor", "reason").first()
         raise RuntimeError(f"unreadable listing page {row['page']} (cursor {row['cursor']}): {row['reason']}")
     append_records(plan.records, store_path)
+    if quarantine_path is not None:
+        plan.quarantine.write.mode("append").partitionBy("source").parquet(quarantine_path)
     written = (read_store(spark, store_path, kwargs["source"], kwargs["ingest_date"])
                .where((F.col("run_id") == kwargs["run_id"])
                       & (F.col("ingested_at") == F.lit(stamp.isoformat(sep=" ")).cast("timestamp"))))

@@ -169,6 +169,11 @@ def test_bad_page_is_quarantined_or_fails(spark):
     plan = plan_run(spark, landed, source=SOURCE_A, run_id="r", max_pages=10, ingest_date=DATE)
     assert [r["source_id"] for r in plan.records.collect()] == ["1"]
     assert [r["page"] for r in plan.quarantine.collect()] == [2]
+    qpath = scratch_path(spark, "test-quarantine")
+    run_ingest(spark, landed, source=SOURCE_A, run_id="r", max_pages=10, ingest_date=DATE,
+               store_path=scratch_path(spark, "test-q-store"), quarantine_path=qpath)
+    q = spark.read.parquet(qpath).collect()
+    assert [(r["page"], r["body"]) for r in q] == [(2, "not json")]
     with pytest.raises(RuntimeError):
         run_ingest(spark, landed, source=SOURCE_A, run_id="r", max_pages=10, ingest_date=DATE,
                    store_path=scratch_path(spark, "test-fail"), on_bad_page="fail")

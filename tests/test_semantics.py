@@ -10,7 +10,7 @@ from offerlake.functions.json import is_number, truthy
 from offerlake.functions.keys import content_id, job_slug, source_id_a, source_id_b, url_a, url_b
 from offerlake.functions.salary import has_salary_a, has_salary_b
 from offerlake.functions.text import html_to_text, split_lines, strip_html, strip_html_fast, utrim
-from offerlake.functions.time import posted_at, resolve_since
+from offerlake.functions.time import posted_at, resolve_date, resolve_since
 from offerlake.operators.details import detail_sections, extract_sections
 from offerlake.operators.extract import find_postings, locate_data_list, locate_postings
 from tests import model
@@ -229,3 +229,8 @@ def test_locate_data_list_shapes(spark):
     assert got[3]["postings"] == [] and got[3]["next_cursor"] is None
     assert got[4]["page_error"] is not None
     assert got[5]["page_error"] is not None
+
+
+def test_resolve_date():
+    assert resolve_date("2024-02-29") == dt.date(2024, 2, 29)
+    assert resolve_date(None) == dt.datetime.now(dt.timezone.utc).date()
