@@ -20,7 +20,7 @@ from offerlake.functions.salary import has_salary_a, has_salary_b
 from offerlake.functions.text import strip_html
 from offerlake.functions.time import keep_since, posted_at, resolve_since, since_column
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
-from offerlake.operators.details import attach_details, extract_sections
+from offerlake.operators.details import attach_details, with_sections
 from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
 from offerlake.operators.paging import cursor_chain, page_range
 from offerlake.plans.ingest import plan_run, plan_sources
@@ -197,7 +197,7 @@ def q_enrich_details(spark, sf):
 
 def q_detail_sections(spark, sf):
     """Sections of every detail document, both layouts."""
-    d = landed(spark, sf, "c").withColumn("s", extract_sections(F.col("body")))
+    d = with_sections(landed(spark, sf, "c"), "body", "s")
     return d.select("job_slug", F.array_join("s.must_have", "|").alias("must_have"),
                     F.col("s.requirements_description").alias("requirements_description"),
                     F.col("s.offer_description").alias("offer_description"))
