@@ -44,17 +44,33 @@ def _from_iso(s: Column) -> Column:
     return F.when(s.rlike(ISO_EXTENDED), s.try_cast("timestamp")).otherwise(basic)
 
 
-def posted_at(v: Column) -> Column:
-    """``posted or renewed or publishedAt``; a number is epoch ms, a string
-    ISO-8601; anything unreadable is NULL (no fall-through once chosen).
-    Naive strings are UTC (ours)."""
-    ts = F.coalesce(first_truthy(v, POSTED_KEYS[:-1]), field(v, POSTED_KEYS[-1]))
+def posted_value(v: Column) -> Column:
+    """The raw value J5 reads: ``posted or renewed or publishedAt``."""
+    return F.coalesce(first_truthy(v, POSTED_KEYS[:-1]), field(v, POSTED_KEYS[-1]))
+
+
+def posted_from_value(ts: Column) -> Column:
+    """J5 on the chosen value: a number is epoch ms, a string ISO-8601;
+    anything unreadable is NULL.  Naive strings are UTC (ours)."""
     num = F.try_variant_get(ts, "$", "double")
     text = F.try_variant_get(ts, "$", "string")
     return (F.when(is_number(ts), _from_epoch_ms(num))
              .when(is_string(ts), _from_iso(text)))
 
 
+def posted_at(v: Column) -> Column:
+    """J5 as one expression (no fall-through once a value is chosen)."""
+    return posted_from_value(posted_value(v))
+
+
+def with_posted_at(df, v: str = "v", out: str = "posted_at", when: Column | None = None):
+    """J5 as a column, with the chosen value staged once per row."""
+    chosen = posted_value(F.col(v))
+    if when is not None:
+        chosen = F.when(when, chosen)
+    return df.withColumn("_ts", chosen).withColumn(out, posted_from_value(F.col("_ts"))).drop("_ts")
+
+
 def keep_since(posted: Column, since: Column | None) -> Column:
     """P5: drop only postings known to be older than ``since``."""
     if since is None:

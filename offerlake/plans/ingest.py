@@ -22,9 +22,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.functions.keys import job_slug, source_id_a, source_id_b, url_a, url_b
+from offerlake.functions.keys import SOURCE_ID_KEYS_A, SOURCE_ID_KEYS_B, URL_KEYS_A, URL_KEYS_B, with_keys
 from offerlake.functions.salary import has_salary_a, has_salary_b
-from offerlake.functions.time import keep_since, posted_at, since_column
+from offerlake.functions.time import keep_since, since_column, with_posted_at
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details
 from offerlake.operators.extract import locate_data_list, locate_postings
@@ -36,6 +36,9 @@ from offerlake.sources.tables import (DEFAULT_PAGE_SIZE_A, DEFAULT_PAGE_SIZE_B,
                                       SOURCE_A, SOURCE_B)
 
 
+_KEY_LISTS = {SOURCE_A: (SOURCE_ID_KEYS_A, URL_KEYS_A), SOURCE_B: (SOURCE_ID_KEYS_B, URL_KEYS_B)}
+
+
 @dataclass
 class RunPlan:
     records: DataFrame     # rows to append, RAW_POSTINGS layout
@@ -53,7 +56,7 @@ def salaried_postings(pages: DataFrame, source: str, since=None,
              .withColumn("pos", F.col("pos").cast("int"))
              .withColumn("v", F.try_parse_json("posting")))
     posts = posts.withColumn("salaried", F.coalesce(has_salary(F.col("v")), F.lit(False)))
-    posts = posts.withColumn("posted_at", F.when(F.col("salaried"), posted_at(F.col("v"))))
+    posts = with_posted_at(posts, when=F.col("salaried"))
     since_c = since_column(since)
     old = F.coalesce(F.col("posted_at") < since_c, F.lit(False)) if since_c is not None else F.lit(False)
     return posts.withColumn("old", F.col("salaried") & old)
@@ -107,14 +110,10 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
              .where((F.col("page") <= F.col("last_page")) & F.col("salaried"))
              .drop("last_page"))
     posts = posts.where(keep_since(F.col("posted_at"), since_column(since)))
-    sid = source_id_a if source == SOURCE_A else source_id_b
-    url = url_a if source == SOURCE_A else url_b
     # every key is read from the parsed posting before the shuffle; the
     # VARIANT copy is dropped so only the JSON text travels
-    posts = (posts.withColumn("source_id", sid(F.col("v"), F.col("posting")))
-                  .withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
-                  .withColumn("url", url(F.col("v")))
-                  .select("source", "run_id", "page", "pos", "posting", "source_id", "job_slug", "url"))
+    posts = with_keys(posts, *_KEY_LISTS[source]).select(
+        "source", "run_id", "page", "pos", "posting", "source_id", "job_slug", "url")
 
     new = first_seen(posts)
     new = skip_existing(new, stored_ids(spark, store_path, source, ingest_date, scope))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.functions.keys import job_slug, source_id_a, source_id_b, url_a, url_b
+from offerlake.functions.keys import SOURCE_ID_KEYS_A, SOURCE_ID_KEYS_B, URL_KEYS_A, URL_KEYS_B, with_keys
 from offerlake.operators.dedup import first_seen, skip_existing
 from offerlake.operators.extract import locate_data_list, locate_postings
 from offerlake.plans.ingest import salaried_postings
@@ -31,12 +31,8 @@ def stream_postings(pages: DataFrame, source: str) -> DataFrame:
     posts = salaried_postings(pages.where(F.col("page_error").isNull()), source,
                               keep=("source", "run_id", "page", "cursor", "fetched_at"))
     posts = posts.where(F.col("salaried"))
-    sid = source_id_a if source == SOURCE_A else source_id_b
-    url = url_a if source == SOURCE_A else url_b
-    return (posts
-            .withColumn("source_id", sid(F.col("v"), F.col("posting")))
-            .withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
-            .withColumn("url", url(F.col("v")))
+    keys = (SOURCE_ID_KEYS_A, URL_KEYS_A) if source == SOURCE_A else (SOURCE_ID_KEYS_B, URL_KEYS_B)
+    return (with_keys(posts, *keys)
             .withColumn("ingest_date", F.to_date("fetched_at"))
             .withColumn("order_key", F.coalesce(F.col("page").cast("bigint"), F.col("cursor")))
             .drop("v"))
