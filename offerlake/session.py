@@ -41,6 +41,8 @@ def get_session(master: str | None = None, app: str = "offerlake",
     conf = dict(RUNTIME_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    # checkpoint files of intermediates are removed once their plans are gone
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("OFFERLAKE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
