@@ -192,3 +192,28 @@ def test_stream_ingest_replay_safe(spark):
     # a second stream over the same files (fresh checkpoint) writes nothing twice
     run_stream_available_now(spark, landed_dir, store, source=SOURCE_A)
     assert read_store(spark, store, SOURCE_A).count() == len(want)
+
+
+def test_source_b_details_are_kept_raw(spark):
+    from offerlake.operators.details import attach_details
+    recs = spark.createDataFrame([(SOURCE_B, "a"), (SOURCE_B, "/b"), (SOURCE_B, "c"), (SOURCE_B, "")],
+                                 "source string, job_slug string")
+    details = spark.createDataFrame(
+        [(SOURCE_B, "a", dt.datetime(2024, 1, 1), '{"x": 1}', None),
+         (SOURCE_B, "a", dt.datetime(2024, 1, 2), '[2]', None),       # latest wins; any JSON is kept
+         (SOURCE_B, "b", dt.datetime(2024, 1, 1), "oops", None),      # not JSON: a failed fetch
+         (SOURCE_B, "c", dt.datetime(2024, 1, 1), None, "HTTP 500")],  # failed fetch
+        "source string, job_slug string, fetched_at timestamp, body string, error string")
+    got = {r["job_slug"]: (r["details"], r["sections"]) for r in attach_details(recs, details, SOURCE_B).collect()}
+    assert got == {"a": ("[2]", None), "/b": (None, None), "c": (None, None), "": (None, None)}
+
+
+def test_skip_existing_scope(spark):
+    pages = {1: [{"title": "t", "url": "u1", "salary": 1}, {"title": "t", "url": "u2", "salary": 1}]}
+    landed = _landed_a(spark, pages)
+    store = _store_with(spark, SOURCE_A, ["u1"])  # stored on DATE
+    other_day = DATE + dt.timedelta(days=1)
+    kw = dict(source=SOURCE_A, run_id="r", max_pages=5, store_path=store, ingest_date=other_day)
+    same = sorted(r["source_id"] for r in plan_run(spark, landed, **kw).records.collect())
+    every = sorted(r["source_id"] for r in plan_run(spark, landed, scope="all_dates", **kw).records.collect())
+    assert same == ["u1", "u2"] and every == ["u2"]
