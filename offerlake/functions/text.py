@@ -9,6 +9,7 @@ generation covers almost every row.
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from html.parser import HTMLParser
 
@@ -30,7 +31,7 @@ ANY_TAG = r"<[^>]*>"
 # Named entities decoded on the fast path (others go to the exact helper).
 FAST_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
     ("&amp;", "&"),
 ]
@@ -76,13 +77,22 @@ def needs_exact_html(c: Column) -> Column:
     return F.coalesce(c.rlike(_OTHER_ENTITY) | c.rlike(_BARE_LT), F.lit(False))
 
 
+# Named character references by name (with and without the trailing ";").
+_ENTITY_CHARS = {k.rstrip(";"): v for k, v in html.entities.html5.items()}
+
+
 class _TextNodes(HTMLParser):
-    """Collect text nodes the way an HTML tree's ``get_text('\\n')`` does."""
+    """Collect text nodes the way an HTML tree's ``get_text('\\n')`` does.
+
+    Character references are resolved by the handlers below rather than by
+    ``html.unescape``: a known name is decoded with or without ``;`` when
+    the parser sees it end, an unknown name stays as written (without its
+    ``;``), and a number under 256 is read as windows-1252."""
 
     _SKIP = {"script", "style", "template"}
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.parts: list[str] = []
         self._skip = 0
 
@@ -103,6 +113,28 @@ class _TextNodes(HTMLParser):
         if not self._skip:
             self.parts.append(data)
 
+    def handle_entityref(self, name):
+        self.handle_data(_ENTITY_CHARS.get(name, "&" + name))
+
+    def handle_charref(self, name):
+        try:
+            code = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
+        except ValueError:
+            self.handle_data("&#" + name)
+            return
+        ch = None
+        if code < 256:
+            try:
+                ch = bytes([code]).decode("windows-1252")
+            except UnicodeDecodeError:
+                ch = None
+        if ch is None:
+            try:
+                ch = chr(code)
+            except (ValueError, OverflowError):
+                ch = "\ufffd"
+        self.handle_data(ch)
+
 
 def html_to_text(raw: str | None) -> str | None:
     """Exact E9 on one fragment (stdlib parser); used for gated rows only."""

@@ -396,9 +396,15 @@ SELECT 'nofluff' AS source, n AS written FROM a UNION ALL SELECT 'justjoin' AS s
        (o_orderkey % 3 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS has_details
 FROM orders""",
     "detail_sections": _SECTIONS,
-    "strip_html": "SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace("
+    # entities: the four names present in the data, with ";" or cut off before a
+    # non-alphanumeric; "&amp;" last so that "&amp;quot;" stays "&quot;"
+    "strip_html": "SELECT page_id, array_to_string(list_filter(list_transform(string_split("
+                  "replace(replace(replace(replace("
+                  "regexp_replace(regexp_replace(regexp_replace(regexp_replace("
                   "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
                   "|<template\\b.*?</template\\s*>|<[^>]*>', chr(10), 'g'),"
+                  "'&middot([^a-zA-Z0-9;])', '·\\1', 'g'), '&copy([^a-zA-Z0-9;])', '©\\1', 'g'),"
+                  "'&quot([^a-zA-Z0-9;])', '\"\\1', 'g'), '&amp([^a-zA-Z0-9;])', '&\\1', 'g'),"
                   "'&middot;','·'),'&copy;','©'),'&quot;','\"'),'&amp;','&'), chr(10)), lambda x: "
                   + _TRIM.format(x="x") + "), lambda x: x <> ''), chr(10)) AS text FROM pages",
     "empty_page_stop": f"""WITH {_E},
@@ -406,11 +412,16 @@ s AS (SELECT g // 100 AS b, g % 100 AS pos, {_OK_B} AS ok FROM e),
 st AS (SELECT coalesce(min(b), 1000000000) AS stop FROM (SELECT b FROM s GROUP BY b HAVING NOT bool_or(ok)))
 SELECT b + 1 AS page, pos FROM s WHERE ok AND b < (SELECT stop FROM st)""",
     "since_stop": f"""WITH {_E},
-s AS (SELECT g // 100 AS b, g % 100 AS pos, ts FROM e WHERE {_OK_B}),
-st AS (SELECT coalesce(min(b), 1000000000) AS stop FROM s WHERE ts < TIMESTAMP '2024-01-15')
-SELECT b + 1 AS page, pos FROM s WHERE b <= (SELECT stop FROM st) AND ts >= TIMESTAMP '2024-01-15'""",
+a AS (SELECT g // 100 AS b, g % 100 AS pos, ts, {_OK_B} AS ok FROM e),
+l1 AS (SELECT coalesce(min(b), 1000000000) - 1 AS stop FROM (SELECT b FROM a GROUP BY b HAVING NOT bool_or(ok))),
+s AS (SELECT * FROM a WHERE ok),
+l2 AS (SELECT coalesce(min(b), 1000000000) AS stop FROM s WHERE ts < TIMESTAMP '2024-01-15')
+SELECT b + 1 AS page, pos FROM s
+WHERE b <= least((SELECT stop FROM l1), (SELECT stop FROM l2)) AND ts >= TIMESTAMP '2024-01-15'""",
     "target_stop": f"""WITH {_E},
-s AS (SELECT g, {_SID_B} AS source_id FROM e WHERE {_OK_B}),
+a AS (SELECT g, g // 100 AS b, {_SID_B} AS source_id, {_OK_B} AS ok FROM e),
+l1 AS (SELECT coalesce(min(b), 1000000000) - 1 AS stop FROM (SELECT b FROM a GROUP BY b HAVING NOT bool_or(ok))),
+s AS (SELECT g, source_id FROM a WHERE ok AND b <= (SELECT stop FROM l1)),
 f AS (SELECT source_id, min(g) // 100 AS b FROM s GROUP BY source_id),
 c AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS cum FROM f GROUP BY b),
 st AS (SELECT coalesce(min(b), 1000000000) AS stop FROM c WHERE cum >= 500)

@@ -154,7 +154,8 @@ HTML = [
     "<div>x<script>var t='</p>';</script>y<!-- c --><style>p{}</style>z</div>",
     "<p>Tom &amp; Jerry &middot; &quot;q&quot; &copy;</p>",
     "<p>1 < 2 and 3 > 1</p>",
-    "<p>caf&eacute; &#233; &#x41;</p>",
+    "<p>caf&eacute; &#233; &#x41; &#150;</p>",
+    "<p>a&nbsp;b &nbsp;</p><title>x&amp</title><p>&am y &foo; z</p>",
     "<ul><li> one </li><li> </li><li>two</li></ul>",
     "plain text",
     "",
