@@ -44,6 +44,7 @@ class RunPlan:
     records: DataFrame     # rows to append, RAW_POSTINGS layout
     quarantine: DataFrame  # the failed page that ended the run, if any
     postings: DataFrame    # kept postings before dedup (page, pos, source_id, …)
+    failed_page: int | None = None  # page whose failure ended the run
 
 
 def salaried_postings(pages: DataFrame, source: str, since=None,
@@ -101,11 +102,14 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
         stops = (stops.join(contiguous_end(pages, start_page), list(RUN_KEYS), "left")
                  .withColumn("last_page", F.least("last_page", "contiguous_last")).drop("contiguous_last"))
     # one row per run: stored once (it needs a pass over the pages) and broadcast
-    stops = F.broadcast(materialize(stops))
-    quarantine = (pages.join(stops, list(RUN_KEYS), "inner")
-                  .where((F.col("page") == F.col("first_bad_page"))
-                         & (F.col("first_bad_page") == F.col("last_page") + 1))
-                  .select("source", "run_id", "page", "cursor", F.col("page_error").alias("reason"), "body"))
+    stops = materialize(stops)
+    # the failed page that ended the run is known from the stops row; reading
+    # it back is a literal page filter, which reaches the scan
+    bad = stops.where(F.col("first_bad_page") == F.col("last_page") + 1).select("first_bad_page").first()
+    quarantine = (pages.where(F.lit(False)) if bad is None else
+                  pages.where(F.col("page") == int(bad["first_bad_page"])))
+    quarantine = quarantine.select("source", "run_id", "page", "cursor", F.col("page_error").alias("reason"), "body")
+    stops = F.broadcast(stops)
     posts = (posts.join(stops.select(*RUN_KEYS, "last_page"), list(RUN_KEYS), "inner")
              .where((F.col("page") <= F.col("last_page")) & F.col("salaried"))
              .drop("last_page"))
@@ -131,7 +135,8 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
         F.col("posting").alias("listing"), "details", "sections", "run_id", "source",
         F.lit(ingest_date).cast("date").alias("ingest_date"))
     return RunPlan(records=records.select(*[f.name for f in RAW_POSTINGS.fields]),
-                   quarantine=quarantine, postings=posts)
+                   quarantine=quarantine, postings=posts,
+                   failed_page=None if bad is None else int(bad["first_bad_page"]))
 
 
 def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_bad_page: str = "quarantine",
@@ -147,11 +152,11 @@ def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_ba
     stamp = kwargs.pop("ingested_at", None) or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     stamp = stamp.replace(microsecond=0)
     plan = plan_run(spark, landed, store_path=store_path, ingested_at=stamp, **kwargs)
-    if on_bad_page == "fail" and plan.quarantine.limit(1).count() > 0:
+    if on_bad_page == "fail" and plan.failed_page is not None:
         row = plan.quarantine.select("page", "cursor", "reason").first()
         raise RuntimeError(f"unreadable listing page {row['page']} (cursor {row['cursor']}): {row['reason']}")
     append_records(plan.records, store_path)
-    if quarantine_path is not None:
+    if quarantine_path is not None and plan.failed_page is not None:
         plan.quarantine.write.mode("append").partitionBy("source").parquet(quarantine_path)
     written = (read_store(spark, store_path, kwargs["source"], kwargs["ingest_date"])
                .where((F.col("run_id") == kwargs["run_id"])

@@ -66,8 +66,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        # only when nothing names one (local tests); a core setting cannot be
+        # changed at runtime, so the context's checkpoint dir carries it
         root = tempfile.mkdtemp(prefix="offerlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
