@@ -23,11 +23,17 @@ SINCE_WINDOWS = {
 # Epoch-millisecond values a Python datetime can hold (years 1..9999).
 MIN_EPOCH_MS = -62135596800000
 MAX_EPOCH_MS = 253402300799999
-# ISO-8601 extended forms read as timestamps: date, optional time, optional
-# fraction, optional offset (Z was already turned into +00:00).
-ISO_EXTENDED = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?([+-]\d{2}(:?\d{2}(:?\d{2}(\.\d+)?)?)?)?)?$"
-# Basic form (no separators): 20240101T103000 and 20240101T1030.
-ISO_BASIC = r"^\d{8}T\d{4}(\d{2})?$"
+# ISO-8601 as Python's datetime.fromisoformat reads it: a date (YYYY-MM-DD or
+# YYYYMMDD), then optionally any one separator character and a time (HH,
+# HH:MM or HHMM, HH:MM:SS or HHMMSS, a fraction after '.' or ','), then an
+# offset (+/-HH, HH:MM or HHMM, seconds and fraction allowed).  Groups:
+# 1 year, 3 month, 4 day, 5 hour, 7 minute, 8 second, 9 fraction,
+# 10 sign, 11 offset hours, 13 offset minutes, 14 offset seconds, 15 offset fraction.
+# The common form, read by Spark's own cast (offsets Spark accepts: up to 18h).
+ISO_COMMON = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:[+-](?:0\d|1[0-8]):[0-5]\d)?)?$"
+ISO_PATTERN = (r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+               r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2}))?)?(?:[.,](\d+))?"
+               r"(?:([+-])(\d{2})(?:(:?)(\d{2})(?:\12(\d{2}))?)?(?:[.,](\d+))?)?)?$")
 # ---------------------------------------------------------------------------
 
 
@@ -36,12 +42,39 @@ def _from_epoch_ms(ms: Column) -> Column:
     return F.when(ok, F.timestamp_micros(F.round(ms * F.lit(1000.0)).cast("bigint")))
 
 
+def _iso_parts(x: Column) -> Column:
+    """The pattern's groups of one string (each ``regexp_extract`` on the bound value)."""
+    fields = [F.regexp_extract(x, ISO_PATTERN, i).alias(f"g{i}") for i in range(1, 16)]
+    return F.struct(x.rlike(ISO_PATTERN).alias("ok"), *fields)
+
+
+def _iso_instant(m: Column) -> Column:
+    def g(i: int) -> Column:
+        return F.coalesce(F.nullif(m[f"g{i}"], F.lit("")).cast("int"), F.lit(0))
+
+    def micros(i: int) -> Column:  # first six digits of a fraction, as microseconds
+        frac = m[f"g{i}"]
+        return F.when(frac == "", F.lit(0)).otherwise(F.rpad(F.substring(frac, 1, 6), 6, "0").cast("int"))
+
+    hh, mi, ss = g(5), g(7), g(8)
+    # seconds with fraction, built from whole microseconds (fits: seconds < 100)
+    secs = ((ss.cast("bigint") * 1000000 + micros(9)).cast("decimal(18,0)") / F.lit(1000000)).cast("decimal(10,6)")
+    local = F.try_make_timestamp(g(1), g(3), g(4), hh, mi, secs, F.lit("UTC"))
+    off = ((g(11).cast("bigint") * 3600 + g(13) * 60 + g(14)) * 1000000 + micros(15)).cast("bigint")
+    off = F.when(m["g10"] == "-", -off).otherwise(off)
+    valid = m["ok"] & (hh < 24) & (mi < 60) & (ss < 60) & (F.abs(off) < F.lit(86400 * 1000000))
+    return F.when(valid, F.timestamp_micros(F.unix_micros(local) - off))
+
+
 def _from_iso(s: Column) -> Column:
+    """ISO text -> TIMESTAMP (UTC); NULL where Python's parser would fail.
+    A trailing ``Z`` turns every ``Z`` into ``+00:00`` first, as the
+    reference does; naive times are UTC (ours).  Other forms than the common
+    one bind the string once (a one-element array) and take it apart with
+    the full pattern."""
     s = F.when(s.endswith("Z"), F.replace(s, F.lit("Z"), F.lit("+00:00"))).otherwise(s)
-    s = F.replace(s, F.lit(","), F.lit("."))
-    basic = F.when(s.rlike(ISO_BASIC),
-                   F.try_to_timestamp(F.rpad(s, 15, "0"), F.lit("yyyyMMdd'T'HHmmss")))
-    return F.when(s.rlike(ISO_EXTENDED), s.try_cast("timestamp")).otherwise(basic)
+    slow = F.transform(F.transform(F.array(s), _iso_parts), _iso_instant)[0]
+    return F.when(s.rlike(ISO_COMMON), s.try_cast("timestamp")).otherwise(slow)
 
 
 def posted_value(v: Column) -> Column:

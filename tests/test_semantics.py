@@ -242,3 +242,26 @@ def test_strip_html_on_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = pages.select("html", strip_html(F.col("html")).alias("t")).collect()
     assert out and all(r["t"] == html_to_text(r["html"]) for r in out)
+
+
+def test_iso_strings_match_python_fromisoformat(spark):
+    """J5 on random ISO-8601 variants (separators, precisions, offsets, Z)."""
+    import random
+    rng = random.Random(5)
+    cases = set()
+    for _ in range(400):
+        d = f"{rng.randrange(1990, 2030):04d}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 32):02d}"
+        sep = rng.choice(["T", " ", "t", "_"])
+        t = rng.choice(["", f"{sep}{rng.randrange(25):02d}", f"{sep}{rng.randrange(24):02d}:{rng.randrange(61):02d}",
+                        f"{sep}{rng.randrange(24):02d}{rng.randrange(60):02d}{rng.randrange(60):02d}",
+                        f"{sep}{rng.randrange(24):02d}:{rng.randrange(60):02d}:{rng.randrange(61):02d}"
+                        f".{rng.randrange(10 ** 8)}"])
+        z = rng.choice(["", "Z", "+00:00", "-05:30", "+0530", "+01", "+23:59", "+24:00", "-01:00:30.5"]) if t else ""
+        cases.add(d + t + z)
+    df = spark.createDataFrame([(json.dumps({"posted": c}),) for c in sorted(cases)], "p string") \
+        .withColumn("v", F.parse_json("p"))
+    for r in df.select("p", posted_at(F.col("v")).alias("t")).collect():
+        want = model.posted_at(json.loads(r["p"]))
+        if want is not None:
+            want = want.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        assert r["t"] == want, r["p"]
