@@ -125,15 +125,14 @@ def with_keys(df, source_keys, url_keys, v: str = "v", posting: str = "posting",
     repeat them at every reference)."""
     pv, pt = F.col(v), F.col(posting)
     sid_n, slug_n, url_n = names
-    staged = (df.withColumn("_sid", first_truthy(pv, source_keys))
-                .withColumn("_slug", first_truthy(pv, JOB_SLUG_KEYS))
-                .withColumn("_url", first_truthy(pv, url_keys)))
-    staged = (staged.withColumn("_sid_s", simple_str(F.col("_sid")))
-                    .withColumn("_slug_s", simple_str(F.col("_slug"))))
+    keep = [c for c in df.columns if c not in names]
+    staged = df.withColumns({"_sid": first_truthy(pv, source_keys), "_slug": first_truthy(pv, JOB_SLUG_KEYS),
+                             "_url": first_truthy(pv, url_keys)})
+    staged = staged.withColumns({"_sid_s": simple_str(F.col("_sid")), "_slug_s": simple_str(F.col("_slug"))})
     sid_udf = _UDFS.setdefault(tuple(source_keys), _key_udf(source_keys))
     slug_udf = _UDFS.setdefault(JOB_SLUG_KEYS, _key_udf(JOB_SLUG_KEYS))
-    return (staged
-            .withColumn(sid_n, F.coalesce(F.col("_sid_s"), sid_udf(F.when(F.col("_sid_s").isNull(), pt))))
-            .withColumn(slug_n, F.coalesce(F.col("_slug_s"), slug_udf(F.when(F.col("_slug_s").isNull(), pt))))
-            .withColumn(url_n, F.try_variant_get(F.col("_url"), "$", "string"))
-            .drop("_sid", "_slug", "_url", "_sid_s", "_slug_s"))
+    return staged.select(
+        *keep,
+        F.coalesce(F.col("_sid_s"), sid_udf(F.when(F.col("_sid_s").isNull(), pt))).alias(sid_n),
+        F.coalesce(F.col("_slug_s"), slug_udf(F.when(F.col("_slug_s").isNull(), pt))).alias(slug_n),
+        F.try_variant_get(F.col("_url"), "$", "string").alias(url_n))

@@ -101,7 +101,8 @@ def with_posted_at(df, v: str = "v", out: str = "posted_at", when: Column | None
     chosen = posted_value(F.col(v))
     if when is not None:
         chosen = F.when(when, chosen)
-    return df.withColumn("_ts", chosen).withColumn(out, posted_from_value(F.col("_ts"))).drop("_ts")
+    keep = [c for c in df.columns if c != out]
+    return df.withColumn("_ts", chosen).select(*keep, posted_from_value(F.col("_ts")).alias(out))
 
 
 def keep_since(posted: Column, since: Column | None) -> Column:

@@ -54,8 +54,8 @@ def salaried_postings(pages: DataFrame, source: str, since=None,
     ``salaried`` (P1/P2), ``posted_at`` (J5) and ``old`` (older than ``since``)."""
     has_salary = has_salary_a if source == SOURCE_A else has_salary_b
     posts = (pages.select(*keep, F.posexplode_outer("postings").alias("pos", "posting"))
-             .withColumn("pos", F.col("pos").cast("int"))
-             .withColumn("v", F.try_parse_json("posting")))
+             .select(*keep, F.col("pos").cast("int").alias("pos"), "posting",
+                     F.try_parse_json("posting").alias("v")))
     posts = posts.withColumn("salaried", F.coalesce(has_salary(F.col("v")), F.lit(False)))
     posts = with_posted_at(posts, when=F.col("salaried"))
     since_c = since_column(since)
