@@ -48,11 +48,6 @@ def is_string(v: Column) -> Column:
     return F.coalesce(vtype(v) == "STRING", F.lit(False))
 
 
-def is_present(v: Column) -> Column:
-    """Not SQL NULL (absent key) and not JSON ``null``."""
-    return F.coalesce(~F.is_variant_null(v), F.lit(False))
-
-
 def is_number(v: Column) -> Column:
     """``isinstance(x, (int, float))`` on the parsed value; booleans count."""
     return F.coalesce(vtype(v).rlike(_NUMBER_TYPES), F.lit(False))
@@ -73,13 +68,6 @@ def first_truthy(v: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(truthy(field(v, k)), field(v, k)) for k in keys])
 
 
-def or_chain(v: Column, keys: Sequence[str]) -> Column:
-    """Exactly ``d.get(k1) or d.get(k2) or … or d.get(kn)``: the first truthy
-    value, else the value of the last key whatever it is."""
-    last = field(v, keys[-1])
-    return F.coalesce(first_truthy(v, keys[:-1]), last) if len(keys) > 1 else last
-
-
 def as_array(v: Column) -> Column:
     """``ARRAY<VARIANT>`` if the value is a JSON list, else NULL."""
     return F.try_variant_get(v, "$", "array<variant>")

@@ -163,7 +163,3 @@ def strip_html(c: Column, exact: bool = False) -> Column:
         return _html_to_text_udf(c)
     gate = needs_exact_html(c)
     return F.when(gate, _html_to_text_udf(F.when(gate, c))).otherwise(strip_html_fast(c))
-
-
-def unescape(s: str) -> str:  # small helper for tests
-    return html.unescape(s)

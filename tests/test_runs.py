@@ -217,3 +217,20 @@ def test_skip_existing_scope(spark):
     same = sorted(r["source_id"] for r in plan_run(spark, landed, **kw).records.collect())
     every = sorted(r["source_id"] for r in plan_run(spark, landed, scope="all_dates", **kw).records.collect())
     assert same == ["u1", "u2"] and every == ["u2"]
+
+
+def test_stream_restart_processes_only_new_files(spark):
+    """T1 restart: the same checkpoint resumes after the files it has seen."""
+    first = {1: [{"title": "t", "url": "a1", "salary": 1}, {"title": "t", "url": "a2", "salary": 1}]}
+    second = {2: [{"title": "t", "url": "a2", "salary": 1}, {"title": "t", "url": "b1", "salary": 1}]}
+    landed_dir = scratch_path(spark, "test-restart-landed")
+    store = scratch_path(spark, "test-restart-store")
+    ckpt = scratch_path(spark, "test-restart-ckpt")
+    _landed_a(spark, first).write.mode("append").parquet(landed_dir)
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, checkpoint=ckpt)
+    assert sorted(r["source_id"] for r in read_store(spark, store, SOURCE_A).collect()) == ["a1", "a2"]
+    _landed_a(spark, second).write.mode("append").parquet(landed_dir)
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, checkpoint=ckpt)
+    rows = read_store(spark, store, SOURCE_A).collect()
+    assert sorted(r["source_id"] for r in rows) == ["a1", "a2", "b1"]
+    assert [r["page"] for r in rows if r["source_id"] == "b1"] == [2]
