@@ -195,6 +195,13 @@ def q_enrich_details(spark, sf):
     return out.select(_id().alias("id"), F.col("details").isNotNull().alias("has_details"))
 
 
+def q_enrich_details_b(spark, sf):
+    """S4 N1 on a source-B run: details fetched on request are kept as they
+    are; several versions of a slug resolve to the latest."""
+    plan = _run_b(spark, sf, fetch_details=True, details=landed(spark, sf, "d"))
+    return plan.records.select("source_id", _big("page"), "details")
+
+
 def q_detail_sections(spark, sf):
     """Sections of every detail document, both layouts."""
     d = with_sections(landed(spark, sf, "c"), "body", "s")
@@ -308,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "skip_existing": q_skip_existing,
     "run_summary": q_run_summary,
     "enrich_details": q_enrich_details,
+    "enrich_details_b": q_enrich_details_b,
     "detail_sections": q_detail_sections,
     "strip_html": q_strip_html,
     "empty_page_stop": q_empty_page_stop,
@@ -395,6 +403,16 @@ SELECT 'nofluff' AS source, n AS written FROM a UNION ALL SELECT 'justjoin' AS s
     "enrich_details": """SELECT o_orderkey AS id,
        (o_orderkey % 3 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS has_details
 FROM orders""",
+    "enrich_details_b": f"""WITH {_E},
+s AS (SELECT g, g // 100 AS b, {_SID_B} AS source_id,
+             CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END AS job_slug,
+             {_OK_B} AS ok FROM e),
+l1 AS (SELECT coalesce(min(b), 1000000000) - 1 AS stop FROM (SELECT b FROM s GROUP BY b HAVING NOT bool_or(ok))),
+f AS (SELECT source_id, arg_min(job_slug, g) AS job_slug, min(g) // 100 AS b FROM s
+      WHERE ok AND b <= (SELECT stop FROM l1) GROUP BY source_id),
+d AS (SELECT CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END AS job_slug,
+             arg_max(props, ts) AS details FROM events GROUP BY 1)
+SELECT f.source_id, f.b + 1 AS page, d.details FROM f LEFT JOIN d ON d.job_slug = f.job_slug""",
     "detail_sections": _SECTIONS,
     # entities: the four names present in the data, with ";" or cut off before a
     # non-alphanumeric; "&amp;" last so that "&amp;quot;" stays "&quot;"

@@ -163,6 +163,18 @@ def fixture_c(spark: SparkSession, sf_dir: str, fetched_at: dt.datetime = FIXTUR
         F.lit(None).cast("string").alias("error"))
 
 
+def fixture_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-D: detail documents for F-B, one per event (its ``props`` JSON), keyed
+    by the posting's slug and fetched at the event time; a user's purchases
+    share one slug, so the latest one is the detail."""
+    e = table(spark, sf_dir, "events")
+    slug = (F.when(F.col("event_type") == "purchase", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+             .otherwise(F.concat(F.lit("e-"), F.col("event_id").cast("string"))))
+    return e.select(F.lit(SOURCE_B).alias("source"), slug.alias("job_slug"),
+                    F.col("ts").cast("timestamp").alias("fetched_at"), F.col("props").alias("body"),
+                    F.lit(None).cast("string").alias("error"))
+
+
 _LANDED: dict[tuple, str] = {}
 
 
@@ -174,7 +186,7 @@ def landed(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
     path = _LANDED.get(key)
     if path is None:
-        build = {"a": fixture_a, "b": fixture_b, "c": fixture_c}[which]
+        build = {"a": fixture_a, "b": fixture_b, "c": fixture_c, "d": fixture_d}[which]
         path = scratch_path(spark, f"landed-{which}")
         build(spark, sf_dir).write.parquet(path)
         _LANDED[key] = path
