@@ -24,9 +24,9 @@ RUN_KEYS = ("source", "run_id")
 NO_STOP = 2**31 - 1
 # Width of a block of consecutive page numbers / cursors for running totals.
 PAGE_BLOCK = 4096
-# The numbered chain holds at most max_pages rows per run; below this bound
-# (about 40 bytes a row) it is broadcast to the page bodies instead of
-# shuffling the bodies to it.
+# The numbered chain holds at most max_pages rows per run; when that cap or its
+# counted size is below this bound (about 40 bytes a row) it is broadcast to
+# the page bodies instead of shuffling the bodies to it.
 BROADCAST_MAX_PAGES = 1_000_000
 
 
@@ -147,6 +147,9 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
     if max_pages is not None:
         numbered = numbered.where(F.col("page") <= max_pages)
     numbered = materialize(numbered.withColumn("page", F.col("page").cast("int")).drop("_one"))
-    if max_pages is not None and max_pages <= BROADCAST_MAX_PAGES:
+    # stored, so its size is known: broadcast only under the bound, else the
+    # bodies are shuffled to it on (source, run_id, cursor)
+    if (max_pages is not None and max_pages <= BROADCAST_MAX_PAGES) or \
+            numbered.limit(BROADCAST_MAX_PAGES + 1).count() <= BROADCAST_MAX_PAGES:
         numbered = F.broadcast(numbered)
     return p.drop("page").join(numbered, part + ["cursor"], "inner")
