@@ -265,3 +265,20 @@ def test_iso_strings_match_python_fromisoformat(spark):
         if want is not None:
             want = want.astimezone(dt.timezone.utc).replace(tzinfo=None)
         assert r["t"] == want, r["p"]
+
+
+def test_legacy_sections_hand_derived(spark):
+    """E6/E7/E10 expected values worked out by hand from the traversal rules."""
+    docs = [
+        (DETAILS[3], {"must_have": ["A", "B"], "requirements_description": "3 lines",
+                      "offer_description": "Total; 3"}),
+        # b is searched before a (last child first); in b, "Offer description"
+        # comes from values, then "must have" items; a's content lines follow
+        (DETAILS[4], {"must_have": ["z", "l1", "l2"], "requirements_description": None,
+                      "offer_description": "v"}),
+        # the document's own sections come before its children are searched
+        (DETAILS[5], {"must_have": [], "requirements_description": "i1; i2", "offer_description": None}),
+    ]
+    df = spark.createDataFrame([(json.dumps(d),) for d, _ in docs], "b string")
+    got = [r["s"].asDict() for r in df.select(extract_sections(F.col("b")).alias("s")).collect()]
+    assert got == [want for _, want in docs]
