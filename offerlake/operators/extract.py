@@ -113,6 +113,15 @@ _DATA_SCHEMA = T.StructType([
 ])
 
 
+_META_SCHEMA = T.StructType([T.StructField("meta", _DATA_SCHEMA["meta"].dataType)])
+
+
+def next_cursor_of(body: Column) -> Column:
+    """E5 alone: ``meta.next.cursor`` as BIGINT, read without building the
+    postings list (used to chain pages before their postings are extracted)."""
+    return F.from_json(body, _META_SCHEMA)["meta"]["next"]["cursor"]
+
+
 def locate_data_list(pages: DataFrame, body: str = "body") -> DataFrame:
     """S2 + E4 + E5 for cursor-paged responses.
 

@@ -27,7 +27,7 @@ from offerlake.functions.salary import has_salary_a, has_salary_b
 from offerlake.functions.time import keep_since, since_column, with_posted_at
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details
-from offerlake.operators.extract import locate_data_list, locate_postings
+from offerlake.operators.extract import locate_data_list, locate_postings, next_cursor_of
 from offerlake.operators.paging import (RUN_KEYS, contiguous_end, cursor_chain, page_range, run_stops,
                                         target_stop)
 from offerlake.session import materialize
@@ -80,9 +80,12 @@ def run_pages(landed: DataFrame, *, source: str, run_id: str, max_pages: int | N
     if source == SOURCE_A:
         return locate_postings(page_range(pages, start_page, max_pages))
     size = page_size or DEFAULT_PAGE_SIZE_B
-    pages = locate_data_list(pages)
-    return cursor_chain(pages, start_cursor=(start_page - 1) * size, max_pages=max_pages,
-                        default_step=min(size, MAX_ITEMS_B))
+    # the chain needs only each page's next cursor: a narrow parse; the
+    # postings are extracted afterwards, for the pages on the chain only
+    chained = cursor_chain(pages.withColumn("next_cursor", next_cursor_of(F.col("body"))),
+                           start_cursor=(start_page - 1) * size, max_pages=max_pages,
+                           default_step=min(size, MAX_ITEMS_B))
+    return locate_data_list(chained)
 
 
 def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str,
