@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from offerlake.llm import bpe, decontaminate
+from offerlake.llm import bpe, decontaminate, license_scan, stream_dedup
 
 QUERIES = {
+    "op1_licenses": license_scan.op1,
     "op2_bpe": bpe.op2,
     "op6_decontaminate": decontaminate.op6,
+    "op9_stream_dedup": stream_dedup.op9,
 }
 
 ORACLE_SQL = {
+    "op1_licenses": license_scan.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op9_stream_dedup": stream_dedup.ORACLE,
 }
