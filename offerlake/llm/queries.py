@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from offerlake.llm import bpe, decontaminate, license_scan, ngram_join, secret_scan, stream_dedup, warc
+from offerlake.llm import (bpe, decontaminate, language_id, license_scan, ngram_join, secret_scan, stream_dedup, token_shards,
+                           toxicity, warc)
 
 QUERIES = {
     "op1_licenses": license_scan.op1,
     "op2_bpe": bpe.op2,
+    "op3_token_shards": token_shards.op3,
+    "op4_language_id": language_id.op4,
     "op5_ngram_join": ngram_join.op5,
     "op6_decontaminate": decontaminate.op6,
     "op7_warc": warc.op7,
+    "op8_toxicity": toxicity.op8,
     "op9_stream_dedup": stream_dedup.op9,
     "op10_secrets": secret_scan.op10,
 }
