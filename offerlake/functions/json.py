@@ -57,7 +57,9 @@ def truthy(v: Column) -> Column:
     """Python truthiness of the parsed JSON value; never NULL.
 
     One test on the value's JSON text: falsy values print as ``null``,
-    ``false``, ``""``, ``[]``, ``{}`` or a zero number."""
+    ``false``, ``""``, ``[]``, ``{}`` or a zero number.  (Tests by type repeat
+    the value's expression in every branch; generated code then outgrows the
+    JVM's method limit and falls back to interpretation.)"""
     return F.coalesce(~F.to_json(v).rlike(_FALSY_JSON), F.lit(False))
 
 

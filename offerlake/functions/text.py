@@ -1,8 +1,9 @@
 """Text helpers: Unicode trim, line splitting (E8) and HTML to text.
 
-The fast paths are JVM expressions.  ``strip_html`` sends to a vectorised
-Python helper only the rows the regular-expression path cannot get exactly
-right (unknown entities, a bare ``<`` in text), so whole-stage code
+The fast paths are JVM expressions.  ``with_html_text`` sends to a vectorised
+Python helper only the rows whose markup the regular expressions don't read in
+full (anything but whole comments, whole script, style and template blocks and
+well-formed tags, or an entity that is not on the list), so whole-stage code
 generation covers almost every row.
 """
 
@@ -14,7 +15,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +26,13 @@ WS_CLASS = r"[\s\x{1c}-\x{1f}]"
 # Line boundaries of str.splitlines(): \r\n, \n, \r, \v, \f, \x1c, \x1d, \x1e,
 # \x85, U+2028, U+2029.
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
-# Tags dropped with their content: comments, script, style, template.
-DROP_BLOCKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
-ANY_TAG = r"<[^>]*>"
+# Dropped with their content: comments, script, style, template.
+DROP_BLOCKS = (r"(?is)<!--.*?-->|<(script|style|template)(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>")
+# A start or end tag whose attribute values are quoted in pairs or plain, or a declaration.
+WHOLE_TAG = (r"</?[a-zA-Z][^\s\"'<>/=]*+(?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+\s*+/?>"
+             r"|<![a-zA-Z][^<>\[\]\"']*+>")
+# What is left of a block that is not whole.
+BLOCK_REST = r"(?i)</?(?:script|style|template)\b"
 # Named entities decoded on the fast path (others go to the exact helper).
 FAST_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -40,8 +45,6 @@ FAST_ENTITIES = [
 _FAST_NAMES = "|".join(re.escape(k[1:-1]) for k, _ in FAST_ENTITIES)
 # an ampersand that starts something other than a fast-path entity
 _OTHER_ENTITY = r"&(?!(" + _FAST_NAMES + r");)(#|[A-Za-z])"
-# a '<' that html.parser treats as text rather than markup
-_BARE_LT = r"<(?![A-Za-z/!?])|<[^>]*$"
 
 
 def utrim(c: Column) -> Column:
@@ -65,16 +68,20 @@ def _decode_fast(c: Column) -> Column:
     return c
 
 
-def strip_html_fast(c: Column) -> Column:
-    """Regex version of E9: tags become line breaks, entities decoded after."""
-    no_blocks = F.regexp_replace(c, DROP_BLOCKS, "\n")
-    no_tags = F.regexp_replace(no_blocks, ANY_TAG, "\n")
-    return join_lines(split_lines(_decode_fast(no_tags)))
+def without_tags(c: Column) -> Column:
+    """``STRUCT<text, whole>``: the HTML with blocks and whole tags replaced by
+    line breaks, and whether that read all of its markup."""
+    blocks = F.transform(F.array(c), lambda x: F.regexp_replace(x, DROP_BLOCKS, "\n"))
+    both = F.transform(blocks, lambda x: F.struct(F.regexp_replace(x, WHOLE_TAG, "\n").alias("text"),
+                                                  x.rlike(BLOCK_REST).alias("rest")))
+    return F.transform(both, lambda x: F.struct(
+        x["text"].alias("text"),
+        (~(x["rest"] | x["text"].contains("<") | x["text"].rlike(_OTHER_ENTITY))).alias("whole")))[0]
 
 
-def needs_exact_html(c: Column) -> Column:
-    """Rows whose text the fast path may get wrong."""
-    return F.coalesce(c.rlike(_OTHER_ENTITY) | c.rlike(_BARE_LT), F.lit(False))
+def text_lines(stripped: Column) -> Column:
+    """The text of ``without_tags`` as trimmed non-blank lines, entities decoded."""
+    return join_lines(split_lines(_decode_fast(stripped)))
 
 
 # Named character references by name (with and without the trailing ";").
@@ -87,7 +94,10 @@ class _TextNodes(HTMLParser):
     Character references are resolved by the handlers below rather than by
     ``html.unescape``: a known name is decoded with or without ``;`` when
     the parser sees it end, an unknown name stays as written (without its
-    ``;``), and a number under 256 is read as windows-1252."""
+    ``;``), and a number under 256 is read as windows-1252.
+
+    Whatever is not text ends a text node: tags, comments, declarations.  Text
+    within script, style and template is left out, to the end if they aren't closed."""
 
     _SKIP = {"script", "style", "template"}
 
@@ -109,6 +119,17 @@ class _TextNodes(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.parts.append("\n")
 
+    def handle_comment(self, data):
+        self.parts.append("\n")
+
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data):
+        self.parts.append("\n")
+        if data.upper().startswith("CDATA["):
+            self.handle_data(data[6:])
+            self.parts.append("\n")
+
     def handle_data(self, data):
         if not self._skip:
             self.parts.append(data)
@@ -152,14 +173,15 @@ def _html_to_text_udf(s: pd.Series) -> pd.Series:
     return s.map(html_to_text, na_action="ignore")
 
 
-def strip_html(c: Column, exact: bool = False) -> Column:
-    """HTML fragment -> trimmed non-blank text lines joined by ``\\n``.
+def with_html_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add, for each ``out: html`` of ``columns``, the HTML fragment's
+    trimmed non-blank text lines joined by ``\\n``.
 
-    ``exact=True`` parses every row in Python.  By default only rows flagged
-    by ``needs_exact_html`` reach Python; the helper receives NULL for the
-    others, so its cost is one mostly-null Arrow column per batch.
-    """
-    if exact:
-        return _html_to_text_udf(c)
-    gate = needs_exact_html(c)
-    return F.when(gate, _html_to_text_udf(F.when(gate, c))).otherwise(strip_html_fast(c))
+    Staged as columns, so the tags of a row are read once.  Only rows whose
+    markup was not read in full reach Python; the helper gets NULL for the others."""
+    keep = [c for c in df.columns if c not in columns]
+    staged = df.withColumns({f"_{out}": without_tags(F.col(html)) for out, html in columns.items()})
+    texts = [F.when(F.col(f"_{out}.whole"), text_lines(F.col(f"_{out}.text")))
+              .otherwise(_html_to_text_udf(F.when(~F.col(f"_{out}.whole"), F.col(html)))).alias(out)
+             for out, html in columns.items()]
+    return staged.select(*keep, *texts)

@@ -34,9 +34,30 @@ ISO_COMMON = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:[+-](?
 ISO_PATTERN = (r"^(\d{4})(-?)(\d{2})\2(\d{2})"
                r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2}))?)?(?:[.,](\d+))?"
                r"(?:([+-])(\d{2})(?:(:?)(\d{2})(?:\12(\d{2}))?)?(?:[.,](\d+))?)?)?$")
+# A week date: year, dash, week, and the weekday after the same dash or lack of one;
+# only without a weekday can the text end there.
+ISO_WEEK = r"^\d{4}-?W\d{2}"
+ISO_WEEK_PATTERN = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7])(.*)|)$"
 # ---------------------------------------------------------------------------
 
 
+def _from_week(s: Column) -> Column:
+    """A week date with what follows it as a calendar date (YYYY-MM-DD) with the same; NULL if there is no such day."""
+    def g(i: int) -> Column:
+        return F.regexp_extract(s, ISO_WEEK_PATTERN, i)
+
+    year, week = g(1).cast("int"), g(3).cast("int")
+    day = F.coalesce(F.nullif(g(4), F.lit("")).cast("int"), F.lit(1))
+
+    def monday(y: Column) -> Column:  # of week 1: the week of 4 January
+        fourth = F.try_make_timestamp(y, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        return F.date_sub(fourth, F.weekday(fourth))
+
+    date = F.date_add(monday(year), (week - 1) * 7 + day - 1)
+    ok = s.rlike(ISO_WEEK_PATTERN) & (year > 0) & (week >= 1) & (F.date_add(monday(year), (week - 1) * 7) < monday(year + 1))
+    return F.when(ok, F.concat(F.date_format(date, "yyyy-MM-dd"), g(5)))
+
+
 def _from_epoch_ms(ms: Column) -> Column:
     ok = (ms >= F.lit(MIN_EPOCH_MS)) & (ms <= F.lit(MAX_EPOCH_MS))
     return F.when(ok, F.timestamp_micros(F.round(ms * F.lit(1000.0)).cast("bigint")))
@@ -73,6 +94,7 @@ def _from_iso(s: Column) -> Column:
     one bind the string once (a one-element array) and take it apart with
     the full pattern."""
     s = F.when(s.endswith("Z"), F.replace(s, F.lit("Z"), F.lit("+00:00"))).otherwise(s)
+    s = F.when(s.rlike(ISO_WEEK), _from_week(s)).otherwise(s)
     slow = F.transform(F.transform(F.array(s), _iso_parts), _iso_instant)[0]
     return F.when(s.rlike(ISO_COMMON), s.try_cast("timestamp")).otherwise(slow)
 

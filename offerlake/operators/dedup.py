@@ -31,7 +31,7 @@ def skip_existing(df: DataFrame, stored: DataFrame | None,
     """
     if stored is None:
         return df
-    return df.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(stored.select(*keys), list(keys), "left_anti")
 
 
 def count_written(df: DataFrame, by: Sequence[str] = ("source", "ingest_date")) -> DataFrame:

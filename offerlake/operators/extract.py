@@ -1,16 +1,21 @@
 """Locating postings inside landed listing bodies.
 
-A landed page row carries one response body as JSON text.  The postings list
-is taken with ``from_json(body, 'k array<string>')``, which returns every
-element as its own compact JSON text (key order kept) and NULL when the value
-is not a list.  Only pages where that fails go to the document-order search
-(E2), a small Python helper; it receives NULL for every other row.
+A landed page row carries one response body as JSON text.  A body counts only
+if the whole of it is one JSON document, as a JSON parser of a crawler would
+read it: single quotes, a second document or text after the document make the
+page a failed one (``only_document``; ``from_json`` alone stops after the first
+document).
+
+The postings list is taken as ``array<string>``, which returns every element
+as its own compact JSON text (key order kept) and NULL when the value is not a
+list.  Only pages where that fails go to the document-order search (E2), a
+small Python helper; it receives NULL for every other row.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,22 +38,22 @@ ERR_NOT_OBJECT = "body is not a JSON object"
 ERR_NO_POSTINGS = "no postings list in body"
 ERR_DATA_NOT_LIST = "data is not a list"
 ERR_META = "meta or meta.next is not an object"
+ERR_CURSOR = "meta.next.cursor is not a whole number"
+ERR_NO_LIST = "none of the list keys holds a list"
 
 
-def _posting_lists(obj) -> Iterator[list]:
-    """Nested lists of posting-like objects, in the search order: a LIFO stack,
-    so a container's last child is visited first, and a list is yielded before
-    its own items are searched."""
-    stack = [obj]
-    while stack:
-        cur = stack.pop()
-        if isinstance(cur, dict):
-            stack.extend(cur.values())
-        elif isinstance(cur, list):
-            if cur and all(isinstance(x, dict) for x in cur):
-                if any(k in cur[0] for k in POSTING_MARKER_KEYS):
-                    yield cur
-            stack.extend(cur)
+def _is_posting_list(node) -> bool:
+    return (isinstance(node, list) and len(node) > 0 and all(isinstance(item, dict) for item in node)
+            and not node[0].keys().isdisjoint(POSTING_MARKER_KEYS))
+
+
+def _search(node) -> list | None:
+    """The postings list found first below ``node``: a list itself before its
+    items, and of several children the last one first."""
+    if _is_posting_list(node):
+        return node
+    children = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+    return next((hit for hit in map(_search, reversed(children)) if hit is not None), None)
 
 
 def find_postings(body: str | None) -> tuple[list[str] | None, str | None]:
@@ -57,12 +62,11 @@ def find_postings(body: str | None) -> tuple[list[str] | None, str | None]:
         return None, None
     try:
         doc = json.loads(body)
-    except ValueError:
+        if not isinstance(doc, dict):
+            return None, ERR_NOT_OBJECT
+        found = doc["postings"] if isinstance(doc.get("postings"), list) else _search(doc)
+    except (ValueError, RecursionError):
         return None, ERR_NOT_JSON
-    if not isinstance(doc, dict):
-        return None, ERR_NOT_OBJECT
-    top = doc.get("postings")
-    found = top if isinstance(top, list) else next((c for c in _posting_lists(doc) if c), None)
     if found is None:
         return None, ERR_NO_POSTINGS
     return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found], None
@@ -80,9 +84,26 @@ def _find_postings_udf(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"postings": [o[0] for o in out], "error": [o[1] for o in out]})
 
 
+def only_document(body: Column, kind: T.DataType) -> Column:
+    """The body read as one JSON document of type ``kind``; NULL if the whole
+    body is not exactly one.
+
+    The body is the only element of an array, and the text's length stands
+    after it: neither a second document nor a closing bracket too many can
+    end the parse before the length is read."""
+    length = F.length(body)
+    around = T.StructType([T.StructField("only", T.ArrayType(kind)), T.StructField("length", T.IntegerType())])
+    read = F.from_json(F.concat(F.lit('{"only":['), body, F.lit('],"length":'), length.cast("string"), F.lit("}")),
+                       around, {"allowSingleQuotes": "false"})
+    return F.when((F.size(read["only"]) == 1) & (read["length"] == length), read["only"][0])
+
+
+_LIST = T.ArrayType(T.StringType())
+
+
 def top_level_list(body: Column, key: str) -> Column:
     """``doc[key]`` when it is a list, as element JSON texts; else NULL."""
-    return F.from_json(body, T.StructType([T.StructField(key, T.ArrayType(T.StringType()))]))[key]
+    return only_document(body, T.StructType([T.StructField(key, _LIST)]))[key]
 
 
 def locate_postings(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -91,73 +112,73 @@ def locate_postings(pages: DataFrame, body: str = "body") -> DataFrame:
     ``postings`` may be an empty list (a page with nothing on it).  A body
     that is not an object or has no posting-like list gets ``page_error``.
     """
-    direct = top_level_list(F.col(body), "postings")
-    walked = _find_postings_udf(F.when(direct.isNull(), F.col(body)))
-    return (pages
-            .withColumn("_walk", walked)
-            .withColumn("postings", F.coalesce(direct, F.col("_walk.postings")))
+    staged = pages.withColumn("_direct", top_level_list(F.col(body), "postings"))
+    staged = staged.withColumn("_walk", _find_postings_udf(F.when(F.col("_direct").isNull(), F.col(body))))
+    return (staged
+            .withColumn("postings", F.coalesce("_direct", "_walk.postings"))
             .withColumn("page_error", F.when(F.col("postings").isNull(),
                                              F.coalesce(F.col("_walk.error"), F.lit(ERR_NO_POSTINGS))))
-            .drop("_walk"))
+            .drop("_walk", "_direct"))
 
 
-def first_list(body: Column, keys: Sequence[str] = GENERIC_LIST_KEYS) -> Column:
-    """The first of ``keys`` whose value is a list (NULL if none)."""
-    return F.coalesce(*[top_level_list(body, k) for k in keys])
+def first_list(pages: DataFrame, keys: Sequence[str] = GENERIC_LIST_KEYS, body: str = "body") -> DataFrame:
+    """Add ``postings``, the first of ``keys`` whose value is a list, and
+    ``page_error`` where none is; the body is parsed once."""
+    doc = only_document(F.col(body), T.StructType([T.StructField(k, _LIST) for k in keys]))
+    return (pages.withColumn("_doc", doc)
+            .withColumn("postings", F.coalesce(*[F.col("_doc")[k] for k in keys])).drop("_doc")
+            .withColumn("page_error", F.when(F.col("postings").isNull(), F.lit(ERR_NO_LIST))))
 
 
+# the cursor as text: a number and a string that holds one look the same
 _DATA_SCHEMA = T.StructType([
-    T.StructField("data", T.ArrayType(T.StringType())),
+    T.StructField("data", _LIST),
     T.StructField("meta", T.StructType([T.StructField("next", T.StructType([
-        T.StructField("cursor", T.LongType())]))])),
+        T.StructField("cursor", T.StringType())]))])),
 ])
-
-
-_META_SCHEMA = T.StructType([T.StructField("meta", _DATA_SCHEMA["meta"].dataType)])
-
-
-def next_cursor_of(body: Column) -> Column:
-    """E5 alone: ``meta.next.cursor`` as BIGINT, read without building the
-    postings list (used to chain pages before their postings are extracted)."""
-    return F.from_json(body, _META_SCHEMA)["meta"]["next"]["cursor"]
+_WHOLE_NUMBER = r"^\s*([+-]?\d{1,18})(?:\.0*)?\s*$"
 
 
 def locate_data_list(pages: DataFrame, body: str = "body") -> DataFrame:
     """S2 + E4 + E5 for cursor-paged responses.
 
     Adds ``postings`` (``data``; a falsy ``data`` is an empty list),
-    ``next_cursor BIGINT`` (``meta.next.cursor``, NULL-safe) and
-    ``page_error`` (not JSON / not an object / truthy non-list ``data`` /
-    truthy non-object ``meta`` or ``meta.next``).
+    ``next_cursor BIGINT`` (``meta.next.cursor``, NULL-safe; a whole number,
+    or a text that holds one) and ``page_error`` (not one JSON document / not
+    an object / truthy non-list ``data`` / truthy non-object ``meta`` or
+    ``meta.next`` / any other non-null cursor).
 
     One ``from_json`` pass serves well-formed bodies (a mismatched field comes
     back NULL on its own); only rows where a field came back NULL are parsed
     again as VARIANT to tell "absent or falsy" from "wrong type".
     """
     b = F.col(body)
-    p = F.from_json(b, _DATA_SCHEMA)
+    p = F.col("_p")
     gate = (p["data"].isNull()
             | (p["meta"].isNull() & b.contains('"meta"'))
             | (p["meta"]["next"].isNull() & b.contains('"next"')))
-    bv = F.when(F.col("_gate"), F.try_parse_json(b))
-    data = field(F.col("_bv"), "data")
-    meta = field(F.col("_bv"), "meta")
+    bv = F.col("_bv")
+    data, meta = field(bv, "data"), field(bv, "meta")
     nxt = field(meta, "next")
-    bvc = F.col("_bv")
-    error = F.when(F.col("_gate"), F.when(bvc.isNull(), F.lit(ERR_NOT_JSON))
-                   .when(~is_object(bvc), F.lit(ERR_NOT_OBJECT))
+    odd_cursor = field(nxt, "cursor")
+    cursor = F.when(F.col("_gate"), F.when(F.to_json(odd_cursor) != "null", F.regexp_replace(F.to_json(odd_cursor), '^"|"$', ""))) \
+              .otherwise(p["meta"]["next"]["cursor"])
+    number = F.regexp_extract(F.col("_cursor"), _WHOLE_NUMBER, 1)
+    shape = F.when(F.col("_gate"), F.when(bv.isNull(), F.lit(ERR_NOT_JSON))
+                   .when(~is_object(bv), F.lit(ERR_NOT_OBJECT))
                    .when(truthy(data) & ~is_array(data), F.lit(ERR_DATA_NOT_LIST))
                    .when((truthy(meta) & ~is_object(meta)) | (truthy(nxt) & ~is_object(nxt)), F.lit(ERR_META)))
+    error = F.coalesce(shape, F.when(F.col("_cursor").isNotNull() & (number == ""), F.lit(ERR_CURSOR)))
     return (pages
-            .withColumn("_p", p)
+            .withColumn("_p", only_document(b, _DATA_SCHEMA))
             .withColumn("_gate", F.coalesce(gate, F.lit(True)))
-            .withColumn("_bv", bv)
+            .withColumn("_bv", F.when(F.col("_gate"), only_document(b, T.VariantType())))
+            .withColumn("_cursor", cursor)
             .withColumn("page_error", error)
             .withColumn("postings", F.when(F.col("page_error").isNull(),
                                            F.coalesce(F.col("_p.data"), F.array().cast("array<string>"))))
-            .withColumn("next_cursor", F.when(F.col("_gate"), F.try_variant_get(bvc, "$.meta.next.cursor", "bigint"))
-                        .otherwise(F.col("_p.meta.next.cursor")))
-            .drop("_p", "_gate", "_bv"))
+            .withColumn("next_cursor", F.when(F.col("page_error").isNull() & (number != ""), number.cast("bigint")))
+            .drop("_p", "_gate", "_bv", "_cursor"))
 
 
 def explode_postings(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -6,9 +6,9 @@ over page-level facts, followed by a filter: no sequential loop.  Page-level
 facts are computed on the page row itself (one body = one row), so the only
 aggregations are per run and partially aggregated before their shuffle.
 
-Running totals and ranks over pages use ``blocked_running_sum``: pages are
-grouped in fixed-width key ranges, summed within each block, and offset by
-the running total of earlier blocks, so no window ever holds a whole run.
+Running totals over pages use ``blocked_running_sum``: pages are grouped in
+fixed-width key ranges, summed within each block, and offset by the running
+total of earlier blocks, so no window ever holds a whole run.
 """
 
 from __future__ import annotations
@@ -18,16 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.session import materialize
+from offerlake.session import saved
 
 RUN_KEYS = ("source", "run_id")
 NO_STOP = 2**31 - 1
 # Width of a block of consecutive page numbers / cursors for running totals.
 PAGE_BLOCK = 4096
-# The numbered chain holds at most max_pages rows per run; when that cap or its
-# counted size is below this bound (about 40 bytes a row) it is broadcast to
-# the page bodies instead of shuffling the bodies to it.
-BROADCAST_MAX_PAGES = 1_000_000
 
 
 def blocked_running_sum(df: DataFrame, part: Sequence[str], order: str, value: Column | str,
@@ -58,12 +54,31 @@ def page_range(pages: DataFrame, start_page: int = 1, max_pages: int | None = No
                col: str = "page") -> DataFrame:
     """Pages ``start_page … start_page + max_pages - 1`` (pushed to the scan
     when ``page`` is a stored column)."""
+    if start_page < 1:
+        raise ValueError("start_page must be 1 or more")
     c = F.col(col) >= start_page
     if max_pages is not None:
         c = c & (F.col(col) <= start_page + max_pages - 1)
     return pages.where(c)
 
 
+def latest_pages(pages: DataFrame, key: str, part: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """One landed row per run and ``key`` (page or cursor): of a page that was
+    fetched again, the latest response (ties: the larger body hash).
+
+    The keys alone tell whether any page has two rows; only such pages' bodies
+    are shuffled."""
+    cols = [*part, key]
+    twice = saved(pages.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+                  .where("_n > 1").drop("_n"), "twice-fetched")
+    if twice.isEmpty():
+        return pages
+    newest = Window.partitionBy(*cols).orderBy(F.desc("fetched_at"), F.desc(F.xxhash64("body")))
+    again = (pages.join(twice, cols, "left_semi").withColumn("_rn", F.row_number().over(newest))
+             .where("_rn = 1").drop("_rn"))
+    return pages.join(twice, cols, "left_anti").unionByName(again)
+
+
 def contiguous_end(pages: DataFrame, start_page: int, part: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Last page of the unbroken run of landed pages starting at ``start_page``
     (a page that was never landed ends the crawl).  One row per run:
@@ -86,7 +101,8 @@ def run_stops(pages: DataFrame, part: Sequence[str] = RUN_KEYS) -> DataFrame:
     ``has_old`` (a salaried posting older than the cutoff).  Output
     ``last_page``: the first page that failed or had no salaried posting is
     not read (the crawl stops before it), the first page with an old posting
-    is the last one read.  ``first_bad_page`` is reported for quarantine.
+    is the last one read; ``NO_STOP`` if no page stops the run.
+    ``first_bad_page`` is reported for quarantine.
     """
     bad = F.col("page_error").isNotNull()
     return (pages.groupBy(*part).agg(
@@ -98,58 +114,52 @@ def run_stops(pages: DataFrame, part: Sequence[str] = RUN_KEYS) -> DataFrame:
         .drop("_empty", "_old"))
 
 
-def target_stop(records: DataFrame, target_count: int | None, part: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """L3: keep pages up to the one on which the running count of new records
-    reaches ``target_count`` (that page is kept whole).  0/None = off."""
-    if not target_count:
-        return records
+def target_page(records: DataFrame, target_count: int, part: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """L3: per run the page on which the running count of ``records`` (a row
+    per new record, with ``page``) reaches ``target_count``; no row if it never does."""
     part = list(part)
     per_page = records.groupBy(*part, "page").agg(F.count(F.lit(1)).alias("_n"))
     cum = blocked_running_sum(per_page, part, "page", "_n", "_cum")
-    stop = (cum.where(F.col("_cum") >= target_count)
-               .groupBy(*part).agg(F.min("page").alias("_stop")))
-    return (records.join(F.broadcast(stop), part, "left")
-            .where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
-            .drop("_stop"))
+    return (cum.where(F.col("_cum") >= target_count)
+            .groupBy(*part).agg(F.min("page").alias("stop_page")))
 
 
 def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
                  default_step: int, part: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """L4: number the cursor pages of a run along the chain that starts at
-    ``start_cursor``; the next cursor is the page's ``next_cursor`` if given,
+    """L4: the cursor pages of a run that a crawl from ``start_cursor`` requests,
+    numbered from 1; the next cursor is the page's ``next_cursor`` if given,
     else ``cursor + items_count``.
 
-    A page is on the chain when it is the start page or another landed page
-    points at it; the chain ends at the first such page whose successor is not
-    landed or does not move forward.  Pages get ``page`` = 1-based position
-    (a blocked running count), and at most ``max_pages`` are kept.
+    Input: a row per landed page with ``cursor``, ``next_cursor`` and
+    ``items_count``.  Output: ``(part…, cursor, page)``, the chain up to the
+    first page whose successor is not landed or does not move forward, at
+    most ``max_pages`` of it.
+
+    Exact reachability by pointer doubling on the narrow (cursor, successor)
+    table: after k rounds the first 2^k pages of the chain are known and each
+    pointer spans 2^k pages, so a chain of n pages takes log2 n rounds of two
+    joins on a cursor.  A page off the chain is never reached, whatever it
+    points to.
     """
+    if start_cursor < 0:
+        raise ValueError("a cursor must be 0 or more")
     part = list(part)
     step = F.coalesce(F.col("items_count"), F.lit(default_step)).cast("bigint")
-    p = (pages.where(F.col("cursor") >= start_cursor)
-              .withColumn("expected_next", F.coalesce(F.col("next_cursor"), F.col("cursor") + step)))
-    # page keys are narrow (three numbers a page): stored once, read by every branch below
-    keys = materialize(p.select(*part, "cursor", "expected_next"))
-    pointed = keys.select(*part, F.col("expected_next").alias("cursor")).distinct()
-    on_chain = keys.join(pointed, part + ["cursor"], "left_semi").unionByName(
-        keys.where(F.col("cursor") == start_cursor))
-    succ = on_chain.select(*part, F.col("cursor").alias("expected_next")).distinct()
-    breaks = (on_chain.join(succ, part + ["expected_next"], "left_anti")
-              .unionByName(on_chain.where(F.col("expected_next") <= F.col("cursor"))))
-    ends = breaks.groupBy(*part).agg(F.min("cursor").alias("_end"))
-    starts = on_chain.where(F.col("cursor") == start_cursor).select(*part).distinct()
-    chain = (on_chain.join(starts, part, "left_semi")
-             .join(ends, part, "left")
-             .where(F.col("_end").isNull() | (F.col("cursor") <= F.col("_end")))
-             .select(*part, "cursor").distinct())
-    numbered = blocked_running_sum(chain.withColumn("_one", F.lit(1)), part, "cursor", "_one", "page",
-                                   block_width=PAGE_BLOCK * max(default_step, 1))
-    if max_pages is not None:
-        numbered = numbered.where(F.col("page") <= max_pages)
-    numbered = materialize(numbered.withColumn("page", F.col("page").cast("int")).drop("_one"))
-    # stored, so its size is known: broadcast only under the bound, else the
-    # bodies are shuffled to it on (source, run_id, cursor)
-    if (max_pages is not None and max_pages <= BROADCAST_MAX_PAGES) or \
-            numbered.limit(BROADCAST_MAX_PAGES + 1).count() <= BROADCAST_MAX_PAGES:
-        numbered = F.broadcast(numbered)
-    return p.drop("page").join(numbered, part + ["cursor"], "inner")
+    keys = saved(pages.where(F.col("cursor") >= start_cursor).select(
+        *part, "cursor", F.coalesce(F.col("next_cursor"), F.col("cursor") + step).alias("to")), "chain-keys")
+    landed = keys.select(*part, F.col("cursor").alias("to"))
+    jump = saved(keys.where(F.col("to") > F.col("cursor")).join(landed, [*part, "to"], "left_semi")
+                 .select(*part, "cursor", "to"), "chain-jump")
+    reached = saved(keys.where(F.col("cursor") == start_cursor)
+                    .select(*part, "cursor", F.lit(1).alias("page")), "chain-reached")
+    span = 1
+    while max_pages is None or span < max_pages:
+        ahead = saved(reached.join(jump, [*part, "cursor"])
+                      .select(*part, F.col("to").alias("cursor"), (F.col("page") + span).alias("page")), "chain-ahead")
+        if ahead.isEmpty():
+            break
+        reached = reached.unionByName(ahead)
+        second = jump.select(*part, F.col("cursor").alias("to"), F.col("to").alias("to2"))
+        jump = saved(jump.join(second, [*part, "to"]).select(*part, "cursor", F.col("to2").alias("to")), "chain-jump")
+        span *= 2
+    return reached if max_pages is None else reached.where(F.col("page") <= max_pages)

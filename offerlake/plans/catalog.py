@@ -1,8 +1,9 @@
 """Registered queries: one per operator group, each over the driver tables.
 
 Every query builds landed-response fixtures from the base tables in Spark
-(``offerlake.sources.fixtures``) and runs the operators on them, so its work
-grows with the tables.  ``ORACLE_SQL`` states the same answer directly on the
+(``offerlake.sources.fixtures``) and runs the operators on them.  Its work
+grows with the tables, except where reading a prefix is the operator itself
+(page range, target stop).  ``ORACLE_SQL`` states the same answer directly on the
 base tables in plain SQL (DuckDB dialect).  Integers are BIGINT, times are
 epoch microseconds, lists are joined with ``|``.
 """
@@ -17,19 +18,20 @@ from pyspark.sql import functions as F
 
 from offerlake.functions.keys import job_slug, source_id_a, source_id_b, url_a
 from offerlake.functions.salary import has_salary_a, has_salary_b
-from offerlake.functions.text import strip_html
-from offerlake.functions.time import keep_since, posted_at, resolve_since, since_column
+from offerlake.functions.text import with_html_text
+from offerlake.functions.time import keep_since, posted_at, resolve_date, resolve_since, since_column
+from offerlake.operators.corpus import keep_first_copy, search_text, search_vectors, tf_idf
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details, with_sections
 from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
 from offerlake.operators.paging import cursor_chain, page_range
 from offerlake.plans.ingest import plan_run, plan_sources
 from offerlake.session import configure, scratch_path
-from offerlake.sources.fixtures import landed, table
+from offerlake.sources.fixtures import damaged_a, landed, odd_cursors_b, table
 from offerlake.sources.store import append_records, stored_ids
-from offerlake.sources.tables import RAW_POSTINGS, SOURCE_A, SOURCE_B
+from offerlake.sources.tables import QUARANTINE, RAW_POSTINGS, SOURCE_A, SOURCE_B
 
-RUN_DATE = dt.date(2024, 2, 1)
+RUN_DATE = resolve_date("2024-02-01")  # P7
 STAMP = dt.datetime(2024, 2, 1, 12, 0, 0)
 UNLIMITED = 10**9
 
@@ -66,24 +68,40 @@ def q_locate_data_list(spark, sf):
 
 
 def q_cursor_chain(spark, sf):
-    """E5 L4: the cursor chain, numbered from 1."""
-    pages = cursor_chain(locate_data_list(landed(spark, sf, "b")), start_cursor=0, max_pages=None,
-                         default_step=100)
-    return pages.select(_big("page"), "cursor", F.col("next_cursor").alias("api_next"),
-                        F.col("expected_next").alias("next_cursor"))
+    """E5 L4: the cursor chain, numbered from 1; landed batches that it skips have no number."""
+    pages = locate_data_list(landed(spark, sf, "b_skips"))
+    chain = cursor_chain(pages, start_cursor=0, max_pages=None, default_step=100)
+    return pages.drop("page").join(chain, ["source", "run_id", "cursor"]).select(
+        _big("page"), "cursor", F.col("next_cursor").alias("api_next"),
+        F.coalesce("next_cursor", F.col("cursor") + F.col("items_count")).alias("next_cursor"))
 
 
 def q_first_list(spark, sf):
     """The first of postings / content / data that is a list, on both
-    sources' bodies (nested pages have none: E3 does not search)."""
+    sources' bodies; nested pages have none, which is an error (E3 does not search)."""
     a = landed(spark, sf, "a").select("source", F.col("page").cast("bigint").alias("at"), "body")
     b = landed(spark, sf, "b").select("source", F.col("cursor").alias("at"), "body")
-    both = a.unionByName(b).withColumn("postings", first_list(F.col("body")))
-    return both.select("source", "at", F.posexplode("postings").alias("pos", "posting")).select(
-        "source", "at", _big("pos"), F.get_json_object("posting", "$.slug").alias("slug"),
+    both = first_list(a.unionByName(b))
+    return both.select("source", "at", F.col("page_error").isNotNull().alias("failed"),
+                       F.posexplode_outer("postings").alias("pos", "posting")).select(
+        "source", "at", "failed", _big("pos"), F.get_json_object("posting", "$.slug").alias("slug"),
         F.get_json_object("posting", "$.url").alias("url"))
 
 
+def q_strict_bodies_a(spark, sf):
+    """E1 on pages of which some are not one JSON document."""
+    pages = locate_postings(damaged_a(landed(spark, sf, "a")))
+    return pages.select(_big("page"), F.col("page_error").isNotNull().alias("failed"),
+                        F.size("postings").cast("bigint").alias("n_postings"))
+
+
+def q_strict_bodies_b(spark, sf):
+    """Next cursors that are numbers, texts, decimals and none of these."""
+    pages = locate_data_list(odd_cursors_b(landed(spark, sf, "b")))
+    return pages.select("cursor", F.col("page_error").isNotNull().alias("failed"), "next_cursor",
+                        F.size("postings").cast("bigint").alias("n_postings"))
+
+
 # --------------------------------------------------------------------------- P
 
 
@@ -198,7 +216,7 @@ def q_enrich_details(spark, sf):
 def q_enrich_details_b(spark, sf):
     """S4 N1 on a source-B run: details fetched on request are kept as they
     are; several versions of a slug resolve to the latest."""
-    plan = _run_b(spark, sf, fetch_details=True, details=landed(spark, sf, "d"))
+    plan = _run_b(spark, sf, "b_whole", fetch_details=True, details=landed(spark, sf, "d"))
     return plan.records.select("source_id", _big("page"), "details")
 
 
@@ -212,16 +230,16 @@ def q_detail_sections(spark, sf):
 
 def q_strip_html(spark, sf):
     """E9 on whole web pages."""
-    return table(spark, sf, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
+    return with_html_text(table(spark, sf, "pages").select("page_id", "html"), {"text": "html"}).select("page_id", "text")
 
 
 # --------------------------------------------------------------------------- L, runs
 
 
-def _run_b(spark, sf, **kw):
+def _run_b(spark, sf, which="b", **kw):
     args = dict(source=SOURCE_B, run_id="fb", max_pages=UNLIMITED, ingest_date=RUN_DATE, ingested_at=STAMP)
     args.update(kw)
-    return plan_run(spark, landed(spark, sf, "b"), **args)
+    return plan_run(spark, landed(spark, sf, which), **args)
 
 
 def q_empty_page_stop(spark, sf):
@@ -261,38 +279,72 @@ def q_ingest_run_a(spark, sf):
     plan = plan_run(spark, landed(spark, sf, "a"), source=SOURCE_A, run_id="fa", max_pages=UNLIMITED,
                     ingest_date=RUN_DATE, ingested_at=STAMP, target_count=1000, details=landed(spark, sf, "c"))
     r = plan.records
-    return r.select("source_id", _big("page"), F.array_join("sections.must_have", "|").alias("must_have"),
+    return r.select("source_id", _big("page"), "url", F.unix_micros("ingested_at").alias("ingested_us"),
+                    F.array_join("sections.must_have", "|").alias("must_have"),
                     F.col("sections.requirements_description").alias("requirements_description"),
                     F.col("sections.offer_description").alias("offer_description"))
 
 
 def q_run_summary(spark, sf):
-    """Both sources in one frame, records counted per source."""
-    both = landed(spark, sf, "a").unionByName(landed(spark, sf, "b"))
+    """Both sources in one frame, records counted per source and date."""
+    both = landed(spark, sf, "a").unionByName(landed(spark, sf, "b_whole"))
     recs = plan_sources(spark, both, [dict(source=SOURCE_A, run_id="fa"), dict(source=SOURCE_B, run_id="fb")],
                         max_pages=UNLIMITED, ingest_date=RUN_DATE, ingested_at=STAMP)
-    return count_written(recs).select("source", F.col("written").cast("bigint").alias("written"))
+    return count_written(recs).select("source", F.col("ingest_date").cast("string").alias("ingest_date"),
+                                      F.col("written").cast("bigint").alias("written"))
 
 
 def q_normalize_salary(spark, sf):
-    """One row per salary entry of every salaried posting."""
+    """One row per salary entry of every salaried posting of both sources."""
     from offerlake.operators.normalize import normalize_salaries
 
-    p = _a_postings(spark, sf).where(has_salary_a(F.col("v"))).withColumn("id", _id()).drop("v")
-    return normalize_salaries(p, SOURCE_A, listing="posting", keep=("id",)).select(
-        "id", "employment_type", "salary_from", "salary_to", "currency", "period")
+    a = _a_postings(spark, sf).where(has_salary_a(F.col("v"))).withColumn("id", _id()).drop("v")
+    b = landed(spark, sf, "b_whole")
+    b = explode_postings(locate_data_list(b), ["source", "cursor"]).where(has_salary_b(F.col("v")))
+    b = b.select("source", (F.col("cursor") + F.col("pos")).alias("id"), "posting")
+    keep = ("source", "id")
+    return normalize_salaries(a, SOURCE_A, listing="posting", keep=keep).unionByName(
+        normalize_salaries(b, SOURCE_B, listing="posting", keep=keep))
 
 
 def q_stream_ingest(spark, sf):
-    """Landed pages arrive as files; micro-batches dedup and append."""
+    """Landed pages arrive as files, some unreadable; micro-batches dedup, append and quarantine."""
+    from offerlake.sources.store import read_store
     from offerlake.streaming.ingest import run_stream_available_now
 
     landed_dir = scratch_path(spark, "landed-a")
-    landed(spark, sf, "a").repartition(4).write.parquet(landed_dir)  # several files: several micro-batches
-    store = scratch_path(spark, "store-stream")
-    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1)
-    from offerlake.sources.store import read_store
-    return read_store(spark, store, SOURCE_A).select("source_id")
+    pages = damaged_a(landed(spark, sf, "a"))
+    pages.repartition(4).write.parquet(landed_dir)  # several files: several micro-batches
+    store, bad = scratch_path(spark, "store-stream"), scratch_path(spark, "quarantine-stream")
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1, quarantine_path=bad,
+                             checkpoint=scratch_path(spark, "stream-ckpt"))
+    held = spark.read.schema(QUARANTINE).parquet(bad)
+    return read_store(spark, store, SOURCE_A).select(F.lit("posting").alias("kind"), F.col("source_id").alias("value")).unionByName(
+        held.select(F.lit("quarantine").alias("kind"), F.col("page").cast("string").alias("value")))
+
+
+# --------------------------------------------------------------------------- declared stages over texts and vectors
+
+
+def q_exact_dedupe(spark, sf):
+    """D2a on the documents table."""
+    return keep_first_copy(table(spark, sf, "documents"))
+
+
+def q_tf_idf(spark, sf):
+    """D3 on the documents table."""
+    return tf_idf(table(spark, sf, "documents"))
+
+
+def q_search_text(spark, sf):
+    """Every benchmark item as a query against all documents."""
+    return search_text(tf_idf(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+
+
+def q_search_vectors(spark, sf):
+    """Every vector whose id is divisible by 50 against all vectors."""
+    vectors = table(spark, sf, "embeddings")
+    return search_vectors(vectors, vectors.where(F.col("vec_id") % 50 == 0), item_id="vec_id", vector="embedding")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -300,6 +352,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "locate_data_list": q_locate_data_list,
     "cursor_chain": q_cursor_chain,
     "first_list": q_first_list,
+    "strict_bodies_a": q_strict_bodies_a,
+    "strict_bodies_b": q_strict_bodies_b,
     "has_salary_truthy": q_has_salary_truthy,
     "has_salary_numeric": q_has_salary_numeric,
     "source_id_a": q_source_id_a,
@@ -325,6 +379,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_run_a": q_ingest_run_a,
     "stream_ingest": q_stream_ingest,
     "normalize_salary": q_normalize_salary,
+    "exact_dedupe": q_exact_dedupe,
+    "tf_idf": q_tf_idf,
+    "search_text": q_search_text,
+    "search_vectors": q_search_vectors,
 }
 
 
@@ -343,7 +401,10 @@ _E = "e AS (SELECT (SELECT max(event_id) FROM events) - event_id AS g, * FROM ev
 # an id of 0 is falsy, so that posting falls through to its slug
 _SID_B = ("CASE WHEN event_type = 'purchase' THEN 'user-' || user_id WHEN event_id = 0 THEN 'e-0' "
           "ELSE CAST(event_id AS VARCHAR) END")
-_OK_B = "event_type IN ('click','purchase','error') AND g NOT BETWEEN 7000 AND 7099"
+_OK_W = "event_type IN ('click','purchase','error')"  # batches without the empty one
+_OK_B = _OK_W + " AND g // 100 <> (SELECT (max(event_id) // 100 + 1) * 7 // 10 FROM events)"
+# damaged pages that aren't one JSON document
+_BAD_A = "(o_orderkey // 20 + 1) % 7 IN (1, 2, 3)"
 _SID_A = "CASE WHEN o_orderkey % 3 = 0 THEN 'C' || o_custkey ELSE 'order-' || o_orderkey END"
 _TRIM = "regexp_replace({x}, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')"
 _SECTIONS = f"""
@@ -353,23 +414,54 @@ SELECT 'order-' || l_orderkey AS job_slug,
        'Total' || CASE WHEN l_orderkey % 4 = 0 THEN '; ' ELSE chr(10) END || count(*) AS offer_description
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""
 
+_TERMS = "unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))"
+_WEIGHTS = f"""t AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT doc_id, term, CAST(round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df) * 1000000) AS BIGINT) AS weight
+      FROM c JOIN f USING (term))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "exact_dedupe": """SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents
+GROUP BY trim(regexp_replace(lower(coalesce(text, '')), '[\\x09-\\x0D\\x20]+', ' ', 'g'))""",
+    "tf_idf": f"WITH {_WEIGHTS} SELECT doc_id, term, weight FROM w",
+    "search_text": f"""WITH {_WEIGHTS},
+q AS (SELECT DISTINCT item_id AS query_id, {_TERMS} AS term FROM benchmark),
+s AS (SELECT query_id, doc_id, CAST(sum(weight) AS BIGINT) AS score FROM w JOIN q USING (term) GROUP BY ALL)
+SELECT query_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+    "search_vectors": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
+             CAST(round(list_cosine_similarity(q.v, e.v) * 1000000) AS BIGINT) AS score
+      FROM e q, e WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "locate_postings": "SELECT o_orderkey // 20 + 1 AS page, o_orderkey % 20 AS pos, o_orderkey AS id FROM orders",
     "locate_data_list": f"""WITH {_E}
 SELECT (g // 100) * 100 AS cursor, g % 100 AS pos,
        CASE WHEN event_type <> 'purchase' THEN event_id END AS id,
        CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END AS slug
 FROM e""",
-    "cursor_chain": """SELECT b + 1 AS page, b * 100 AS cursor, CASE WHEN b % 2 = 0 THEN (b + 1) * 100 END AS api_next,
-       (b + 1) * 100 AS next_cursor
-FROM (SELECT DISTINCT ((SELECT max(event_id) FROM events) - event_id) // 100 AS b FROM events)""",
-    "first_list": f"""SELECT 'nofluff' AS source, o_orderkey // 20 + 1 AS at, o_orderkey % 20 AS pos,
+    "cursor_chain": """WITH b AS (SELECT DISTINCT ((SELECT max(event_id) FROM events) - event_id) // 100 AS b FROM events),
+c AS (SELECT b, CASE WHEN b % 10 = 4 THEN b + 3 WHEN b % 2 = 0 THEN b + 1 END AS nxt FROM b WHERE b % 10 NOT IN (5, 6))
+SELECT row_number() OVER (ORDER BY b) AS page, b * 100 AS cursor, nxt * 100 AS api_next, coalesce(nxt, b + 1) * 100 AS next_cursor
+FROM c""",
+    "first_list": f"""SELECT 'nofluff' AS source, o_orderkey // 20 + 1 AS at, false AS failed, o_orderkey % 20 AS pos,
        CAST(NULL AS VARCHAR) AS slug, 'order-' || o_orderkey AS url
 FROM orders WHERE (o_orderkey // 20 + 1) % 10 <> 0
 UNION ALL
-SELECT 'justjoin', (g // 100) * 100, g % 100,
+SELECT DISTINCT 'nofluff', o_orderkey // 20 + 1, true, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM orders WHERE (o_orderkey // 20 + 1) % 10 = 0
+UNION ALL
+SELECT 'justjoin', (g // 100) * 100, false, g % 100,
        CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END, NULL
 FROM (SELECT (SELECT max(event_id) FROM events) - event_id AS g, * FROM events)""",
+    "strict_bodies_a": f"""SELECT page, failed, CASE WHEN NOT failed THEN n END AS n_postings
+FROM (SELECT o_orderkey // 20 + 1 AS page, {_BAD_A} AS failed, count(*) AS n FROM orders GROUP BY 1, 2)""",
+    "strict_bodies_b": f"""WITH {_E}, b AS (SELECT g // 100 AS b, count(*) AS n FROM e GROUP BY 1),
+k AS (SELECT *, b % 2 = 0 AND (b // 2) % 4 = 3 AS failed FROM b)
+SELECT b * 100 AS cursor, failed, CASE WHEN b % 2 = 0 AND NOT failed THEN (b + 1) * 100 END AS next_cursor,
+       CASE WHEN NOT failed THEN n END AS n_postings FROM k""",
     "has_salary_truthy": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F','O')",
     "has_salary_numeric": f"WITH {_E} SELECT (g // 100) * 100 AS cursor, g % 100 AS pos FROM e WHERE {_OK_B}",
     "source_id_a": f"SELECT o_orderkey AS id, {_SID_A} AS source_id FROM orders",
@@ -396,17 +488,18 @@ SELECT source_id, min(o_orderkey) // 20 + 1 AS page, min(o_orderkey) AS id FROM
 WHERE source_id NOT IN (SELECT source_id FROM s) GROUP BY source_id""",
     "run_summary": f"""WITH a AS (SELECT count(DISTINCT {_SID_A}) AS n FROM orders WHERE o_orderstatus IN ('F','O')),
 {_E},
-s AS (SELECT g // 100 AS b, {_SID_B} AS source_id, {_OK_B} AS ok FROM e),
+s AS (SELECT g // 100 AS b, {_SID_B} AS source_id, {_OK_W} AS ok FROM e),
 st AS (SELECT coalesce(min(b), 1000000000) AS stop FROM (SELECT b FROM s GROUP BY b HAVING NOT bool_or(ok))),
 bb AS (SELECT count(DISTINCT source_id) AS n FROM s WHERE ok AND b < (SELECT stop FROM st))
-SELECT 'nofluff' AS source, n AS written FROM a UNION ALL SELECT 'justjoin' AS source, n AS written FROM bb""",
+SELECT 'nofluff' AS source, '2024-02-01' AS ingest_date, n AS written FROM a
+UNION ALL SELECT 'justjoin', '2024-02-01', n FROM bb""",
     "enrich_details": """SELECT o_orderkey AS id,
        (o_orderkey % 3 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS has_details
 FROM orders""",
     "enrich_details_b": f"""WITH {_E},
 s AS (SELECT g, g // 100 AS b, {_SID_B} AS source_id,
              CASE WHEN event_type = 'purchase' THEN 'user-' || user_id ELSE 'e-' || event_id END AS job_slug,
-             {_OK_B} AS ok FROM e),
+             {_OK_W} AS ok FROM e),
 l1 AS (SELECT coalesce(min(b), 1000000000) - 1 AS stop FROM (SELECT b FROM s GROUP BY b HAVING NOT bool_or(ok))),
 f AS (SELECT source_id, arg_min(job_slug, g) AS job_slug, min(g) // 100 AS b FROM s
       WHERE ok AND b <= (SELECT stop FROM l1) GROUP BY source_id),
@@ -459,13 +552,19 @@ SELECT source_id, b + 1 AS page FROM n WHERE b <= (SELECT stop FROM st)""",
 f AS (SELECT source_id, min(k) AS k FROM p GROUP BY source_id),
 c AS (SELECT k // 20 + 1 AS page, sum(count(*)) OVER (ORDER BY k // 20 + 1) AS cum FROM f GROUP BY 1),
 st AS (SELECT coalesce(min(page), 1000000000) AS stop FROM c WHERE cum >= 1000),
-r AS (SELECT source_id, k // 20 + 1 AS page FROM f WHERE k // 20 + 1 <= (SELECT stop FROM st)),
+r AS (SELECT source_id, k, k // 20 + 1 AS page FROM f WHERE k // 20 + 1 <= (SELECT stop FROM st)),
 d AS ({_SECTIONS})
-SELECT r.source_id, r.page, d.must_have, d.requirements_description, d.offer_description
+SELECT r.source_id, r.page, 'order-' || r.k AS url, epoch_us(TIMESTAMP '2024-02-01 12:00:00') AS ingested_us,
+       d.must_have, d.requirements_description, d.offer_description
 FROM r LEFT JOIN d ON d.job_slug = r.source_id""",
-    "stream_ingest": f"SELECT DISTINCT {_SID_A} AS source_id FROM orders WHERE o_orderstatus IN ('F','O')",
-    "normalize_salary": """SELECT o_orderkey AS id, CAST(NULL AS VARCHAR) AS employment_type, o_totalprice AS salary_from,
+    "stream_ingest": f"""SELECT DISTINCT 'posting' AS kind, {_SID_A} AS value FROM orders
+WHERE o_orderstatus IN ('F','O') AND NOT ({_BAD_A})
+UNION ALL SELECT DISTINCT 'quarantine', CAST(o_orderkey // 20 + 1 AS VARCHAR) FROM orders WHERE {_BAD_A}""",
+    "normalize_salary": f"""WITH {_E}
+SELECT 'nofluff' AS source, o_orderkey AS id, CAST(NULL AS VARCHAR) AS employment_type, o_totalprice AS salary_from,
        CAST(NULL AS DOUBLE) AS salary_to, 'PLN' AS currency, 'month' AS period FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_orderkey, 'b2b', o_totalprice, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT o_orderkey, 'perm', NULL, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'""",
+UNION ALL SELECT 'nofluff', o_orderkey, 'b2b', o_totalprice, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'nofluff', o_orderkey, 'perm', NULL, NULL, 'PLN', 'month' FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'justjoin', g, CASE WHEN event_type <> 'click' THEN 'b2b' END,
+       CASE WHEN event_type = 'error' THEN 0.0 ELSE value END, NULL, 'PLN', 'month' FROM e WHERE {_OK_W}""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every plan assumes.  Timestamps are UTC throughout; a
 # duplicate JSON key keeps the last value (as Python's json.loads does).
@@ -17,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows that a Python worker holds at a time: texts may be long
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -25,9 +28,37 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the session was started.
+
+    Functions that run in workers are pickled by module name.  Unless the
+    package's folder is on ``PYTHONPATH`` (or the package is installed), its
+    sources are sent to the workers as a zip file, once per application.
+    """
+    app = spark.sparkContext.applicationId
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _shipped or root in on_path or "site-packages" in here:
+        return
+    _shipped.add(app)
+    path = os.path.join(tempfile.mkdtemp(prefix="offerlake-py-"), "offerlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+
+
 def get_session(master: str | None = None, app: str = "offerlake",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.
@@ -58,16 +89,17 @@ def get_session(master: str | None = None, app: str = "offerlake",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder
-    created and registered.
+    Only when a local session names none (tests) is a private folder created
+    and registered; on a cluster it must be named, as executors share nothing else.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
     if not root:
-        # only when nothing names one (local tests); a core setting cannot be
-        # changed at runtime, so the context's checkpoint dir carries it
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # a core setting cannot be changed at runtime, so the context's checkpoint dir carries it
         root = tempfile.mkdtemp(prefix="offerlake-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -91,3 +123,10 @@ def materialize(df):
     checkpoints survive executor loss (never ``localCheckpoint``)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: computed once, and not again when an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ write such tables from the TPC-H-like test data so that each query parses
 real JSON while its expected answer can be stated in SQL on the base tables:
 
 * F-A  listing pages of source A from ``orders`` (20 postings per page);
-* F-B  cursor batches of source B from ``events`` (100 per batch, newest first);
+* F-B  cursor batches of source B from ``events`` (100 per batch, newest first), with
+  one batch without salaries after seven tenths of them; without such a batch; and
+  with a chain that skips landed batches;
 * F-C  detail documents for F-A from ``lineitem`` join ``part``.
 
 Each page is one group of at most 20 (A) or 100 (B) rows, so the
@@ -15,6 +17,7 @@ Each page is one group of at most 20 (A) or 100 (B) rows, so the
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,12 +95,15 @@ def fixture_a(spark: SparkSession, sf_dir: str, run_id: str = "fa",
         _ts_lit(fetched_at).alias("fetched_at"), "body")
 
 
-def events_postings(events: DataFrame) -> DataFrame:
-    """One source-B posting per event, newest first: batch ``g div 100``."""
-    g = F.lit(events.select(F.max("event_id")).scalar()) - F.col("event_id")
+def events_postings(events: DataFrame, empty_batch: bool = True) -> DataFrame:
+    """One source-B posting per event, newest first: batch ``g div 100``.  With
+    ``empty_batch`` the batch after seven tenths of all has no salary."""
+    last = F.lit(events.select(F.max("event_id")).scalar())
+    g = last - F.col("event_id")
     et = F.col("event_type")
     value = F.col("value")
-    empty = g.between(7000, 7099)
+    batches = F.floor(last / PAGE_SIZE_B) + 1
+    empty = (F.floor(g / PAGE_SIZE_B) == F.floor(batches * 7 / 10)) if empty_batch else F.lit(False)
     entry = lambda amount: F.array(F.struct(F.lit("b2b").alias("type"), amount.alias("from")))
     posting = F.to_json(F.struct(
         F.when(et != "purchase", F.col("event_id")).alias("id"),
@@ -115,12 +121,17 @@ def events_postings(events: DataFrame) -> DataFrame:
         posting.alias("posting"))
 
 
-def fixture_b(spark: SparkSession, sf_dir: str, run_id: str = "fb",
-              fetched_at: dt.datetime = FIXTURE_FETCHED_AT) -> DataFrame:
-    """F-B: landed cursor batches of source B; ``meta.next`` only on even batches."""
-    items = events_postings(table(spark, sf_dir, "events"))
+def fixture_b(spark: SparkSession, sf_dir: str, run_id: str = "fb", fetched_at: dt.datetime = FIXTURE_FETCHED_AT,
+              empty_batch: bool = True, skips: bool = False) -> DataFrame:
+    """F-B: landed cursor batches of source B; ``meta.next`` only on even batches.
+
+    With ``skips``, a batch numbered 4 modulo 10 points three batches ahead, so
+    the two after it are off the chain; the first of those points past it."""
+    items = events_postings(table(spark, sf_dir, "events"), empty_batch)
     b = F.col("batch")
-    nxt = F.when(b % 2 == 0, F.concat(F.lit('"next":{"cursor":'), ((b + 1) * PAGE_SIZE_B).cast("string"), F.lit("}"))).otherwise(F.lit(""))
+    ahead = F.when(F.lit(skips) & (b % 10 == 4), 3).when(F.lit(skips) & (b % 10 == 5), 4).when(b % 2 == 0, 1)
+    nxt = F.when(ahead.isNotNull(), F.concat(F.lit('"next":{"cursor":'), ((b + ahead) * PAGE_SIZE_B).cast("string"),
+                                             F.lit("}"))).otherwise(F.lit(""))
     pages = _assemble(items, ["batch"], F.lit('{"data":['), F.concat(F.lit('],"meta":{'), nxt, F.lit("}}")))
     return pages.select(
         F.lit(SOURCE_B).alias("source"), F.lit(run_id).alias("run_id"),
@@ -129,6 +140,23 @@ def fixture_b(spark: SparkSession, sf_dir: str, run_id: str = "fb",
         _ts_lit(fetched_at).alias("fetched_at"), "body")
 
 
+def damaged_a(pages: DataFrame) -> DataFrame:
+    """F-A pages of which some aren't one JSON document: text after it, single quotes, cut off."""
+    kind = F.col("page") % 7
+    return pages.withColumn("body", F.when(kind == 1, F.concat("body", F.lit(" trailing")))
+                            .when(kind == 2, F.replace("body", F.lit('"'), F.lit("'")))
+                            .when(kind == 3, F.expr("substring(body, 1, length(body) - 1)"))
+                            .when(kind == 4, F.concat("body", F.lit("\n"))).otherwise(F.col("body")))
+
+
+def odd_cursors_b(pages: DataFrame) -> DataFrame:
+    """F-B pages whose next cursor, if given, is a number, a text, a decimal or no number."""
+    kind = F.floor(F.col("cursor") / (2 * PAGE_SIZE_B)) % 4
+    to = lambda x: F.regexp_replace("body", r'"cursor":(\d+)', f'"cursor":{x}')
+    return pages.withColumn("body", F.when(kind == 1, to('"$1"')).when(kind == 2, to("$1.0"))
+                            .when(kind == 3, to('"p$1"')).otherwise(F.col("body")))
+
+
 def fixture_c(spark: SparkSession, sf_dir: str, fetched_at: dt.datetime = FIXTURE_FETCHED_AT) -> DataFrame:
     """F-C: one detail document per order with lineitems; modern form, or the
     legacy ``sections`` form when ``l_orderkey % 4 = 0``."""
@@ -186,7 +214,9 @@ def landed(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
     path = _LANDED.get(key)
     if path is None:
-        build = {"a": fixture_a, "b": fixture_b, "c": fixture_c, "d": fixture_d}[which]
+        build = {"a": fixture_a, "b": fixture_b, "c": fixture_c, "d": fixture_d,
+                 "b_whole": partial(fixture_b, empty_batch=False),
+                 "b_skips": partial(fixture_b, empty_batch=False, skips=True)}[which]
         path = scratch_path(spark, f"landed-{which}")
         build(spark, sf_dir).write.parquet(path)
         _LANDED[key] = path

@@ -6,12 +6,16 @@ posting per ``(source, ingest_date, source_id)`` within the batch (A1),
 drops ids already in the store partition (A2) and appends (S5) inside
 ``foreachBatch``.  A replayed micro-batch (after a failure between the
 write and the offset commit) finds its rows in the store and writes nothing
-twice.  Paging stops (L1-L4) need a complete run and stay batch-only; across
-micro-batches "first" means first to arrive.
+twice.  Pages that cannot be read are appended to a quarantine table, each
+once.  A page without a fetch time is filed under the first day of 1970, so
+that a replay finds it.  Paging stops (L1-L4) need a complete run and stay
+batch-only; across micro-batches "first" means first to arrive.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,58 +23,81 @@ from offerlake.functions.keys import SOURCE_ID_KEYS_A, SOURCE_ID_KEYS_B, URL_KEY
 from offerlake.operators.dedup import first_seen, skip_existing
 from offerlake.operators.extract import locate_data_list, locate_postings
 from offerlake.plans.ingest import salaried_postings
-from offerlake.session import scratch_path
-from offerlake.sources.store import append_records, read_store
-from offerlake.sources.tables import LANDED_PAGES, RAW_POSTINGS, SECTIONS, SOURCE_A
+from offerlake.sources.store import append_records, path_exists, read_store
+from offerlake.sources.tables import LANDED_PAGES, QUARANTINE, RAW_POSTINGS, SECTIONS, SOURCE_A
+
+
+NO_DATE = dt.date(1970, 1, 1)
 
 
 def stream_postings(pages: DataFrame, source: str) -> DataFrame:
-    """Stateless part: one row per salaried posting with its keys."""
+    """Stateless part: one row per salaried posting with its keys, and one per
+    unreadable page, with ``page_error`` and ``body``."""
     pages = pages.where(F.col("source") == source)
     pages = locate_postings(pages) if source == SOURCE_A else locate_data_list(pages)
-    posts = salaried_postings(pages.where(F.col("page_error").isNull()), source,
-                              keep=("source", "run_id", "page", "cursor", "fetched_at"))
-    posts = posts.where(F.col("salaried"))
+    pages = pages.withColumn("body", F.when(F.col("page_error").isNotNull(), F.col("body")))
+    posts = salaried_postings(pages, source,
+                              keep=("source", "run_id", "page", "cursor", "fetched_at", "page_error", "body"))
+    posts = posts.where(F.col("salaried") | F.col("page_error").isNotNull())
     keys = (SOURCE_ID_KEYS_A, URL_KEYS_A) if source == SOURCE_A else (SOURCE_ID_KEYS_B, URL_KEYS_B)
     return (with_keys(posts, *keys)
-            .withColumn("ingest_date", F.to_date("fetched_at"))
+            .withColumn("ingest_date", F.coalesce(F.to_date("fetched_at"), F.lit(NO_DATE)))
             .withColumn("order_key", F.coalesce(F.col("page").cast("bigint"), F.col("cursor")))
             .drop("v"))
 
 
-def write_batch(store_path: str):
-    """``foreachBatch`` body: dedup within the batch, anti-join the store, append."""
+def _quarantine(batch: DataFrame, path: str) -> None:
+    """Append the batch's unreadable pages that the quarantine table does not hold."""
+    bad = batch.where(F.col("page_error").isNotNull()).select(
+        "source", "run_id", "page", "cursor", F.col("page_error").alias("reason"), "body")
+    spark = batch.sparkSession
+    if path_exists(spark, path):
+        held = spark.read.schema(QUARANTINE).parquet(path)
+        same = [bad[c].eqNullSafe(held[c]) for c in ("source", "run_id", "page", "cursor", "body")]
+        bad = bad.join(held, same, "left_anti")
+    if not bad.isEmpty():
+        bad.write.mode("append").partitionBy("source").parquet(path)
+
+
+def write_batch(store_path: str, quarantine_path: str):
+    """``foreachBatch`` body: dedup within the batch, anti-join the store, append; bad pages to quarantine."""
     def _write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()  # read twice below: the batch's dates, then the write
-        new = first_seen(batch, keys=("source", "ingest_date", "source_id"),
+        batch = batch.persist()  # read several times below
+        _quarantine(batch, quarantine_path)
+        good = batch.where(F.col("page_error").isNull())
+        new = first_seen(good, keys=("source", "ingest_date", "source_id"),
                          order=("fetched_at", "order_key", "pos"))
-        # the batch's dates are few; listing them prunes the store to those partitions
-        dates = [r[0] for r in batch.select("ingest_date").distinct().collect()]
-        stored = (read_store(spark, store_path).where(F.col("ingest_date").isin(dates))
-                  .select("source", "ingest_date", "source_id"))
-        new = skip_existing(new, stored, keys=("source", "ingest_date", "source_id"))
-        records = new.select(
-            "source_id", "job_slug", F.current_timestamp().alias("ingested_at"),
-            F.col("page").cast("int").alias("page"), "url", F.col("posting").alias("listing"),
-            F.lit(None).cast("string").alias("details"), F.lit(None).cast(SECTIONS).alias("sections"),
-            "run_id", "source", "ingest_date")
-        append_records(records.select(*[f.name for f in RAW_POSTINGS.fields]), store_path)
+        # the span of the batch's dates prunes the store to those partitions
+        span = good.agg(F.min("ingest_date").alias("a"), F.max("ingest_date").alias("b"),
+                        F.min("source").alias("s"), F.max("source").alias("t")).first()
+        if span["a"] is not None:
+            stored = read_store(spark, store_path).where(
+                F.col("ingest_date").between(span["a"], span["b"]) & F.col("source").between(span["s"], span["t"]))
+            keys = ("source", "ingest_date", "source_id")
+            new = skip_existing(new, stored.select(*keys), keys=keys)
+            records = new.select(
+                "source_id", "job_slug", F.current_timestamp().alias("ingested_at"),
+                F.col("page").cast("int").alias("page"), "url", F.col("posting").alias("listing"),
+                F.lit(None).cast("string").alias("details"), F.lit(None).cast(SECTIONS).alias("sections"),
+                "run_id", "source", "ingest_date")
+            append_records(records.select(*[f.name for f in RAW_POSTINGS.fields]), store_path)
         batch.unpersist()
     return _write
 
 
 def start_stream(spark: SparkSession, landed_dir: str, store_path: str, *, source: str,
-                 checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                 checkpoint: str, quarantine_path: str | None = None, max_files_per_trigger: int | None = None,
                  available_now: bool = False, processing_time: str | None = None):
-    """Start the streaming query; the checkpoint defaults to a fresh folder
-    under the session's shared checkpoint directory."""
+    """Start the streaming query.  ``checkpoint`` is the folder it goes on from
+    at the next start; unreadable pages go to ``quarantine_path`` (default: a
+    folder beside the store)."""
     reader = spark.readStream.schema(LANDED_PAGES)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     posts = stream_postings(reader.parquet(landed_dir), source)
-    writer = (posts.writeStream.foreachBatch(write_batch(store_path))
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
+    writer = (posts.writeStream.foreachBatch(write_batch(store_path, quarantine_path or f"{store_path.rstrip('/')}_quarantine"))
+              .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -79,9 +106,10 @@ def start_stream(spark: SparkSession, landed_dir: str, store_path: str, *, sourc
 
 
 def run_stream_available_now(spark: SparkSession, landed_dir: str, store_path: str, *, source: str,
-                             checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> None:
+                             checkpoint: str, quarantine_path: str | None = None,
+                             max_files_per_trigger: int | None = None) -> None:
     """Process every landed file present now, in one or more micro-batches."""
-    q = start_stream(spark, landed_dir, store_path, source=source, checkpoint=checkpoint,
+    q = start_stream(spark, landed_dir, store_path, source=source, checkpoint=checkpoint, quarantine_path=quarantine_path,
                      max_files_per_trigger=max_files_per_trigger, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:

@@ -51,11 +51,49 @@ def test_first_seen_limits_before_the_shuffle(spark):
     assert any("WindowGroupLimit" in ln for ln in lines[exch + 1:])
 
 
-def test_stops_are_broadcast(spark, tmp_path):
-    pages = {pg: [{"title": "t", "url": f"u{pg}", "salary": 1}] for pg in range(1, 4)}
-    plan = plan_run(spark, _landed_parquet(spark, tmp_path, pages), source=SOURCE_A, run_id="r", max_pages=10,
+def test_the_stop_reaches_the_scan(spark, tmp_path):
+    """A run that ends at page 2 reads no body of a later page for its records."""
+    pages = {pg: [{"title": "t", "url": f"u{pg}", "salary": 1 if pg < 3 else 0}] for pg in range(1, 9)}
+    plan = plan_run(spark, _landed_parquet(spark, tmp_path, pages), source=SOURCE_A, run_id="r", max_pages=1000,
                     ingest_date=DATE)
-    assert "BroadcastHashJoin" in _plan(plan.records)
+    assert "LessThanOrEqual(page,2)" in _plan(plan.records)
+    assert sorted(r["page"] for r in plan.records.collect()) == [1, 2]
+
+
+def test_the_target_reaches_the_scan(spark, tmp_path):
+    pages = {pg: [{"title": "t", "url": f"u{pg}-{i}", "salary": 1} for i in range(5)] for pg in range(1, 9)}
+    plan = plan_run(spark, _landed_parquet(spark, tmp_path, pages), source=SOURCE_A, run_id="r", max_pages=1000,
+                    ingest_date=DATE, target_count=12)
+    assert "LessThanOrEqual(page,3)" in _plan(plan.records)
+    assert plan.records.count() == 15
+
+
+def test_hot_slug_is_split(spark):
+    """Two thirds of the records share a slug: adaptive execution splits their partition."""
+    from offerlake.operators.details import attach_details
+    from offerlake.sources.tables import SOURCE_B
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "65536"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        recs = spark.range(0, 200_000, 1, 8).select(
+            F.lit(SOURCE_B).alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("text"),
+            F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5000)).alias("job_slug"))
+        details = spark.range(5000).select(
+            F.lit(SOURCE_B).alias("source"), F.concat(F.lit("s"), F.col("id")).alias("job_slug"),
+            F.current_timestamp().alias("fetched_at"), F.lit("{}").alias("body"), F.lit(None).cast("string").alias("error"))
+        joined = attach_details(recs, details.union(details.limit(1).withColumn("job_slug", F.lit("hot"))), SOURCE_B)
+        assert joined.where("details IS NOT NULL").count() > 133_000
+        out = joined.groupBy("details").agg(F.max("text"))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_hot_id_holding_a_third_of_rows(spark, tmp_path):
@@ -72,6 +110,6 @@ def test_hot_id_holding_a_third_of_rows(spark, tmp_path):
     landed = _landed_parquet(spark, tmp_path, pages)
     plan = plan_run(spark, landed, source=SOURCE_A, run_id="r", max_pages=100, ingest_date=DATE, target_count=500)
     got = sorted((r["source_id"], r["page"]) for r in plan.records.collect())
-    want = sorted(model.run_a(pages, start_page=1, pages=100, target=500))
+    want = sorted(model.run_a(pages, start_page=1, pages_max=100, target=500))
     assert got == want
     assert ("HOT", 1) in got and sum(1 for s, _ in got if s == "HOT") == 1

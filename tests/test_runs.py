@@ -101,7 +101,7 @@ def test_run_a_matches_sequential_model(spark, seed):
     plan = plan_run(spark, _landed_a(spark, pages), source=SOURCE_A, run_id="r", max_pages=n, start_page=start,
                     since=since, target_count=target, store_path=store, ingest_date=DATE)
     got = sorted((r["source_id"], r["page"]) for r in plan.records.collect())
-    want = sorted(model.run_a(_model_pages_a(pages), start_page=start, pages=n, since=since, target=target,
+    want = sorted(model.run_a(_model_pages_a(pages), start_page=start, pages_max=n, since=since, target=target,
                               stored=frozenset(stored)))
     assert got == want
 
@@ -113,8 +113,9 @@ def _case_b(rng):
         cursors.append(c)
         r = rng.random()
         if r < 0.15:
-            nxt = c + 200  # skips a page that is landed but never requested
-            batches[c + 100] = ([_posting(rng, 40, b=True)], None)
+            nxt = c + 200  # skips a page that is landed but never requested; it may point past the chain
+            batches[c + 100] = ([_posting(rng, 40, b=True)], rng.choice([None, c + 150, c + 300]))
+            batches[c + 150] = ([_posting(rng, 40, b=True)], None)
         elif r < 0.5:
             nxt = c + 100
         elif r < 0.55:
@@ -143,7 +144,7 @@ def test_run_b_matches_sequential_model(spark, seed):
     plan = plan_run(spark, landed, source=SOURCE_B, run_id="r", max_pages=n, since=since, target_count=target,
                     store_path=store, ingest_date=DATE)
     got = sorted((r["source_id"], r["page"]) for r in plan.records.collect())
-    want = sorted(model.run_b(batches, start_page=1, pages=n, since=since, target=target, stored=frozenset(stored)))
+    want = sorted(model.run_b(batches, pages_max=n, since=since, target=target, stored=frozenset(stored)))
     assert got == want
 
 
@@ -155,7 +156,7 @@ def test_run_ingest_is_idempotent_and_counts(spark):
     kw = dict(source=SOURCE_A, run_id="r", max_pages=50, ingest_date=DATE, store_path=store)
     first = {r["source"]: r["written"] for r in run_ingest(spark, landed, **kw).collect()}
     n_first = read_store(spark, store, SOURCE_A, DATE).count()
-    assert first.get(SOURCE_A, 0) == n_first == len(model.run_a(_model_pages_a(pages), start_page=1, pages=50))
+    assert first.get(SOURCE_A, 0) == n_first == len(model.run_a(_model_pages_a(pages), start_page=1, pages_max=50))
     second = {r["source"]: r["written"] for r in run_ingest(spark, landed, **kw).collect()}
     assert second.get(SOURCE_A, 0) == 0
     assert read_store(spark, store, SOURCE_A, DATE).count() == n_first
@@ -185,15 +186,83 @@ def test_stream_ingest_replay_safe(spark):
     landed_dir = scratch_path(spark, "test-landed")
     _landed_a(spark, pages).repartition(3).write.parquet(landed_dir)
     store = scratch_path(spark, "test-stream-store")
-    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1)
-    want = {model.key(p, model.A_IDS) for ps in _model_pages_a(pages).values() for p in ps if model.has_salary_a(p)}
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1,
+                             checkpoint=scratch_path(spark, "test-stream-ckpt"))
+    want = {model.name_of(p, model.A_IDS) for ps in _model_pages_a(pages).values() for p in ps if model.pays_a(p)}
     got = [r["source_id"] for r in read_store(spark, store, SOURCE_A).collect()]
     assert sorted(got) == sorted(want)
     # a second stream over the same files (fresh checkpoint) writes nothing twice
-    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A)
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, checkpoint=scratch_path(spark, "test-stream-ckpt"))
     assert read_store(spark, store, SOURCE_A).count() == len(want)
 
 
+def test_bad_page_has_a_default_quarantine(spark):
+    rows = [(SOURCE_A, "r", 1, None, None, dt.datetime(2024, 3, 1), json.dumps({"postings": [{"id": 1, "salary": 1}]})),
+            (SOURCE_A, "r", 2, None, None, dt.datetime(2024, 3, 1), '{"postings": [{"id": 2, "salary": 1}]} x')]
+    store = scratch_path(spark, "test-default-q")
+    run_ingest(spark, spark.createDataFrame(rows, LANDED_PAGES), source=SOURCE_A, run_id="r", max_pages=10, ingest_date=DATE,
+               store_path=store)
+    assert [r["page"] for r in spark.read.parquet(f"{store}_quarantine").collect()] == [2]
+
+
+def test_two_writes_in_one_second_count_their_own(spark):
+    def landed(i):
+        return spark.createDataFrame([(SOURCE_A, "r", 1, None, None, dt.datetime(2024, 3, 1),
+                                       json.dumps({"postings": [{"id": i, "salary": 1}]}))], LANDED_PAGES)
+    store = scratch_path(spark, "test-stamp")
+    second = dt.datetime(2024, 3, 1, 12, 0, 0)
+    counts = [run_ingest(spark, landed(i), source=SOURCE_A, run_id="r", max_pages=1, ingest_date=DATE, store_path=store,
+                         ingested_at=second.replace(microsecond=i)).first()["written"] for i in (1, 2)]
+    assert counts == [1, 1]
+
+
+def test_a_page_fetched_again_counts_once(spark):
+    old = [{"id": "o1", "salary": 1}, {"id": "o2", "salary": 1}]
+    rows = [(SOURCE_A, "r", 1, None, None, dt.datetime(2024, 3, 1), json.dumps({"postings": old})),
+            (SOURCE_A, "r", 1, None, None, dt.datetime(2024, 3, 2), json.dumps({"postings": [{"id": "n1", "salary": 1}]})),
+            (SOURCE_A, "r", 2, None, None, dt.datetime(2024, 3, 1), json.dumps({"postings": [{"id": "p2", "salary": 1}]}))]
+    plan = plan_run(spark, spark.createDataFrame(rows, LANDED_PAGES), source=SOURCE_A, run_id="r", max_pages=9, ingest_date=DATE)
+    assert sorted((r["source_id"], r["page"]) for r in plan.records.collect()) == [("n1", 1), ("p2", 2)]
+
+
+def test_stops_beyond_the_first_range(spark, monkeypatch):
+    """The result does not depend on the widths of the ranges that are searched."""
+    from offerlake.plans import ingest
+    rng = random.Random(21)
+    pages = {pg: [_posting(rng, 400) for _ in range(6)] + [{"url": f"x{pg}", "salary": 1}] for pg in range(1, 40)}
+    pages[30] = [{"title": "nothing"}]
+    landed = _landed_a(spark, pages)
+    kw = dict(source=SOURCE_A, run_id="r", max_pages=100, ingest_date=DATE)
+    for target in (None, 60):
+        want = sorted(model.run_a(_model_pages_a(pages), start_page=1, pages_max=100, target=target))
+        for width, growth in ((256, 8), (4, 2)):
+            monkeypatch.setattr(ingest, "FIRST_RANGE", width)
+            monkeypatch.setattr(ingest, "RANGE_GROWTH", growth)
+            got = plan_run(spark, landed, target_count=target, **kw).records
+            assert sorted((r["source_id"], r["page"]) for r in got.collect()) == want
+
+
+def test_stream_quarantines_each_bad_page_once(spark):
+    rows = [(SOURCE_A, "r", pg, None, None, at, body) for pg, at, body in
+            [(1, dt.datetime(2024, 3, 1), '{"postings": [{"id": "a", "salary": 1}]}'), (2, dt.datetime(2024, 3, 1), "broken"),
+             (3, None, '{"postings": [{"id": "c", "salary": 1}]}')]]
+    landed_dir, store = scratch_path(spark, "test-bad-landed"), scratch_path(spark, "test-bad-store")
+    spark.createDataFrame(rows, LANDED_PAGES).write.parquet(landed_dir)
+    for _ in range(2):  # the second start has no checkpoint: a replay
+        run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, checkpoint=scratch_path(spark, "test-bad-ckpt"))
+    assert sorted(r["source_id"] for r in read_store(spark, store, SOURCE_A).collect()) == ["a", "c"]
+    assert [(r["page"], r["body"]) for r in spark.read.parquet(f"{store}_quarantine").collect()] == [(2, "broken")]
+
+
+def test_equal_fetch_times_have_one_latest_detail(spark):
+    from offerlake.operators.details import latest_details
+    at = dt.datetime(2024, 1, 1)
+    rows = [(SOURCE_A, "a", at, '{"v": %d}' % i, None) for i in range(20)]
+    schema = "source string, job_slug string, fetched_at timestamp, body string, error string"
+    got = {latest_details(spark.createDataFrame(rows[i:] + rows[:i], schema).repartition(4), SOURCE_A).first()["details"] for i in (0, 7, 13)}
+    assert len(got) == 1
+
+
 def test_source_b_details_are_kept_raw(spark):
     from offerlake.operators.details import attach_details
     recs = spark.createDataFrame([(SOURCE_B, "a"), (SOURCE_B, "/b"), (SOURCE_B, "c"), (SOURCE_B, "")],

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from offerlake.functions.json import is_number, truthy
 from offerlake.functions.keys import content_id, job_slug, source_id_a, source_id_b, url_a, url_b
 from offerlake.functions.salary import has_salary_a, has_salary_b
-from offerlake.functions.text import html_to_text, split_lines, strip_html, strip_html_fast, utrim
+from offerlake.functions.text import html_to_text, split_lines, text_lines, utrim, with_html_text, without_tags
 from offerlake.functions.time import posted_at, resolve_date, resolve_since
-from offerlake.operators.details import detail_sections, extract_sections
-from offerlake.operators.extract import find_postings, locate_data_list, locate_postings
+from offerlake.operators.details import with_sections
+from offerlake.operators.extract import locate_data_list, locate_postings
 from tests import model
 
 VALUES = ["null", "false", "true", "0", "0.0", "-0.0", "0e0", "1", "1.5", '""', '"0"', '"a"', "[]", "{}",
@@ -61,7 +61,7 @@ def test_salary_rules_match_python(spark):
     got = df.select("p", has_salary_a(F.col("v")).alias("a"), has_salary_b(F.col("v")).alias("b")).collect()
     for r in got:
         p = json.loads(r["p"])
-        assert (r["a"], r["b"]) == (model.has_salary_a(p), model.has_salary_b(p)), r["p"]
+        assert (r["a"], r["b"]) == (model.pays_a(p), model.pays_b(p)), r["p"]
 
 
 KEYED = [
@@ -87,9 +87,9 @@ def test_keys_match_python_str(spark):
                     url_b(F.col("v")).alias("ub")).collect()
     for r in out:
         p = json.loads(r["p"])
-        assert r["a"] == model.key(p, model.A_IDS), r["p"]
-        assert r["b"] == model.key(p, model.B_IDS), r["p"]
-        assert r["s"] == model.key(p, ("reference", "url", "slug", "postingUrl", "id")), r["p"]
+        assert r["a"] == model.name_of(p, model.A_IDS), r["p"]
+        assert r["b"] == model.name_of(p, model.B_IDS), r["p"]
+        assert r["s"] == model.name_of(p, ("reference", "url", "slug", "postingUrl", "id")), r["p"]
         assert r["ua"] == ((p.get("url") or p.get("postingUrl")) or None)
         assert r["ub"] == ((p.get("url") or p.get("slug")) or None)
 
@@ -114,6 +114,14 @@ TIMES = [
     {"posted": 1e20},
     {"posted": -1000},
     {"posted": [1]},
+    {"posted": "2024-W01-1"},
+    {"posted": "2020-W53-7T10:00:00Z"},
+    {"posted": "2021-W53-1"},
+    {"posted": "2024W107T101500+01:00"},
+    {"posted": "2024-W10"},
+    {"posted": "2024-W00-1"},
+    {"posted": "2024-W1-1"},
+    {"posted": "2024-W011"},
     {},
 ]
 
@@ -121,7 +129,7 @@ TIMES = [
 def test_posted_at_matches_python(spark):
     df = spark.createDataFrame([(json.dumps(p),) for p in TIMES], "p string").withColumn("v", F.parse_json("p"))
     for r in df.select("p", posted_at(F.col("v")).alias("t")).collect():
-        want = model.posted_at(json.loads(r["p"]))
+        want = model.time_of(json.loads(r["p"]))
         got = r["t"]
         if want is not None:
             want = want.astimezone(dt.timezone.utc).replace(tzinfo=None)
@@ -162,18 +170,16 @@ HTML = [
 ]
 
 
-def test_strip_html_fast_and_exact_agree_with_parser(spark):
+def test_html_text_agrees_with_the_parser(spark):
     df = spark.createDataFrame([(h,) for h in HTML], "h string")
-    out = df.select("h", strip_html(F.col("h")).alias("t"), strip_html(F.col("h"), exact=True).alias("e")).collect()
-    for r in out:
+    for r in with_html_text(df, {"t": "h"}).collect():
         assert r["t"] == html_to_text(r["h"]), r["h"]
-        assert r["e"] == html_to_text(r["h"]), r["h"]
-    assert html_to_text("<p>a <b>b</b></p>") == "a\nb"
 
 
 def test_fast_path_on_plain_fragments(spark):
-    df = spark.createDataFrame([("<p>Total <b>3</b></p>",)], "h string")
-    assert df.select(strip_html_fast(F.col("h"))).first()[0] == "Total\n3"
+    df = spark.createDataFrame([("<p>Total <b>3</b></p>",)], "h string").select(without_tags(F.col("h")).alias("t"))
+    r = df.select("t.whole", text_lines(F.col("t.text")).alias("x")).first()
+    assert (r["whole"], r["x"]) == (True, "Total\n3")
 
 
 DETAILS = [
@@ -191,32 +197,15 @@ DETAILS = [
 ]
 
 
-def test_detail_sections_match_python(spark):
-    df = spark.createDataFrame([(json.dumps(d),) for d in DETAILS] + [("[1]",), ("not json",)], "b string")
-    for r in df.select("b", extract_sections(F.col("b")).alias("s")).collect():
-        try:
-            doc = json.loads(r["b"])
-        except ValueError:
-            doc = None
-        if not isinstance(doc, dict):
-            assert r["s"] is None
-            continue
-        assert r["s"].asDict() == detail_sections(doc), r["b"]
-
-
 def test_locate_postings_errors_and_empty(spark):
-    bodies = ['{"postings": []}', '{"postings": null, "a": [{"title": "t"}]}', "[1]", "nope",
-              '{"a": [{"x": 1}]}', '{"a": [{"id": 1}], "b": {"c": [{"slug": "s"}]}}']
-    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "page int, body string")
+    # what each body holds, by hand; the last value of an object is searched first
+    bodies = [('{"postings": []}', []), ('{"postings": null, "a": [{"title": "t"}]}', [{"title": "t"}]), ("[1]", None), ("nope", None),
+              ('{"a": [{"x": 1}]}', None), ('{"a": [{"id": 1}], "b": {"c": [{"slug": "s"}]}}', [{"slug": "s"}])]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "page int, body string")
     got = {r["page"]: (r["postings"], r["page_error"]) for r in locate_postings(df).collect()}
-    for i, b in enumerate(bodies):
-        posts, err = find_postings(b)
-        want = [json.loads(x) for x in posts] if posts is not None else None
-        have = [json.loads(x) for x in got[i][0]] if got[i][0] is not None else None
-        assert have == want, b
-        assert (got[i][1] is None) == (err is None), b
-    # LIFO search: the last value of a dict is searched first
-    assert [json.loads(x) for x in got[5][0]] == [{"slug": "s"}]
+    for i, (body, want) in enumerate(bodies):
+        assert (None if got[i][0] is None else [json.loads(x) for x in got[i][0]]) == want, body
+        assert (got[i][1] is None) == (want is not None), body
 
 
 def test_locate_data_list_shapes(spark):
@@ -240,7 +229,7 @@ def test_resolve_date():
 def test_strip_html_on_real_pages(spark):
     """The gated fast path equals the parser on every page of the table."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    out = pages.select("html", strip_html(F.col("html")).alias("t")).collect()
+    out = with_html_text(pages.select("html"), {"t": "html"}).collect()
     assert out and all(r["t"] == html_to_text(r["html"]) for r in out)
 
 
@@ -261,24 +250,27 @@ def test_iso_strings_match_python_fromisoformat(spark):
     df = spark.createDataFrame([(json.dumps({"posted": c}),) for c in sorted(cases)], "p string") \
         .withColumn("v", F.parse_json("p"))
     for r in df.select("p", posted_at(F.col("v")).alias("t")).collect():
-        want = model.posted_at(json.loads(r["p"]))
+        want = model.time_of(json.loads(r["p"]))
         if want is not None:
             want = want.astimezone(dt.timezone.utc).replace(tzinfo=None)
         assert r["t"] == want, r["p"]
 
 
-def test_legacy_sections_hand_derived(spark):
+def test_sections_hand_derived(spark):
     """E6/E7/E10 expected values worked out by hand from the traversal rules."""
+    empty = {"must_have": [], "requirements_description": None, "offer_description": None}
     docs = [
-        (DETAILS[3], {"must_have": ["A", "B"], "requirements_description": "3 lines",
-                      "offer_description": "Total; 3"}),
+        (DETAILS[0], {**empty, "must_have": ["Python", "SQL", "Go", "7"]}),
+        (DETAILS[1], {**empty, "must_have": ["1.5", "True"]}),
+        (DETAILS[2], {**empty, "requirements_description": "", "offer_description": "Perks"}),
+        (DETAILS[3], {"must_have": ["A", "B"], "requirements_description": "3 lines", "offer_description": "Total; 3"}),
         # b is searched before a (last child first); in b, "Offer description"
         # comes from values, then "must have" items; a's content lines follow
-        (DETAILS[4], {"must_have": ["z", "l1", "l2"], "requirements_description": None,
-                      "offer_description": "v"}),
+        (DETAILS[4], {**empty, "must_have": ["z", "l1", "l2"], "offer_description": "v"}),
         # the document's own sections come before its children are searched
-        (DETAILS[5], {"must_have": [], "requirements_description": "i1; i2", "offer_description": None}),
+        (DETAILS[5], {**empty, "requirements_description": "i1; i2"}),
+        (DETAILS[6], empty),
     ]
-    df = spark.createDataFrame([(json.dumps(d),) for d, _ in docs], "b string")
-    got = [r["s"].asDict() for r in df.select(extract_sections(F.col("b")).alias("s")).collect()]
-    assert got == [want for _, want in docs]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(docs)], "i int, b string")
+    got = {r["i"]: r["s"].asDict() for r in with_sections(df, "b", "s").collect()}
+    assert [got[i] for i in range(len(docs))] == [want for _, want in docs]
