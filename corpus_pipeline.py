@@ -13,30 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offerlake.llm import bpe, decontaminate, ngram_join, stream_dedup, toxicity
 from offerlake.llm._tables import saved
+from offerlake.session import configure
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
+    configure(spark)
     return toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the first document stays."""
+    configure(spark)
     return stream_dedup.drop_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id stays."""
+    configure(spark)
     return ngram_join.drop_linked(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    configure(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the number and digest of their token ids and the digest of the text decoded from them."""
+    configure(spark)
     return bpe.encode_digests(docs, bpe.vocabulary_path(), keep=["doc_id", "lang", "source"])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words before and after an anchor in its window; no rule is wider.
-BEFORE, AFTER = 14, 14
+BEFORE, AFTER = 18, 18
 
 # The base phrases, as rules (label, anchored phrase).
 BASE = [

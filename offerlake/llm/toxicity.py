@@ -13,7 +13,7 @@
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents of each
 label, by hash (the classifier's bounded sample): words that clearly more toxic than
 other documents hold, counted once per cluster of near copies (documents of
-one smallest word hash), and their weights.  Everything else covers every row.
+one smallest hash of three words), and their weights.  Everything else covers every row.
 
 Defined cases: null and empty texts have no words and the score of a text
 without a lexicon word; several labels of one document count each, null ones
@@ -240,8 +240,9 @@ def _document_words(sample: DataFrame, model: C.Model | None) -> DataFrame:
                 raw = buf.tobytes()
                 for r, a, b in zip(row.tolist(), ws.tolist(), we.tolist()):
                     words[lo + r].add(raw[a:b].decode("utf-8", "replace"))
-                h = X.mix(X.span_hashes(buf, ws, we))
+                h = X.span_hashes(buf, ws, we)
                 if len(h):
+                    h = X.window_hashes(np.append(h, h[:2]), 3)[:len(h)]
                     edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                     cluster[lo + row[edge]] = np.minimum.reduceat(h, edge)
                 for r, more in restored.items():
