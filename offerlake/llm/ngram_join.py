@@ -6,23 +6,27 @@ one or two words has its word sequence as its only shingle.  Two documents
 link when 100 * intersection >= 90 * union.
 
 1. Documents with equal sets form one class; from here on a class is one row.
-2. Size-derived bound: of a row with n shingles, at most p - 1 = n - ceil(0.9 n)
-   are missing from a linked row, so in any common order of the columns the
-   first p of both rows share a column.  The order puts columns that only one
-   class has first, then goes by hash; a row with p columns of its own among
-   the first is linked with nothing.  Only the columns of the lowest hashes
-   are looked at (a fixed share of the hash range); a row that has fewer than p of those
-   is indexed with all its columns in a second name space, too, where rows of
-   that kind meet.
-   Columns are dealt out in blocks by hash.  A column that several classes of
-   one batch share is sent once, so no frequent column gathers in one task.
-3. Rows that share a column of their prefixes form clusters.  Each row is
-   compared with the hub of its cluster.  Rows that link with it are connected;
-   the others are compared with every row of the cluster, in blocks of rows,
-   by a product over blocks of columns that stops once no pair can reach its
+2. Size-derived bound on the columns: of a row with n shingles, at most p - 1 =
+   n - ceil(0.9 n) are missing from a linked row, so in any common order of the
+   columns the first p of both rows share a column.  The order puts columns
+   that only one class has first: a row with p columns of its own among the
+   first is linked with nothing and leaves.  Only the columns of the lowest
+   hashes are looked at (a fixed share of the hash range); a row that has fewer than
+   p of those is indexed with all its columns in a second name space, too,
+   where rows of that kind meet.  Columns are dealt out in blocks by hash.  A
+   column that several classes of one batch share is sent once, so no frequent
+   column gathers in one task.
+3. Size-derived bound on blocks of columns: linked rows differ in at most
+   D = (sizes' sum) / 19 columns, so of D + 1 blocks of columns at least one is
+   equal in both.  Rows of like size that agree on a whole block form
+   clusters; rows that merely share a passage seldom do.
+4. Within a cluster the product accumulates overlaps.  Each row is compared
+   with the hub of its cluster.  Rows that link with it are connected; the
+   others are compared with every row of the cluster, in blocks of rows, by a
+   product over blocks of columns that stops once no pair can reach its
    bound.  Jaccard distance is a metric: blocks whose distances to the hub
    differ by more than 0.1 hold no linked pair and are left out.
-4. The links' connected components give the component of each class.
+5. The links' connected components give the component of each class.
 
 No step emits all pairs of a group: block pairs name rows, and the product
 returns a spanning forest of the links it finds.
@@ -52,9 +56,13 @@ PERCENT = 90
 SHARE = 3 / 16
 LOW = np.uint64(3 << 60)
 #: Column entries per block, rows per block of the product, columns per step of it.
-BLOCK_ENTRIES, BLOCK_ROWS, STEP_COLUMNS = 2_000_000, 256, 8192
+BLOCK_ENTRIES, BLOCK_ROWS, STEP_COLUMNS = 2_000_000, 1024, 2048
+#: Bits that mark documents whose sets are wanted: 8 MB.
+MARK_BITS = 1 << 26
+#: Blocks of columns beyond D + 1: how many of a row's blocks may be empty.
+SPARE = 1
 #: Distances to the hub are cut into bins of this width.
-BIN = 0.02
+BIN = 0.05
 
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 
@@ -196,23 +204,65 @@ def _common(table: pa.Table) -> pa.Table:
     return pa.table({"tag": _i64(t), "h": _i64(h)})
 
 
-def _prefixes(common: DataFrame, classes: DataFrame) -> DataFrame:
-    """(tag, odd, columns): the shared columns among the first p of each class that has any."""
+def _open_rows(common: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tag, odd): classes with fewer than p columns of their own among the first; odd is their share of such columns."""
     second = F.col("h").bitwiseAND(F.lit(1)) == 1
-    per = common.groupBy("tag").agg(F.collect_set(F.when(~second, F.col("h"))).alias("c0"),
-                                    F.collect_set(F.when(second, F.col("h"))).alias("c1"))
+    per = common.distinct().groupBy("tag").agg(F.count(F.when(~second, 1)).alias("c0"), F.count(F.when(second, 1)).alias("c1"))
     per = per.join(classes.select("tag", "n", "low"), "tag")
     p = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = (F.col("c0") > 0) & (F.col("low") - F.col("c0") < p)
+    other = (F.col("c1") > 0) & (F.col("n") - F.col("c1") < p)
+    return per.filter(first | other).select("tag", (1 - F.col("c0") / F.greatest(F.col("low"), F.lit(1))).alias("odd"))
 
-    def first(columns: str, of):
-        k = p - (of - F.size(columns))
-        return F.when(k > 0, F.slice(F.array_sort(columns), F.lit(1), F.greatest(k, F.lit(0)).cast("int"))).otherwise(
-            F.array().cast("array<bigint>"))
 
-    odd = (F.col("low") - F.size("c0")) / F.greatest(F.col("low"), F.lit(1))
-    out = per.select("tag", odd.alias("odd"), F.concat(first("c0", F.col("low")), F.when(
-        F.size("c1") > 0, first("c1", F.col("n"))).otherwise(F.array().cast("array<bigint>"))).alias("columns"))
-    return out.filter(F.size("columns") > 0)
+def size_class(n: int) -> int:
+    """Classes whose sizes grow by the least ratio of linked sizes: linked rows are in one class or in neighbours."""
+    c = int(math.log(n) / math.log(100 / PERCENT))
+    while class_end(c) <= n:
+        c += 1
+    while c and class_end(c - 1) > n:
+        c -= 1
+    return c
+
+
+def class_end(c: int) -> int:
+    """The least size above class ``c``; linked rows a <= b have PERCENT * b <= 100 * a."""
+    end = 1
+    for _ in range(c + 1):
+        end = 100 * end // PERCENT + 1
+    return end
+
+
+def block_signatures(own: np.ndarray, c: int) -> np.ndarray:
+    """Signatures of a row's blocks of columns for partners up to class ``c``.
+
+    With D the most columns that may differ, one of D + 1 + SPARE blocks is
+    equal in both rows and not empty, unless a row has more than SPARE empty
+    blocks; only such a row has signatures of its empty blocks.
+    """
+    differ = 2 * (100 - PERCENT) * (class_end(c) - 1) // (100 + PERCENT)
+    blocks = differ + 1 + SPARE
+    key = np.uint64(c * int(_C2) % (1 << 64))
+    part = (X.mix(own ^ key) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    total = np.concatenate(([np.uint64(0)], np.cumsum(X.mix(own[order] + _C1))))
+    edge = np.searchsorted(part[order], np.arange(blocks + 1))
+    size = np.diff(edge)
+    sums = total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64) * _C1
+    out = X.mix(X.mix(key + np.arange(blocks).astype(np.uint64)) ^ sums)
+    return out if (size == 0).sum() > SPARE else out[size > 0]
+
+
+def _signatures(batches):
+    for batch in batches:
+        tags, found = [], []
+        for tag, raw in zip(batch.column("tag").to_pylist(), batch.column("set")):
+            own = _u64(raw.as_py())
+            c = size_class(len(own))
+            found += [block_signatures(own, c), block_signatures(own, c + 1)]
+            tags.append(np.full(len(found[-1]) + len(found[-2]), tag, np.int64))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tags)), _i64(np.concatenate(found))], names=["tag", "h"])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -296,12 +346,18 @@ def _product(table: pa.Table) -> pa.Table:
 
 
 def _far_links(seen: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of rows that don't link with their hub, with any other row of their cluster."""
+    """Links of rows that don't link with their hub, with any other row of their cluster.
+
+    A cluster of at most BLOCK_ROWS rows is one block.  A larger one is cut by
+    distance to the hub, and each of those bins by hash into blocks of about
+    BLOCK_ROWS rows; blocks of far rows meet every block within reach."""
     d = 1 - F.col("inter") / (F.col("n") + F.col("hub_n") - F.col("inter"))
     rows = seen.filter("tag <> hub").select("tag", "cluster", F.when(F.col("linked"), 0).otherwise(1).alias("far"),
                                             F.floor(d / BIN).cast("int").alias("bin"))
-    rows = rows.join(rows.groupBy("cluster").agg(F.sum("far").alias("n_far"), F.count(F.lit(1)).alias("n_rows"))
-                     .filter("n_far > 0 AND n_rows > 1").select("cluster"), "cluster", "left_semi")
+    open_ = rows.groupBy("cluster").agg(F.sum("far").alias("n_far"), F.count(F.lit(1)).alias("n_rows")).filter(
+        "n_far > 0 AND n_rows > 1").select("cluster", (F.col("n_rows") <= BLOCK_ROWS).alias("one"))
+    rows = rows.join(open_, "cluster").withColumns({"far": F.when(F.col("one"), 1).otherwise(F.col("far")),
+                                                    "bin": F.when(F.col("one"), 0).otherwise(F.col("bin"))}).drop("one")
     sizes = rows.groupBy("cluster", "far", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs"))
     rows = saved(rows.join(sizes, ["cluster", "far", "bin"]).withColumn(
         "sub", F.pmod(F.xxhash64("tag"), F.col("subs")).cast("int")).drop("subs"), "ngram-rows")
@@ -334,12 +390,8 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     entries = classes.filter("n > 8").agg(F.sum("low")).first()[0] or 0
     blocks = max(shuffles, math.ceil(entries / BLOCK_ENTRIES))
     common = _entries(docs, text, blocks).groupBy("block").applyInArrow(_common, "tag long, h long")
-    prefixes = saved(_prefixes(common, classes), "ngram-prefixes")
-    columns = saved(prefixes.select("tag", F.explode("columns").alias("h")), "ngram-columns")
-    hubs = columns.groupBy("h").agg(F.min("tag").alias("b"), F.max("tag").alias("most")).filter("b <> most").select("h", "b")
-    clusters = saved(components(columns.join(hubs, "h").select(F.col("tag").alias("a"), "b"), "ngram-clusters").select(
-        F.col("node").alias("tag"), F.col("root").alias("cluster")), "ngram-clusters")
-    links = _links(docs, text, doc_id, classes, prefixes, clusters)
+    rest = saved(_open_rows(common, classes).join(classes.select("tag", F.col("first").alias("id"), "n"), "tag"), "ngram-open")
+    links = _links(_open_sets(docs, text, doc_id, rest))
     roots = components(links, "ngram-components")
     named = classes.join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").select(
         "tag", "first", F.coalesce("root", "tag").alias("component"))
@@ -349,23 +401,47 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return full.union(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), "tag", F.col("id").alias("component_id")))
 
 
-def _links(docs, text, doc_id, classes, prefixes, clusters) -> DataFrame:
-    """Links (a, b) between classes: enough of them to connect whatever is connected."""
-    wanted = saved(clusters.join(classes.select("tag", F.col("first").alias("id"), "n"), "tag").join(
-        prefixes.select("tag", "odd"), "tag"), "ngram-wanted")
+def _mark(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash of a document id, modulo MARK_BITS: an array of fixed size, put together by Spark."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)) + 1
+    rows = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(MARK_BITS, bool)
+    for r in rows.collect():
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").view(bool)
+        out[(r["part"] - 1) * len(own):r["part"] * len(own)] = own
+    return np.packbits(out)
+
+
+def _open_sets(docs: DataFrame, text: str, doc_id: str, rest: DataFrame) -> DataFrame:
+    """(tag, n, odd, set) of the classes in ``rest`` (tag, id, n, odd), from the text of one of their documents.
+
+    A bit per hash of the wanted ids (an array of fixed size) tells each task
+    which of its texts to look at, so no text is shuffled; the join by tag
+    makes it exact."""
+    sent = docs.sparkSession.sparkContext.broadcast(_mark(rest))
 
     def read_sets(batches):
+        wanted = np.unpackbits(sent.value).view(bool)
         for batch in batches:
-            sizes, tags, sets = shingle_sets(batch.column(0))
-            edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
-            yield pa.RecordBatch.from_arrays([_i64(tags), _binary([sets[a:b] for a, b in zip(edge, edge[1:])])], names=["tag", "set"])
-
-    ids = wanted.select(F.col("id").alias("__id")).distinct()
-    own = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"))
-    own = own.join(ids, own["__doc"].eqNullSafe(ids["__id"]), "left_semi").select("text")
-    sets = own.mapInArrow(read_sets, "tag long, set binary").join(wanted, "tag").dropDuplicates(["tag"]).select(
-        "tag", "cluster", "n", "odd", "set")
-    sets = saved(sets, "ngram-sets")
+            some = pa.array(np.flatnonzero(wanted[batch.column("bit").to_numpy()]))
+            if len(some):
+                sizes, tags, sets = shingle_sets(batch.column("text").take(some))
+                edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
+                yield pa.RecordBatch.from_arrays([_i64(tags), _binary([sets[a:b] for a, b in zip(edge, edge[1:])])], names=["tag", "set"])
+
+    own = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(MARK_BITS)).alias("bit"), F.col(text).alias("text"))
+    sets = own.mapInArrow(read_sets, "tag long, set binary").join(rest, "tag").dropDuplicates(["tag"])
+    return saved(sets.select("tag", "n", "odd", "set"), "ngram-sets")
+
+
+def _links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes: enough of them to connect whatever is connected."""
+    signs = saved(sets.select("tag", "set").mapInArrow(_signatures, "tag long, h long"), "ngram-signatures")
+    firsts = signs.groupBy("h").agg(F.min("tag").alias("b"), F.max("tag").alias("most")).filter("b <> most").select("h", "b")
+    edges = signs.join(firsts, "h").select(F.col("tag").alias("a"), "b")
+    clusters = components(edges, "ngram-clusters").select(F.col("node").alias("tag"), F.col("root").alias("cluster"))
+    sets = saved(sets.join(clusters, "tag"), "ngram-clustered")
     hubs = sets.groupBy("cluster").agg(F.min_by("tag", F.struct("odd", "tag")).alias("hub"))
     hubs = hubs.join(sets.select(F.col("tag").alias("hub"), F.col("n").alias("hub_n"), F.col("set").alias("hub_set")), "hub")
     hubs = saved(hubs, "ngram-hubs")
