@@ -143,40 +143,30 @@ class Table:
 class Model:
     """Probabilities of a character after its context, for each key."""
 
-    def __init__(self, names: list[str], levels: list[list[tuple]], contexts: list[list[tuple]], symbols: int):
-        """``levels[k]``: (key, gram, share) of order k + 1; ``contexts[k]``: (key, context, rest)."""
+    def __init__(self, names: list[str], levels: list[pa.Table], contexts: list[pa.Table], symbols: int):
+        """``levels[k]``: key, gram, x (its share) of order k + 1; ``contexts[k]``: key, gram (the context), x (the rest)."""
         self.names, self.order = names, len(levels)
-        number = {n: i for i, n in enumerate(names)}
         self.floor = 1 / (symbols + 1)
         self.rest, self.table = [], []
         for k, (grams, ctx) in enumerate(zip(levels, contexts)):
-            self.rest.append(self._matrix(number, ctx, k, 1.0))
-            h, chars, share = self._rows(number, grams, k + 1)
-            lower = self._probability(chars[:, 1:], k) if len(h) else np.zeros((0, len(names)))
-            rest = self._rest(chars[:, :-1], k) if len(h) else np.zeros((0, len(names)))
-            self.table.append(Table(h, (share + rest * lower)))
-        top = self.table[-1]
-        self.logs = np.log(np.maximum(top.values, 1e-12)).astype(np.float32)
-
-    def _rows(self, number, rows, size):
-        grams = sorted({r[1] for r in rows})
-        at = {g: i for i, g in enumerate(grams)}
-        value = np.zeros((len(grams), len(number)))
-        for key, gram, x in rows:
-            value[at[gram], number[key]] = x
-        chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(len(grams), size) if grams and size else np.zeros((len(grams), size), np.uint32)
-        return _hash_rows(chars), chars, value
-
-    def _matrix(self, number, rows, size, default):
-        grams = sorted({r[1] for r in rows})
-        at = {g: i for i, g in enumerate(grams)}
-        value = np.full((len(grams), len(number)), default)
-        for key, gram, x in rows:
-            value[at[gram], number[key]] = x
-        if size == 0:
-            return value
-        chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(len(grams), size) if grams else np.zeros((0, size), np.uint32)
-        return Table(_hash_rows(chars), value)
+            chars, rest = self._matrix(ctx, k, 1.0)
+            self.rest.append(Table(_hash_rows(chars), rest) if k else rest)
+            chars, share = self._matrix(grams, k + 1, 0.0)
+            lower = self._probability(chars[:, 1:], k)
+            self.table.append(Table(_hash_rows(chars), share + self._rest(chars[:, :-1], k) * lower))
+        self.logs = np.log(np.maximum(self.table[-1].values, 1e-12)).astype(np.float32)
+
+    def _matrix(self, rows: pa.Table, size: int, default: float) -> tuple[np.ndarray, np.ndarray]:
+        """The different n-grams, as rows of characters, and their x by key."""
+        number = {n: i for i, n in enumerate(self.names)}
+        key = rows.column("key").combine_chunks().dictionary_encode()
+        gram = rows.column("gram").combine_chunks().dictionary_encode()
+        value = np.full((len(gram.dictionary), len(self.names)), default)
+        owner = np.array([number[n] for n in key.dictionary.to_pylist()], np.int64)
+        if len(rows):
+            value[gram.indices.to_numpy(), owner[key.indices.to_numpy()]] = rows.column("x").to_numpy()
+        flat = "".join(gram.dictionary.to_pylist()).encode("utf-32-le")
+        return np.frombuffer(flat, np.uint32).reshape(len(gram.dictionary), size), value
 
     def _rest(self, ctx: np.ndarray, k: int) -> np.ndarray:
         if k == 0:
@@ -260,9 +250,9 @@ def fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: i
         share = level.withColumn("ctx", F.substring("gram", 1, k - 1)).join(ctx.select("key", "ctx", "total"), ["key", "ctx"])
         share = _kept(share, max_grams).select("key", "gram", ((F.col("c") - d) / F.col("total")).alias("x"))
         rest = _kept(ctx, max_grams).select("key", F.col("ctx").alias("gram"), (d * F.col("kinds") / F.col("total")).alias("x"))
-        levels.append([tuple(r) for r in share.toPandas().itertuples(index=False)])
-        contexts.append([tuple(r) for r in rest.toPandas().itertuples(index=False)])
+        levels.append(share.toArrow())
+        contexts.append(rest.toArrow())
         if k > 1:
             level = saved(level.groupBy("key", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "charlm-grams")
-    symbols = len({r[1] for r in levels[-1]})
+    symbols = pc.count_distinct(levels[-1].column("gram")).as_py()
     return Model(names, levels[::-1], contexts[::-1], symbols)
