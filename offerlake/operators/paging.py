@@ -124,6 +124,17 @@ def target_page(records: DataFrame, target_count: int, part: Sequence[str] = RUN
             .groupBy(*part).agg(F.min("page").alias("stop_page")))
 
 
+def _next_landed(keys: DataFrame, part: Sequence[str], width: int) -> DataFrame:
+    """``keys`` with ``_next``, the next landed cursor of the run (NULL for the last one)."""
+    part = list(part)
+    keys = keys.withColumn("_blk", F.floor(F.col("cursor") / F.lit(width)).cast("bigint"))
+    firsts = keys.groupBy(*part, "_blk").agg(F.min("cursor").alias("_first"))  # one row per block
+    after = firsts.select(*part, "_blk", F.lead("_first").over(Window.partitionBy(*part).orderBy("_blk")).alias("_after"))
+    within = F.lead("cursor").over(Window.partitionBy(*part, "_blk").orderBy("cursor"))
+    return (keys.withColumn("_next", within).join(after, [*part, "_blk"])
+            .withColumn("_next", F.coalesce("_next", "_after")).drop("_blk", "_after"))
+
+
 def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
                  default_step: int, part: Sequence[str] = RUN_KEYS) -> DataFrame:
     """L4: the cursor pages of a run that a crawl from ``start_cursor`` requests,
@@ -135,31 +146,49 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
     first page whose successor is not landed or does not move forward, at
     most ``max_pages`` of it.
 
-    Exact reachability by pointer doubling on the narrow (cursor, successor)
-    table: after k rounds the first 2^k pages of the chain are known and each
-    pointer spans 2^k pages, so a chain of n pages takes log2 n rounds of two
-    joins on a cursor.  A page off the chain is never reached, whatever it
-    points to.
+    Exact, on narrow rows: a stretch is a run of landed pages that each point
+    to the next landed one.  A chain that enters a stretch goes on to its end,
+    so only the stretches' ends have to be followed: by pointer doubling, the
+    first 2^k stretches of the chain are known after k rounds of two joins.
+    A page off the chain is never reached, whatever it points to.
     """
     if start_cursor < 0:
         raise ValueError("a cursor must be 0 or more")
     part = list(part)
     step = F.coalesce(F.col("items_count"), F.lit(default_step)).cast("bigint")
+    width = PAGE_BLOCK * max(default_step, 1)
     keys = saved(pages.where(F.col("cursor") >= start_cursor).select(
         *part, "cursor", F.coalesce(F.col("next_cursor"), F.col("cursor") + step).alias("to")), "chain-keys")
-    landed = keys.select(*part, F.col("cursor").alias("to"))
-    jump = saved(keys.where(F.col("to") > F.col("cursor")).join(landed, [*part, "to"], "left_semi")
-                 .select(*part, "cursor", "to"), "chain-jump")
-    reached = saved(keys.where(F.col("cursor") == start_cursor)
-                    .select(*part, "cursor", F.lit(1).alias("page")), "chain-reached")
-    span = 1
-    while max_pages is None or span < max_pages:
-        ahead = saved(reached.join(jump, [*part, "cursor"])
-                      .select(*part, F.col("to").alias("cursor"), (F.col("page") + span).alias("page")), "chain-ahead")
+    flagged = _next_landed(keys, part, width).withColumn("_end", (~F.col("to").eqNullSafe(F.col("_next"))).cast("int"))
+    counted = blocked_running_sum(flagged.withColumn("_one", F.lit(1)), part, "cursor", "_one", "pos", width)
+    counted = blocked_running_sum(counted, part, "cursor", "_end", "_ends", width)
+    placed = saved(counted.select(*part, "cursor", "to", "pos", (F.col("_ends") - F.col("_end")).alias("stretch"),
+                                  (F.col("_end") == 1).alias("last")), "chain-places")
+    ends = placed.where("last").select(*part, "stretch", F.col("pos").alias("end"), "cursor", "to")
+    entry = placed.select(*part, F.col("cursor").alias("to"), F.col("stretch").alias("into"), F.col("pos").alias("at"))
+    # from the end of a stretch: the stretch it points into, the place there, that stretch's end, pages in between
+    jump = saved(ends.where("to > cursor").join(entry, [*part, "to"])
+                 .join(ends.select(*part, F.col("stretch").alias("into"), F.col("end").alias("into_end")), [*part, "into"])
+                 .select(*part, "stretch", "into", "at", "into_end", F.lit(0).cast("bigint").alias("between")), "chain-jumps")
+    # a stretch on the chain: where it is entered, its end, pages of the chain before it
+    reached = saved(placed.where(F.col("cursor") == start_cursor).select(*part, "stretch", F.col("pos").alias("at"))
+                    .join(ends.select(*part, "stretch", "end"), [*part, "stretch"])
+                    .withColumn("before", F.lit(0).cast("bigint")), "chain-reached")
+    while True:
+        ahead = reached.withColumnRenamed("at", "from").join(jump, [*part, "stretch"]).select(
+            *part, F.col("into").alias("stretch"), "at", F.col("into_end").alias("end"),
+            (F.col("before") + F.col("end") - F.col("from") + 1 + F.col("between")).alias("before"))
+        if max_pages is not None:
+            ahead = ahead.where(F.col("before") < max_pages)
+        ahead = saved(ahead, "chain-ahead")
         if ahead.isEmpty():
             break
         reached = reached.unionByName(ahead)
-        second = jump.select(*part, F.col("cursor").alias("to"), F.col("to").alias("to2"))
-        jump = saved(jump.join(second, [*part, "to"]).select(*part, "cursor", F.col("to2").alias("to")), "chain-jump")
-        span *= 2
-    return reached if max_pages is None else reached.where(F.col("page") <= max_pages)
+        second = jump.select(*part, F.col("stretch").alias("into"), F.col("into").alias("into2"), F.col("at").alias("at2"),
+                             F.col("into_end").alias("end2"), F.col("between").alias("between2"))
+        jump = saved(jump.join(second, [*part, "into"]).select(
+            *part, "stretch", F.col("into2").alias("into"), F.col("at2").alias("at"), F.col("end2").alias("into_end"),
+            (F.col("between") + F.col("into_end") - F.col("at") + 1 + F.col("between2")).alias("between")), "chain-jumps")
+    chain = placed.join(reached.drop("end"), [*part, "stretch"]).where("pos >= at").select(
+        *part, "cursor", (F.col("before") + F.col("pos") - F.col("at") + 1).cast("int").alias("page"))
+    return chain if max_pages is None else chain.where(F.col("page") <= max_pages)
