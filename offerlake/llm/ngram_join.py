@@ -422,9 +422,10 @@ def _open_sets(docs: DataFrame, text: str, doc_id: str, rest: DataFrame) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(_mark(rest))
 
     def read_sets(batches):
-        wanted = np.unpackbits(sent.value).view(bool)
+        marks = sent.value
         for batch in batches:
-            some = pa.array(np.flatnonzero(wanted[batch.column("bit").to_numpy()]))
+            bit = batch.column("bit").to_numpy()
+            some = pa.array(np.flatnonzero(marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1))
             if len(some):
                 sizes, tags, sets = shingle_sets(batch.column("text").take(some))
                 edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
@@ -467,3 +468,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op5: per document, the size of its set and its component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x20\x09-\x0D]+')")
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) > 2 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.o),
+c AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.o GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""

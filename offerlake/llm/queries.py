@@ -20,6 +20,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_licenses": license_scan.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op9_stream_dedup": stream_dedup.ORACLE,
 }

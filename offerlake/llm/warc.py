@@ -246,3 +246,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chunks(manifest, with_data=False).filter("last").select(
         "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"),
         "record_type", "refers_to")
+
+
+# five hexadecimal digits of the SHA-1 are four digits to the base 32
+_QUAD = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {k}) & 31 AS INT) + 1, 1)" for k in (15, 10, 5, 0))
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS raw, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+SELECT page_id, CAST(strlen(raw) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform([CAST('0x' || substr(sha1(raw), 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)], lambda v: {_QUAD}), '')
+         AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p
+"""
