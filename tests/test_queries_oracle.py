@@ -36,4 +36,5 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["source_id", "page", "must_have", "requirements_description", "offer_description"]
+    assert df.columns == ["source_id", "page", "url", "ingested_us", "must_have", "requirements_description",
+                          "offer_description"]
