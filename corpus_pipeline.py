@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offerlake.llm import bpe, decontaminate, ngram_join, stream_dedup, toxicity
-from offerlake.llm._tables import saved
-from offerlake.session import configure
+from offerlake.session import configure, saved
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm import _text as X
-from offerlake.llm._tables import saved
+from offerlake.session import saved, scratch_scope
 
 ORDER = 4
 #: N-grams of one order in a model, over all its keys.
@@ -232,8 +232,14 @@ def _kept(rows: DataFrame, limit: int) -> DataFrame:
     return rows.filter(F.col("c") >= F.lit(2.0 ** low))
 
 
-def fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model | None:
-    """The model of the texts in ``docs``, one set of probabilities per value of ``key``; None without any n-gram."""
+def fit(docs: DataFrame, **options) -> Model | None:
+    """The model of the texts in ``docs`` (``text``), one set of probabilities per value of ``key``; None without
+    any n-gram.  Options: text, key, order, max_grams."""
+    with scratch_scope(docs.sparkSession):
+        return _fit(docs, **options)
+
+
+def _fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model | None:
     level = saved(gram_counts(docs, text=text, key=key, order=order), "charlm-grams")
     names = sorted(r[0] for r in level.select("key").distinct().collect())
     if not names:

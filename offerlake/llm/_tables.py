@@ -1,18 +1,13 @@
-"""Written intermediates and connected components."""
+"""Connected components over written edge tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.session import scratch_path
+from offerlake.session import saved, scratch_scope
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read from there: computed once, and not again when an executor is lost."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "saved"]
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -21,22 +16,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating large-star and small-star steps on the edge list, until it no
     longer changes: every step is a partial aggregate and a join on a node.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                .filter("a <> b").distinct(), name)
-    mark = _mark(now)
-    while mark[0]:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = saved(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = saved(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    with scratch_scope(edges.sparkSession):
+        now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .filter("a <> b").distinct(), name)
+        mark = _mark(now)
+        while mark[0]:
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
+                now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+            large = saved(large, name)
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+            now = saved(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+            before, mark = mark, _mark(now)
+            if mark == before:
+                break
+        nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+        return saved(nodes, name, keep=True)
 
 
 def _mark(edges: DataFrame) -> tuple:

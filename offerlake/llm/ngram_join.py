@@ -48,7 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm import _text as X
-from offerlake.llm._tables import components, saved
+from offerlake.llm._tables import components
+from offerlake.session import saved, scratch_scope
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -389,14 +390,15 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = classes.filter("n > 8").agg(F.sum("low")).first()[0] or 0
     blocks = max(shuffles, math.ceil(entries / BLOCK_ENTRIES))
-    common = _entries(docs, text, blocks).groupBy("block").applyInArrow(_common, "tag long, h long")
-    rest = saved(_open_rows(common, classes).join(classes.select("tag", F.col("first").alias("id"), "n"), "tag"), "ngram-open")
-    links = _links(_open_sets(docs, text, doc_id, rest))
-    roots = components(links, "ngram-components")
-    named = classes.join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").select(
-        "tag", "first", F.coalesce("root", "tag").alias("component"))
-    least = saved(named.groupBy("component").agg(F.min("first").alias("component_id")), "ngram-least")
-    named = saved(named.join(least, "component").select("tag", "component_id"), "ngram-named")
+    with scratch_scope(spark):
+        common = _entries(docs, text, blocks).groupBy("block").applyInArrow(_common, "tag long, h long")
+        rest = saved(_open_rows(common, classes).join(classes.select("tag", F.col("first").alias("id"), "n"), "tag"), "ngram-open")
+        links = _links(_open_sets(docs, text, doc_id, rest))
+        roots = components(links, "ngram-components")
+        grouped = classes.join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").select(
+            "tag", "first", F.coalesce("root", "tag").alias("component"))
+        least = saved(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "ngram-least")
+        named = saved(grouped.join(least, "component").select("tag", "component_id"), "ngram-named", keep=True)
     full = rows.filter("n > 0").join(named, "tag").select("id", F.col("n").alias("n_shingles"), "tag", "component_id")
     return full.union(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), "tag", F.col("id").alias("component_id")))
 

@@ -30,9 +30,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.session import materialize, scratch_path
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from offerlake.session import delete_path, materialize, saved, scratch_path
+
+# The state store: on disk, with a bound on the memory of all its instances in an executor.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
+    # stores of an ended query are closed, and their local files removed, at the next round
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
 #: Members of one group that are compared with one copy of its first text.
 SALT_ROWS = 1024
 
@@ -49,13 +58,14 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _keyed(df: DataFrame, text: str, doc_id: str, digest) -> DataFrame:
@@ -85,12 +95,13 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, *, text: str =
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state as a written table: the stores are opened once, under their own settings."""
     with _rocksdb(spark):
         stored = spark.read.format("statestore").load(checkpoint)
-    key = stored.schema["key"].dataType.names[0]
-    first, n = stored.schema["value"].dataType.names[-2:]
-    return stored.select(F.col("key").getField(key).alias("digest"), F.col("value").getField(first).alias("first"),
-                         F.col("value").getField(n).alias("n"))
+        key = stored.schema["key"].dataType.names[0]
+        first, n = stored.schema["value"].dataType.names[-2:]
+        return saved(stored.select(F.col("key").getField(key).alias("digest"), F.col("value").getField(first).alias("first"),
+                                   F.col("value").getField(n).alias("n")), "dedup-state-table")
 
 
 def dedup_files(spark: SparkSession, path: str, *, text: str = "text", doc_id: str = "doc_id",
@@ -101,17 +112,17 @@ def dedup_files(spark: SparkSession, path: str, *, text: str = "text", doc_id: s
     maps the normalised text to the state's key; the result does not depend on it.
     """
     schema = spark.read.parquet(path).schema
-    state = update_state(spark, path, checkpoint or scratch_path(spark, "dedup-state"), text=text, doc_id=doc_id,
-                         schema=schema, digest=digest)
+    own = scratch_path(spark, "dedup-state")
+    state = update_state(spark, path, checkpoint or own, text=text, doc_id=doc_id, schema=schema, digest=digest)
+    if checkpoint is None:
+        delete_path(spark, own)  # the state has been read
     docs = _keyed(spark.read.schema(schema).parquet(path), text, doc_id, digest)
     is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     located = docs.join(state, "digest").select(
         "id", "file", "row", "digest", "first", "n", is_first.alias("is_first"),
         F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
     # read by several branches: the text shuffle above runs once
-    where = scratch_path(spark, "dedup-located")
-    located.write.parquet(where)
-    located = spark.read.schema(located.schema).parquet(where)
+    located = saved(located, "dedup-located")
 
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     hits = located.filter("n > 1")

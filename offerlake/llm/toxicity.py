@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from offerlake.llm import _charlm as C
 from offerlake.llm import _text as X
-from offerlake.llm._tables import saved
 from offerlake.llm.language_id import fold
+from offerlake.session import saved, scratch_scope
 
 TRAIN_ROWS = 5000
 #: Words kept in the lexicon at most, and the least log-likelihood ratio of one.
@@ -256,6 +256,11 @@ def _document_words(sample: DataFrame, model: C.Model | None) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Scorer:
     """Character model over all texts; lexicon and weights from the labelled sample."""
     model = C.fit(docs, text=text)
+    with scratch_scope(docs.sparkSession):
+        return _learn(docs, labels, model, text, doc_id)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, model: C.Model | None, text: str, doc_id: str) -> Scorer:
     rows = saved(_document_words(_sample(docs, labels, text, doc_id), model).withColumn("doc", F.monotonically_increasing_id()), "toxicity-words")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.countDistinct("cluster").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)

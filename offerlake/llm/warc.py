@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.llm._tables import saved
-from offerlake.session import scratch_path
+from offerlake.session import saved, scratch_path
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
