@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -125,8 +126,34 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, in whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables that are ``saved`` within the block are removed at its end.
+
+    What leaves the block must be computed by then: a value on the driver, or
+    a table saved with ``keep``, which belongs to the block around this one."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read from there: computed once, and not again when an executor is lost."""
     path = scratch_path(df.sparkSession, name)
+    owners = _scopes[:-1] if keep else _scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
