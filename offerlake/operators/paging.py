@@ -69,10 +69,10 @@ def latest_pages(pages: DataFrame, key: str, part: Sequence[str] = RUN_KEYS) ->
     The keys alone tell whether any page has two rows; only such pages' bodies
     are shuffled."""
     cols = [*part, key]
-    twice = saved(pages.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-                  .where("_n > 1").drop("_n"), "twice-fetched")
+    twice = pages.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     if twice.isEmpty():
         return pages
+    twice = saved(twice, "twice-fetched")
     newest = Window.partitionBy(*cols).orderBy(F.desc("fetched_at"), F.desc(F.xxhash64("body")))
     again = (pages.join(twice, cols, "left_semi").withColumn("_rn", F.row_number().over(newest))
              .where("_rn = 1").drop("_rn"))
@@ -136,13 +136,13 @@ def _next_landed(keys: DataFrame, part: Sequence[str], width: int) -> DataFrame:
 
 
 def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
-                 default_step: int, part: Sequence[str] = RUN_KEYS) -> DataFrame:
+                 default_step: int, part: Sequence[str] = RUN_KEYS, stored: bool = False) -> DataFrame:
     """L4: the cursor pages of a run that a crawl from ``start_cursor`` requests,
     numbered from 1; the next cursor is the page's ``next_cursor`` if given,
     else ``cursor + items_count``.
 
     Input: a row per landed page with ``cursor``, ``next_cursor`` and
-    ``items_count``.  Output: ``(part…, cursor, page)``, the chain up to the
+    ``items_count`` (``stored``: read from a written table).  Output: ``(part…, cursor, page)``, the chain up to the
     first page whose successor is not landed or does not move forward, at
     most ``max_pages`` of it.
 
@@ -157,8 +157,9 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
     part = list(part)
     step = F.coalesce(F.col("items_count"), F.lit(default_step)).cast("bigint")
     width = PAGE_BLOCK * max(default_step, 1)
-    keys = saved(pages.where(F.col("cursor") >= start_cursor).select(
-        *part, "cursor", F.coalesce(F.col("next_cursor"), F.col("cursor") + step).alias("to")), "chain-keys")
+    keys = pages.where(F.col("cursor") >= start_cursor).select(
+        *part, "cursor", F.coalesce(F.col("next_cursor"), F.col("cursor") + step).alias("to"))
+    keys = keys if stored else saved(keys, "chain-keys")
     flagged = _next_landed(keys, part, width).withColumn("_end", (~F.col("to").eqNullSafe(F.col("_next"))).cast("int"))
     counted = blocked_running_sum(flagged.withColumn("_one", F.lit(1)), part, "cursor", "_one", "pos", width)
     counted = blocked_running_sum(counted, part, "cursor", "_end", "_ends", width)
@@ -167,13 +168,13 @@ def cursor_chain(pages: DataFrame, start_cursor: int, max_pages: int | None,
     ends = placed.where("last").select(*part, "stretch", F.col("pos").alias("end"), "cursor", "to")
     entry = placed.select(*part, F.col("cursor").alias("to"), F.col("stretch").alias("into"), F.col("pos").alias("at"))
     # from the end of a stretch: the stretch it points into, the place there, that stretch's end, pages in between
-    jump = saved(ends.where("to > cursor").join(entry, [*part, "to"])
-                 .join(ends.select(*part, F.col("stretch").alias("into"), F.col("end").alias("into_end")), [*part, "into"])
-                 .select(*part, "stretch", "into", "at", "into_end", F.lit(0).cast("bigint").alias("between")), "chain-jumps")
+    jump = (ends.where("to > cursor").join(entry, [*part, "to"])
+            .join(ends.select(*part, F.col("stretch").alias("into"), F.col("end").alias("into_end")), [*part, "into"])
+            .select(*part, "stretch", "into", "at", "into_end", F.lit(0).cast("bigint").alias("between")))
     # a stretch on the chain: where it is entered, its end, pages of the chain before it
-    reached = saved(placed.where(F.col("cursor") == start_cursor).select(*part, "stretch", F.col("pos").alias("at"))
-                    .join(ends.select(*part, "stretch", "end"), [*part, "stretch"])
-                    .withColumn("before", F.lit(0).cast("bigint")), "chain-reached")
+    reached = (placed.where(F.col("cursor") == start_cursor).select(*part, "stretch", F.col("pos").alias("at"))
+               .join(ends.select(*part, "stretch", "end"), [*part, "stretch"])
+               .withColumn("before", F.lit(0).cast("bigint")))
     while True:
         ahead = reached.withColumnRenamed("at", "from").join(jump, [*part, "stretch"]).select(
             *part, F.col("into").alias("stretch"), "at", F.col("into_end").alias("end"),

@@ -42,7 +42,7 @@ from offerlake.sources.tables import (DEFAULT_PAGE_SIZE_A, DEFAULT_PAGE_SIZE_B,
 
 
 # Pages in the first range that is searched for a stop, and the growth of the next ones.
-FIRST_RANGE, RANGE_GROWTH = 256, 8
+FIRST_RANGE, RANGE_GROWTH = 1024, 8
 
 _KEY_LISTS = {SOURCE_A: (SOURCE_ID_KEYS_A, URL_KEYS_A), SOURCE_B: (SOURCE_ID_KEYS_B, URL_KEYS_B)}
 
@@ -144,7 +144,7 @@ def find_run_b(landed: DataFrame, *, run_id: str, max_pages: int | None, start_p
         posts = salaried_postings(some, SOURCE_B, since, keep=(*keys, "page_error"))
         facts = saved(page_facts(posts, keys), "page-facts")
         seen = facts if seen is None else seen.unionByName(facts)
-        numbers = saved(cursor_chain(seen, start, max_pages, step), "chain")
+        numbers = saved(cursor_chain(seen, start, max_pages, step, stored=True), "chain")
         end = numbers.agg(F.max("cursor").alias("c"), F.max("page").alias("p")).first()
         if end["c"] is None:
             break
