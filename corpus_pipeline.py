@@ -24,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the first document stays."""
     configure(spark)
-    return stream_dedup.drop_copies(docs)
+    return stream_dedup.drop_copies(docs, memory_mb=128)  # Python stages share the executors
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,18 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.session import delete_path, materialize, saved, scratch_path
-
-# The state store: on disk, with a bound on the memory of all its instances in an executor.
-STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
-    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
-    # stores of an ended query are closed, and their local files removed, at the next round
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
-}
+from offerlake.session import materialize, saved, scratch_path
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Members of one group that are compared with one copy of its first text.
 SALT_ROWS = 1024
 
@@ -57,9 +48,15 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
+def _rocksdb(spark: SparkSession, memory_mb: int | None = None):
+    """The state store on disk; ``memory_mb`` bounds the memory of all its instances in an executor."""
+    prefix = "spark.sql.streaming.stateStore"
+    conf = {f"{prefix}.providerClass": PROVIDER}
+    if memory_mb is not None:
+        conf |= {f"{prefix}.rocksdb.boundedMemoryUsage": "true", f"{prefix}.rocksdb.maxMemoryUsageMB": str(memory_mb),
+                 f"{prefix}.rocksdb.writeBufferSizeMB": "2", f"{prefix}.rocksdb.blockCacheSizeMB": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -76,7 +73,7 @@ def _keyed(df: DataFrame, text: str, doc_id: str, digest) -> DataFrame:
 
 
 def update_state(spark: SparkSession, path: str, checkpoint: str, *, text: str = "text", doc_id: str = "doc_id",
-                 schema: T.StructType | None = None, digest=sha256) -> DataFrame:
+                 schema: T.StructType | None = None, digest=sha256, memory_mb: int | None = None) -> DataFrame:
     """Add the files under ``path`` that the state in ``checkpoint`` has not seen; the state as a table.
 
     One row per digest: digest, first (absent, id, file, row), n.
@@ -87,35 +84,34 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, *, text: str =
     state = stream.groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "file", "row")).alias("first"),
         F.count(F.lit(1)).alias("n"))
-    with _rocksdb(spark):
+    with _rocksdb(spark, memory_mb):
         query = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-    return read_state(spark, checkpoint)
+    return read_state(spark, checkpoint, memory_mb)
 
 
-def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state as a written table: the stores are opened once, under their own settings."""
-    with _rocksdb(spark):
+def read_state(spark: SparkSession, checkpoint: str, memory_mb: int | None = None) -> DataFrame:
+    """The state as a table; with ``memory_mb`` it is written, so that the stores are opened under that bound."""
+    with _rocksdb(spark, memory_mb):
         stored = spark.read.format("statestore").load(checkpoint)
         key = stored.schema["key"].dataType.names[0]
         first, n = stored.schema["value"].dataType.names[-2:]
-        return saved(stored.select(F.col("key").getField(key).alias("digest"), F.col("value").getField(first).alias("first"),
-                                   F.col("value").getField(n).alias("n")), "dedup-state-table")
+        state = stored.select(F.col("key").getField(key).alias("digest"), F.col("value").getField(first).alias("first"),
+                              F.col("value").getField(n).alias("n"))
+        return state if memory_mb is None else saved(state, "dedup-state-table")
 
 
 def dedup_files(spark: SparkSession, path: str, *, text: str = "text", doc_id: str = "doc_id",
-                checkpoint: str | None = None, digest=sha256, columns: bool = False) -> DataFrame:
+                checkpoint: str | None = None, digest=sha256, memory_mb: int | None = None) -> DataFrame:
     """One row per row of the files under ``path``: its place in its group of equal texts.
 
     Columns: id, file, row, keep_id, group_size, kept, text_sha256.  ``digest``
     maps the normalised text to the state's key; the result does not depend on it.
     """
     schema = spark.read.parquet(path).schema
-    own = scratch_path(spark, "dedup-state")
-    state = update_state(spark, path, checkpoint or own, text=text, doc_id=doc_id, schema=schema, digest=digest)
-    if checkpoint is None:
-        delete_path(spark, own)  # the state has been read
+    state = update_state(spark, path, checkpoint or scratch_path(spark, "dedup-state"), text=text, doc_id=doc_id,
+                         schema=schema, digest=digest, memory_mb=memory_mb)
     docs = _keyed(spark.read.schema(schema).parquet(path), text, doc_id, digest)
     is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     located = docs.join(state, "digest").select(
@@ -153,7 +149,7 @@ def _split_collisions(located: DataFrame, collided: DataFrame) -> DataFrame:
         ((F.col("file") == mine["file"]) & (F.col("row") == mine["row"])).alias("kept"), "text_sha256"))
 
 
-def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", memory_mb: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay; columns unchanged.
 
     The rows are first written to the shared folder, so that file and row name
@@ -162,7 +158,7 @@ def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     path = scratch_path(spark, "dedup-docs")
     docs.write.parquet(path)
-    gone = dedup_files(spark, path, text=text, doc_id=doc_id).filter("NOT kept").select(
+    gone = dedup_files(spark, path, text=text, doc_id=doc_id, memory_mb=memory_mb).filter("NOT kept").select(
         F.col("file").alias("__file"), F.col("row").alias("__row"))
     landed = spark.read.schema(docs.schema).parquet(path)
     rows = landed.select(*docs.columns, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
