@@ -3,28 +3,36 @@
 A text is its letters in lower case; each run of other characters is one
 blank.  Three blanks stand before it.  Counts of the longest n-grams are
 gathered over all given texts, per key (a language, say); continuation counts,
-discounts and contexts are aggregates of that table.  A model keeps at most
-``max_grams`` n-grams of each order, the most frequent of all; whatever it does not
-keep has the probability of the next lower order.  So its size is bounded
-whatever the corpus holds, and it may be broadcast.
+discounts, contexts and probabilities are aggregates and joins of that table.
+A model keeps every n-gram.  Its arrays are files in the shared folder, one per
+range of hashes, opened with ``pyarrow.fs``; workers read the ranges that they
+need and hold a fixed number of them, and the driver holds none of them.
 """
 
 from __future__ import annotations
 
+import posixpath
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm import _text as X
-from offerlake.session import saved, scratch_scope
+from offerlake.session import saved, scratch_path, scratch_scope
 
 ORDER = 4
-#: N-grams of one order in a model, over all its keys.
-MAX_GRAMS = 400_000
+#: Values (n-grams times keys) in one file of a model, and files that a process holds at a time.
+RANGE_VALUES, HELD_RANGES = 1 << 17, 32
+#: The least probability.
+LEAST = 1e-12
 _R = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
+_held: OrderedDict[tuple[str, int], Table] = OrderedDict()
 
 
 def letters() -> np.ndarray:
@@ -140,58 +148,116 @@ class Table:
         return at
 
 
+class Ranges:
+    """Values by hash of an n-gram, in files of one range of hashes each; a process holds the last ones it read."""
+
+    def __init__(self, folder: str, parts: int, full: set[int], width: int):
+        self.folder, self.parts, self.full, self.width = folder, parts, full, width
+
+    def part(self, h: np.ndarray) -> np.ndarray:
+        return (X.mix(h) % np.uint64(self.parts)).astype(np.int64)
+
+    def _table(self, part: int) -> Table:
+        key = self.folder, part
+        if key in _held:
+            _held.move_to_end(key)
+            return _held[key]
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        with fs.open_input_file(posixpath.join(root, f"{part:06d}.bin")) as f:
+            raw = f.read()
+        n = len(raw) // (8 + 4 * self.width)
+        table = Table(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n * self.width, 8 * n).reshape(n, self.width))
+        _held[key] = table
+        while len(_held) > HELD_RANGES:
+            _held.popitem(last=False)
+        return table
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its values."""
+        ok, out = np.zeros(len(h), bool), np.zeros((len(h), self.width), np.float32)
+        if self.parts == 1:
+            groups = [(0, np.arange(len(h)))]
+        else:
+            part = self.part(h)
+            order = np.argsort(part, kind="stable")
+            names, edge = np.unique(part[order], return_index=True)
+            groups = zip(names.tolist(), np.split(order, edge[1:]))
+        for k, at in groups:
+            if k in self.full and len(at):
+                table = self._table(k)
+                found = table.find(h[at])
+                some = found >= 0
+                ok[at[some]] = True
+                out[at[some]] = table.values[found[some]]
+        return ok, out
+
+
+def _write_ranges(rows: DataFrame, name: str, width: int) -> Ranges:
+    """``rows`` (gram, x: a value per key) as files of logarithms in the shared folder, a range of hashes per task.
+
+    The files belong to no scratch scope: plans that score with the model read them when they run."""
+    spark = rows.sparkSession
+    parts = max(1, -(-rows.count() * width // RANGE_VALUES))
+    folder = scratch_path(spark, name)
+    target = Ranges(folder, parts, set(), width)
+
+    def hashed(batches):
+        for batch in batches:
+            h = _hash_rows(_characters(batch.column("gram")))
+            yield pa.RecordBatch.from_arrays([pa.array(target.part(h).astype(np.int32)), pa.array(h.view(np.int64)), batch.column("x")],
+                                             names=["part", "h", "x"])
+
+    def write(batches):
+        held = [(b.column("part").to_numpy(), b.column("h").to_numpy(), b.column("x").flatten().to_numpy().reshape(-1, width))
+                for b in batches if b.num_rows]
+        if not held:
+            return
+        part, h, x = (np.concatenate(c) for c in zip(*held))
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        own = np.unique(part)
+        for k in own.tolist():
+            at = np.flatnonzero(part == k)
+            at = at[np.argsort(h[at].view(np.uint64))]
+            temporary = posixpath.join(root, f".{k:06d}-{TaskContext.get().taskAttemptId()}.tmp")
+            with fs.open_output_stream(temporary, compression=None) as stream:
+                stream.write(h[at].astype("<i8").tobytes())
+                stream.write(np.log(np.maximum(x[at], LEAST)).astype("<f4").tobytes())
+            fs.move(temporary, posixpath.join(root, f"{k:06d}.bin"))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32())], names=["part"])
+
+    dealt = rows.select("gram", "x").mapInArrow(hashed, "part int, h long, x array<double>").repartitionById(parts, F.col("part"))
+    target.full = {r[0] for r in dealt.mapInArrow(write, "part int").collect()}
+    return target
+
+
 class Model:
     """Probabilities of a character after its context, for each key."""
 
-    def __init__(self, names: list[str], levels: list[pa.Table], contexts: list[pa.Table], symbols: int):
-        """``levels[k]``: key, gram, x (its share) of order k + 1; ``contexts[k]``: key, gram (the context), x (the rest)."""
-        self.names, self.order = names, len(levels)
-        self.floor = 1 / (symbols + 1)
-        self.rest, self.table = [], []
-        for k, (grams, ctx) in enumerate(zip(levels, contexts)):
-            chars, rest = self._matrix(ctx, k, 1.0)
-            self.rest.append(Table(_hash_rows(chars), rest) if k else rest)
-            chars, share = self._matrix(grams, k + 1, 0.0)
-            lower = self._probability(chars[:, 1:], k)
-            self.table.append(Table(_hash_rows(chars), share + self._rest(chars[:, :-1], k) * lower))
-        self.logs = np.log(np.maximum(self.table[-1].values, 1e-12)).astype(np.float32)
-
-    def _matrix(self, rows: pa.Table, size: int, default: float) -> tuple[np.ndarray, np.ndarray]:
-        """The different n-grams, as rows of characters, and their x by key."""
-        number = {n: i for i, n in enumerate(self.names)}
-        key = rows.column("key").combine_chunks().dictionary_encode()
-        gram = rows.column("gram").combine_chunks().dictionary_encode()
-        value = np.full((len(gram.dictionary), len(self.names)), default)
-        owner = np.array([number[n] for n in key.dictionary.to_pylist()], np.int64)
-        if len(rows):
-            value[gram.indices.to_numpy(), owner[key.indices.to_numpy()]] = rows.column("x").to_numpy()
-        flat = "".join(gram.dictionary.to_pylist()).encode("utf-32-le")
-        return np.frombuffer(flat, np.uint32).reshape(len(gram.dictionary), size), value
+    def __init__(self, names: list[str], floor: float, rest: np.ndarray, grams: list[Ranges], contexts: list[Ranges | None]):
+        """``grams[k]``: of order k + 1; ``contexts[k]``: what the contexts of that order leave to the next lower one
+        (``rest`` for the empty context)."""
+        self.names, self.order, self.floor = names, len(grams), floor
+        self.rest, self.grams, self.contexts = np.log(rest).astype(np.float32), grams, contexts
 
     def _rest(self, ctx: np.ndarray, k: int) -> np.ndarray:
         if k == 0:
-            return np.repeat(self.rest[0][:1] if len(self.rest[0]) else np.ones((1, len(self.names))), len(ctx), 0)
-        at = self.rest[k].find(_hash_rows(ctx))
-        out = np.ones((len(ctx), len(self.names)))
-        out[at >= 0] = self.rest[k].values[at[at >= 0]]
-        return out
+            return np.repeat(self.rest[None], len(ctx), 0)
+        return self.contexts[k].look(_hash_rows(ctx))[1]  # 0, all of it, for an unknown context
 
-    def _probability(self, chars: np.ndarray, size: int) -> np.ndarray:
+    def _log(self, chars: np.ndarray, size: int) -> np.ndarray:
         """Of the last of ``size`` characters after the others, by key."""
         if size == 0:
-            return np.full((len(chars), len(self.names)), self.floor)
-        t = self.table[size - 1]
-        at = t.find(_hash_rows(chars))
-        out = np.zeros((len(chars), len(self.names)))
-        out[at >= 0] = t.values[at[at >= 0]]
-        miss = np.flatnonzero(at < 0)
+            return np.full((len(chars), len(self.names)), np.log(self.floor), np.float32)
+        ok, out = self.grams[size - 1].look(_hash_rows(chars))
+        miss = np.flatnonzero(~ok)
         if len(miss):
-            out[miss] = self._rest(chars[miss, :-1], size - 1) * self._probability(chars[miss, 1:], size - 1)
+            out[miss] = self._rest(chars[miss, :-1], size - 1) + self._log(chars[miss, 1:], size - 1)
         return out
 
     def log_probability(self, chars: np.ndarray) -> np.ndarray:
         """Logarithms for each row of ``order`` characters, by key."""
-        return np.log(np.maximum(self._probability(chars, chars.shape[1]), 1e-12))
+        return np.maximum(self._log(chars, chars.shape[1]), np.log(LEAST))
 
     def entropies(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per row: cross-entropy per character under each key, number of characters that it is taken over."""
@@ -202,9 +268,8 @@ class Model:
             at = np.flatnonzero(whole(first, last, len(chars), n))
             if not len(at):
                 continue
-            found = self.table[-1].find(hashes(chars, n)[at])
-            logs = self.logs[found]
-            miss = np.flatnonzero(found < 0)
+            ok, logs = self.grams[-1].look(hashes(chars, n)[at])
+            miss = np.flatnonzero(~ok)
             if len(miss):
                 logs[miss] = self.log_probability(np.stack([chars[at[miss] + j] for j in range(n)], 1))
             row = np.searchsorted(first, at, "right") - 1
@@ -221,44 +286,59 @@ def _hash_rows(chars: np.ndarray) -> np.ndarray:
     return h
 
 
-def _kept(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows with the largest c; whole powers of two of it, at most ``limit``."""
-    by_size = rows.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()
-    low, total = 64, 0
-    for b, n in sorted(((r[0], r[1]) for r in by_size), reverse=True):
-        if total + n > limit:
-            break
-        low, total = b, total + n
-    return rows.filter(F.col("c") >= F.lit(2.0 ** low))
+def _characters(grams: pa.Array) -> np.ndarray:
+    """N-grams of one length as rows of characters."""
+    flat = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32)
+    return flat.reshape(len(grams), -1)
+
+
+def _by_key(rows: DataFrame, name: str, names: list[str], default: float) -> DataFrame:
+    """(name, x): the x of each key in the order of ``names``."""
+    wide = rows.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("key", "x"))).alias("m"))
+    keys = F.array(*[F.lit(n) for n in names])
+    return wide.select(name, F.transform(keys, lambda k: F.coalesce(F.element_at("m", k), F.lit(default))).alias("x"))
 
 
 def fit(docs: DataFrame, **options) -> Model | None:
     """The model of the texts in ``docs`` (``text``), one set of probabilities per value of ``key``; None without
-    any n-gram.  Options: text, key, order, max_grams."""
+    any n-gram.  Options: text, key, order."""
     with scratch_scope(docs.sparkSession):
         return _fit(docs, **options)
 
 
-def _fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model | None:
+def _fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER) -> Model | None:
     level = saved(gram_counts(docs, text=text, key=key, order=order), "charlm-grams")
     names = sorted(r[0] for r in level.select("key").distinct().collect())
     if not names:
         return None
-    levels, contexts = [], []
+    shares, rests = [], []
     for k in range(order, 0, -1):
         ones = level.groupBy("key").agg(F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("n1"),
                                         F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("n2")).collect()
         discount = {r["key"]: (r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5) for r in ones}
         d = F.element_at(F.create_map(*[F.lit(x) for kv in discount.items() for x in kv]), F.col("key"))
         ctx = level.groupBy("key", F.substring("gram", 1, k - 1).alias("ctx")).agg(
-            F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("c"))
+            F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
         ctx = saved(ctx, "charlm-contexts")
         share = level.withColumn("ctx", F.substring("gram", 1, k - 1)).join(ctx.select("key", "ctx", "total"), ["key", "ctx"])
-        share = _kept(share, max_grams).select("key", "gram", ((F.col("c") - d) / F.col("total")).alias("x"))
-        rest = _kept(ctx, max_grams).select("key", F.col("ctx").alias("gram"), (d * F.col("kinds") / F.col("total")).alias("x"))
-        levels.append(share.toArrow())
-        contexts.append(rest.toArrow())
+        shares.append(_by_key(share.select("key", "gram", ((F.col("c") - d) / F.col("total")).alias("x")), "gram", names, 0.0))
+        rests.append(_by_key(ctx.select("key", "ctx", (d * F.col("kinds") / F.col("total")).alias("x")), "ctx", names, 1.0))
         if k > 1:
             level = saved(level.groupBy("key", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "charlm-grams")
-    symbols = pc.count_distinct(levels[-1].column("gram")).as_py()
-    return Model(names, levels[::-1], contexts[::-1], symbols)
+    shares, rests = shares[::-1], rests[::-1]
+    floor = 1 / (level.select("gram").distinct().count() + 1)
+    rest = np.array(rests[0].first()["x"])
+    # from the shortest n-grams up: share + rest of the context * probability after the shorter context
+    add = F.zip_with("x", F.zip_with("r", "low", lambda r, low: r * low), lambda x, y: x + y).alias("x")
+    below = saved(shares[0].withColumns({"r": F.array(*[F.lit(float(v)) for v in rest]), "low": F.array_repeat(F.lit(floor), len(names))})
+                  .select("gram", add), "charlm-model")
+    grams, contexts = [_write_ranges(below, "charlm-ranges", len(names))], [None]
+    for k in range(2, order + 1):
+        left = saved(rests[k - 1], "charlm-rests")
+        own = shares[k - 1].withColumns({"ctx": F.substring("gram", 1, k - 1), "end": F.substring("gram", 2, k - 1)})
+        own = own.join(left.select("ctx", F.col("x").alias("r")), "ctx").join(
+            below.select(F.col("gram").alias("end"), F.col("x").alias("low")), "end")
+        below = saved(own.select("gram", add), "charlm-model")
+        grams.append(_write_ranges(below, "charlm-ranges", len(names)))
+        contexts.append(_write_ranges(left.withColumnRenamed("ctx", "gram"), "charlm-ranges", len(names)))
+    return Model(names, floor, rest, grams, contexts)

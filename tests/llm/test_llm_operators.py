@@ -183,6 +183,47 @@ def test_character_model_sums_to_one(spark):
         assert (total <= 1.0001).all() and (total > 0.6).all()
 
 
+def _kneser_ney(texts, order):
+    """Probability of each n-gram of the longest order, by plain dictionaries over one language's texts."""
+    counts = collections.Counter()
+    for t in texts:
+        t = " " * (order - 1) + re.sub(r"\W+", " ", t.lower()) + " "
+        counts.update(t[i:i + order] for i in range(len(t) - order + 1))
+    levels = [counts]
+    while len(levels) < order:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    return levels[::-1]
+
+
+def test_character_model_keeps_every_gram(spark, monkeypatch):
+    """A rare language beside one of more than 400,000 n-grams, in many ranges, against plain dictionaries."""
+    from offerlake.llm import _charlm
+
+    monkeypatch.setattr(_charlm, "RANGE_VALUES", 1 << 15)
+    monkeypatch.setattr(_charlm, "HELD_RANGES", 5)
+    rng = random.Random(6)
+    big = [("".join(chr(0x4E00 + rng.randrange(300)) for _ in range(6000)), "zz") for _ in range(72)]
+    few = ["the quick brown fox jumps over the lazy dog", "a few rare words of their own", "the fox and the dog"]
+    table = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([*big, *((t, "en") for t in few)])], "doc_id long, text string, lang string")
+    model = _charlm.fit(table, key="lang")
+    assert model.grams[-1].parts > 5
+    levels = _kneser_ney(few, 4)
+    symbols = len({c for t, _ in big for c in t} | set("".join(few)))
+    below = None
+    for level in levels:
+        n1, n2 = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        below = {g: (c - d) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * (below[g[1:]] if below else 1 / (symbols + 1))
+                 for g, c in level.items()}
+    grams = sorted(below)
+    got = model.log_probability(np.array([[ord(c) for c in g] for g in grams], np.uint32))[:, model.names.index("en")]
+    assert np.abs(got - np.log([below[g] for g in grams])).max() < 1e-4
+
+
 def test_language_without_rows(empty):
     learned = language_id.learn(empty)
     assert learned.model is None and language_id.identify(empty, learned).count() == 0
