@@ -28,7 +28,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
+    """Of each component of linked documents one row stays, that with the smallest doc_id."""
     configure(spark)
     return ngram_join.drop_linked(docs)
 

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from offerlake.llm import _text as X
 from offerlake.llm._tables import components
-from offerlake.session import saved, scratch_scope
+from offerlake.session import saved, scratch_path, scratch_scope
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -124,8 +124,8 @@ def _u64(raw) -> np.ndarray:
 ROWS = T.StructType([T.StructField("n", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("low", T.LongType())])
 
 
-def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, n, tag, low): set size, tag and number of low columns of every document."""
+def _rows(docs: DataFrame, text: str, doc_id: str, keep: list[str] | None = None) -> DataFrame:
+    """(id, n, tag, low): set size, tag and number of low columns of every document; with the columns ``keep`` after id."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         sizes, tags, sets = shingle_sets(batch.column("text"))
@@ -133,7 +133,8 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         low = np.concatenate(([0], np.cumsum(sets < LOW)))
         return [_i64(sizes), _i64(tags), _i64(low[edge[1:]] - low[edge[:-1]])]
 
-    return X.add_columns(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), compute, ROWS, ["id"])
+    kept = keep or []
+    return X.add_columns(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *kept), compute, ROWS, ["id", *kept])
 
 
 _ENTRIES = "block long, hashes binary, tags binary, shared binary, own_hashes binary, own_tags binary"
@@ -381,10 +382,9 @@ def _far_links(seen: DataFrame, sets: DataFrame) -> DataFrame:
     return both.join(sets.select("tag", "set"), "tag").groupBy("pair").applyInArrow(_product, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: id, n_shingles, tag (equal for equal sets; 0 shingles: no meaning) and component_id."""
+def _components(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(tag, component, component_id) of every class of ``rows``; component is a class's tag, component_id may be null."""
     spark = docs.sparkSession
-    rows = saved(_rows(docs, text, doc_id), "ngram-rows")
     classes = saved(rows.filter("n > 0").groupBy("tag").agg(
         F.min("id").alias("first"), F.first("n").alias("n"), F.first("low").alias("low")), "ngram-classes")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -398,7 +398,13 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         grouped = classes.join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").select(
             "tag", "first", F.coalesce("root", "tag").alias("component"))
         least = saved(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "ngram-least")
-        named = saved(grouped.join(least, "component").select("tag", "component_id"), "ngram-named", keep=True)
+        return saved(grouped.join(least, "component").select("tag", "component", "component_id"), "ngram-named", keep=True)
+
+
+def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: id, n_shingles, tag (equal for equal sets; 0 shingles: no meaning) and component_id."""
+    rows = saved(_rows(docs, text, doc_id), "ngram-rows")
+    named = _components(docs, rows, text, doc_id).select("tag", "component_id")
     full = rows.filter("n > 0").join(named, "tag").select("id", F.col("n").alias("n_shingles"), "tag", "component_id")
     return full.union(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), "tag", F.col("id").alias("component_id")))
 
@@ -456,14 +462,29 @@ def _links(sets: DataFrame) -> DataFrame:
 
 
 def drop_linked(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each component one row, with the smallest doc_id (null after all others).
 
-    Rows without a shingle stay.  Of several rows with that doc_id all that are
-    in the component stay; run exact dedup first.  Columns are unchanged.
+    Rows without a shingle stay.  The rows are first written to the shared
+    folder, so that file and row name each of them for good: a null or repeated
+    doc_id takes no other row along.  Columns are unchanged.
     """
-    found = join_components(docs, text=text, doc_id=doc_id)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "ngram-docs")
+    docs.write.parquet(path)
+    landed = spark.read.schema(docs.schema).parquet(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = saved(_rows(landed.select(*docs.columns, *place), text, doc_id, ["file", "row"]), "ngram-rows")
+    named = _components(landed, rows, text, doc_id).select("tag", "component")
+    rows = rows.filter("n > 0").join(named, "tag").select("id", "file", "row", "component")
+    least = rows.groupBy("component").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "file", "row")).alias("least")).filter("members > 1")
+    gone = rows.join(least, "component").filter(
+        (F.col("file") != F.col("least.file")) | (F.col("row") != F.col("least.row"))).select(
+        F.col("file").alias("__file"), F.col("row").alias("__row"))
+    placed = landed.select(*docs.columns, *[c.alias(n) for c, n in zip(place, ("__f", "__r"))])
+    stay = placed.join(gone, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")), "left_anti")
+    return stay.select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

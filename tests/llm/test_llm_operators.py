@@ -298,6 +298,20 @@ def test_ngram_odd_cases(docs, empty):
     assert 7 not in {r.doc_id for r in kept.collect()}
 
 
+def test_drop_linked_goes_by_row(spark):
+    """Several null and repeated ids, of which some rows are linked."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "stays"), (None, long + " more", "goes"), (None, "clean text of its own", "stays"), (None, "", "stays"),
+            (None, None, "stays"), (None, "one more clean text here", "stays"),
+            (2, long + " again", "goes"), (2, "a different text under the same id", "stays"),
+            (None, other, "one"), (None, other + " more", "one"), (None, other + " again", "one"),
+            (5, "equal text twice", "two"), (5, "equal text twice", "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fate string").repartition(3)
+    kept = ngram_join.drop_linked(df)
+    assert kept.columns == df.columns
+    assert collections.Counter(r.fate for r in kept.collect()) == {"stays": 6, "one": 1, "two": 1}
+
+
 def test_block_signatures_find_every_link():
     rng = np.random.default_rng(4)
     for n in [9, 10, 11, 19, 20, 21, 57, 150, 700]:
