@@ -1,14 +1,17 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
 1. A character model (interpolated Kneser-Ney) is counted over every text.
-2. Chunks that look disguised are restored: look-alike signs within a word
-   (m0r0n), letters written apart (m o r o n, m.o.r.o.n), letters repeated
+2. Chunks that look disguised are restored: look-alike signs (m0r0n, a$$),
+   any other sign between letters (mor-on, m.o.r.o.n, m/o/r/o/n), three or more
+   chunks of one or two letters in a row (m o r o n, mo ro n), letters repeated
    three times or more (moooron).  Each is a lattice: a position offers the
    letters that its sign may stand for, a separator nothing or a blank, a
-   repeated letter nothing; a Viterbi search over the last two letters finds
+   repeated letter nothing; a Viterbi search over the last letters finds
    the likeliest reading under channel costs and the model.
 3. The words of a text and of its restored chunks are looked up in a learned
-   lexicon; a logistic model over the words found gives the score.
+   lexicon; a word that is one of its words with letters repeated (moroon)
+   counts, too, unless the labelled sample knows it as an ordinary word.  A
+   logistic model over the words found gives the score.
 
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents of each
 label, by hash (the classifier's bounded sample): words that clearly more toxic than
@@ -24,6 +27,7 @@ every score is 0; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,6 @@ LEARN_FOLDS = "fold <> 0"
 # What a sign may stand for besides itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-SEPARATORS = " \t\n.-_*~'"
 COST_LOOK, COST_DROP, COST_BLANK, COST_REPEAT, COST_STRAY = 0.7, 0.1, 2.0, 0.1, 4.0
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -52,8 +55,13 @@ _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
 _ASCII_LETTER[0x80:] = True
 _LOOK_BYTE = np.zeros(256, bool)
 _LOOK_BYTE[[ord(c) for c in LOOKS if ord(c) < 128]] = True
-_SEPARATOR_BYTE = np.zeros(256, bool)
-_SEPARATOR_BYTE[[ord(c) for c in ".-_*~"]] = True
+_LOOK_SIGN_BYTE = _LOOK_BYTE.copy()
+_LOOK_SIGN_BYTE[0x30:0x3A] = False
+
+
+# In a reading: a repeat of the letter before, left out.
+_DROPPED = "\0"
+_AGAIN = re.compile(r"([^\0])\0+")
 
 
 class Lattice:
@@ -63,7 +71,7 @@ class Lattice:
 
     def __init__(self, model: C.Model):
         self.model = model
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[tuple[str, str], ...]] = {}
         self.logs: dict[str, float] = {}
 
     def _log(self, context: str, letter: str) -> float:
@@ -75,10 +83,10 @@ class Lattice:
                 self.logs[gram] = found
         return found
 
-    def read(self, chunk: str) -> tuple[str, ...]:
-        """The words of the likeliest reading; a chunk is decoded once per worker."""
+    def read(self, chunk: str) -> tuple[tuple[str, str], ...]:
+        """The words of the likeliest reading, without and with the letters dropped as repeats; a chunk is decoded once per worker."""
         if (words := self.known.get(chunk)) is None:
-            words = tuple(w for w in self._search(chunk).split(" ") if w)
+            words = tuple((w.replace(_DROPPED, ""), _AGAIN.sub(lambda m: m[1] * len(m[0]), w)) for w in self._search(chunk).split(" ") if w)
             if len(self.known) >= self.TABLE:
                 self.known.clear()
             self.known[chunk] = words
@@ -96,7 +104,7 @@ class Lattice:
                 options.append((sign, 0.0))
                 if sign == before:
                     options.append(("", COST_REPEAT))
-            elif sign in SEPARATORS:
+            elif sign not in LOOKS:
                 options += [("", COST_DROP), (" ", COST_BLANK)]
             else:
                 options.append(("", COST_STRAY))
@@ -108,6 +116,8 @@ class Lattice:
                 for letter, price in options:
                     if not letter or letter == " " and state[-1] == " ":
                         after, total, way = state, cost + price, path
+                        if sign == before and path and (path[0] == _DROPPED or path[0] == sign or path[0] in LOOKS.get(sign, "")):
+                            way = _DROPPED, path
                     else:
                         after = state[1:] + letter
                         total, way = cost + price - self._log(state, letter), (letter, path)
@@ -135,19 +145,30 @@ def disguised(buf: np.ndarray, begin: np.ndarray):
         total = np.concatenate(([0], np.cumsum(mask)))
         return total[e] - total[s]
 
-    letter = _ASCII_LETTER[buf]
-    letters, looks, separators = count(letter), count(_LOOK_BYTE[buf]), count(_SEPARATOR_BYTE[buf])
+    letter, look = _ASCII_LETTER[buf], _LOOK_BYTE[buf]
+    for lead, size in ((0xC2, 2), (0xE2, 3)):  # signs of Latin-1 and of the punctuation and symbol blocks are no letters
+        at = np.flatnonzero(buf == lead)
+        for k in range(size):
+            letter[at[at + k < len(buf)] + k] = False
+    letters, looks = count(letter), count(look)
+    part = letter | look
+    begins = part.copy()  # of runs of letters and look-alikes
+    begins[1:] &= ~part[:-1]
+    inner = np.zeros(len(buf), bool)  # a look-alike that is no digit, between two others
+    inner[1:-1] = _LOOK_SIGN_BYTE[buf[1:-1]] & part[:-2] & part[2:]
     again = np.zeros(len(buf), bool)  # the third of three equal letters
     again[2:] = (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & letter[2:] & (buf[2:] < 0x80)
-    pick = (letters >= 2) & (looks > 0) | (count(again) > 0) & (letters >= 4) \
-        | (separators >= 2) & (letters + looks >= 3) & (letters + looks <= separators + 2)
+    pick = (letters >= 1) & (letters + looks >= 2) & (looks > 0) | (letters == 0) & (looks >= 3) & (count(inner) > 0) \
+        | (letters >= 1) & (letters + looks >= 3) & (count(begins) >= 2) | (count(again) > 0)
     out = [np.flatnonzero(pick)]
     first, last = [s[out[0]]], [e[out[0]]]
-    # letters written apart: four or more chunks of one sign (a continuation byte adds no sign)
+    # letters written apart: three or more chunks of one sign, or of one or two (a continuation byte adds no sign)
     signs = count((buf & 0xC0) != 0x80)
     single = (signs == 1) & (letters + looks > 0)
+    short = (signs <= 2) & (letters > 0)
+    both = [X.runs(single), X.runs(short)]
+    a, b = (np.concatenate(x) for x in zip(*both))
     new_row = np.concatenate(([True], row[1:] != row[:-1]))
-    a, b = X.runs(single)
     for x, y in zip(a.tolist(), b.tolist()):
         if y - x >= 3:
             cut = [x, *(x + 1 + np.flatnonzero(new_row[x + 1:y])).tolist(), y]
@@ -164,13 +185,14 @@ _SQUEEZE = re.compile(r"\s+")
 
 
 def word_rows(col: pa.Array, lattice: Lattice | None):
-    """Per slice: bytes, words (start, end, row from 0) and, for each row with disguised chunks, its restored words."""
+    """Per slice: bytes, words (start, end, row from 0) and, for each row with disguised chunks, its restored words,
+    without and with repeated letters."""
     data, starts, ends = X.utf8(col)
     for lo, hi in X.slices(starts, ends):
         buf, begin = X.joined(data, starts[lo:hi], ends[lo:hi])
         buf = X.LOWER[buf]
         ws, we, row = X.words_of(buf, X.WORD_BYTE, begin)
-        restored: dict[int, set[str]] = {}
+        restored: dict[int, set[tuple[str, str]]] = {}
         if lattice is not None:
             for r, a, b in zip(*(x.tolist() for x in disguised(buf, begin))):
                 chunk = _SQUEEZE.sub(" ", buf[a:b].tobytes().decode("utf-8", "replace"))
@@ -182,22 +204,31 @@ def squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+def stretches(word: str, other: str) -> bool:
+    """Whether ``word``, of the same squeezed form, has each letter of ``other`` at least as often in a row."""
+    return all(len(list(x)) >= len(list(y)) for (_, x), (_, y) in zip(groupby(word), groupby(other)))
+
+
 class Scorer:
     """The learned parts: character model, lexicon and weights."""
 
-    def __init__(self, model: C.Model | None, words: list[str], weights: np.ndarray, bias: float):
-        self.model, self.words, self.weights, self.bias = model, words, weights, bias
+    def __init__(self, model: C.Model | None, words: list[str], weights: np.ndarray, bias: float, ordinary: frozenset[str] = frozenset()):
+        """``ordinary``: words that are like a word of the lexicon with letters repeated and mean something else."""
+        self.model, self.words, self.weights, self.bias, self.ordinary = model, words, weights, bias, ordinary
         self.lattice = Lattice(model) if model is not None else None
-        raw = [w.encode() for w in words]
-        # a reading may have lost one of two equal letters: restored words are compared without repeats
-        self.number = {squeezed(w): i for i, w in reversed(list(enumerate(words)))}
-        buf = np.frombuffer(b" ".join(raw), np.uint8)
-        edge = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw]))).astype(np.int64)
-        h = X.span_hashes(buf, edge[:-1], edge[1:] - 1) if words else np.zeros(0, np.uint64)
-        self.table = C.Table(h, np.arange(len(words))) if words else None
+        self.number: dict[str, list[int]] = {}
+        for i in sorted(range(len(words)), key=lambda i: (-len(words[i]), i)):
+            self.number.setdefault(squeezed(words[i]), []).append(i)
+        self.table, self.short = _lookup(words), _lookup(sorted(self.number))
+
+    def _stretched(self, word: str) -> int | None:
+        """The lexicon word that ``word`` is, or is with letters repeated."""
+        if word in self.ordinary:
+            return None
+        return next((i for i in self.number.get(squeezed(word), []) if stretches(word, self.words[i])), None)
 
     def found(self, col: pa.Array) -> list[set[int]]:
-        """Numbers of the lexicon words in each row of a text column, as written or restored."""
+        """Numbers of the lexicon words in each row of a text column, as written, with letters repeated or restored."""
         out: list[set[int]] = [set() for _ in range(len(col))]
         if self.table is None:
             return out
@@ -207,15 +238,38 @@ class Scorer:
                 i = int(self.table.values[at[k]])
                 if buf[ws[k]:we[k]].tobytes() == self.words[i].encode():
                     out[lo + row[k]].add(i)
+            for k in self._repeating(buf, ws, we, at < 0):
+                word = buf[ws[k]:we[k]].tobytes().decode("utf-8", "replace")
+                if (i := self._stretched(word)) is not None:
+                    out[lo + row[k]].add(i)
             for r, words in restored.items():
-                out[lo + r].update(self.number[k] for k in map(squeezed, words) if k in self.number)
+                out[lo + r].update(i for _, full in words if (i := self._stretched(full)) is not None)
         return out
 
+    def _repeating(self, buf: np.ndarray, ws: np.ndarray, we: np.ndarray, open_: np.ndarray) -> list[int]:
+        """Which of the open words repeat a letter and may be lexicon words without that."""
+        keep = np.ones(len(buf), bool)
+        keep[1:] = (buf[1:] != buf[:-1]) | (buf[1:] >= 0x80)
+        total = np.concatenate(([0], np.cumsum(keep)))
+        some = np.flatnonzero(open_ & (total[we] - total[ws] < we - ws))
+        if not len(some):
+            return []
+        return some[self.short.find(X.span_hashes(buf[keep], total[ws[some]], total[we[some]])) >= 0].tolist()
+
     def score(self, col: pa.Array) -> np.ndarray:
         z = np.array([self.bias + self.weights[sorted(f)].sum() if f else self.bias for f in self.found(col)])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _lookup(words: list[str]) -> C.Table | None:
+    """The words' numbers by their hash; None without words."""
+    if not words:
+        return None
+    raw = [w.encode() for w in words]
+    edge = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw]))).astype(np.int64)
+    return C.Table(X.span_hashes(np.frombuffer(b" ".join(raw), np.uint8), edge[:-1], edge[1:] - 1), np.arange(len(words)))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(label, text) of at most TRAIN_ROWS labelled learning documents of each label, by hash of the doc_id."""
     rows = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"), fold("doc_id").alias("fold"),
@@ -246,7 +300,7 @@ def _document_words(sample: DataFrame, model: C.Model | None) -> DataFrame:
                     edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                     cluster[lo + row[edge]] = np.minimum.reduceat(h, edge)
                 for r, more in restored.items():
-                    words[lo + r] |= more
+                    words[lo + r].update(word for word, _ in more)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(cluster.view(np.int64)),
                                               pa.array([sorted(w) for w in words], pa.list_(pa.string()))], names=["label", "cluster", "words"])
 
@@ -274,13 +328,16 @@ def _learn(docs: DataFrame, labels: DataFrame, model: C.Model | None, text: str,
         return F.when(k > 0, k * F.log(k / ((F.col("a") + F.col("b")) * n / (n1 + n0)))).otherwise(0.0)
 
     ratio = 2 * (part(F.col("a"), n1) + part(F.col("b"), n0))
-    lexicon = seen.withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & (F.col("a") / n1 > 3 * F.col("b") / n0))
+    toxic = F.col("a") / n1 > 3 * F.col("b") / n0
+    lexicon = seen.withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & toxic)
     words = [r["word"] for r in lexicon.orderBy(F.desc("ratio"), "word").limit(LEXICON_WORDS).select("word").collect()]
     if not words:
         share = n1 / (n1 + n0)
         return Scorer(model, [], np.zeros(0), float(np.log(share / (1 - share))))
     hit = rows.select("doc", "label", F.array_intersect("words", F.array(*[F.lit(w) for w in words])).alias("w")).collect()
-    return Scorer(model, words, *_logistic(hit, words))
+    like = seen.filter(~toxic & F.regexp_replace("word", r"(.)\1+", "$1").isin(sorted({squeezed(w) for w in words})))
+    ordinary = frozenset(r["word"] for r in like.select("word").collect())
+    return Scorer(model, words, *_logistic(hit, words), ordinary)
 
 
 def _logistic(rows, words: list[str]) -> tuple[np.ndarray, float]:

@@ -435,6 +435,27 @@ def test_toxicity_learns_and_restores(spark, toxic):
     assert all(held[i] == (i % 5 == 0) for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_toxicity_reads_every_disguise(spark):
+    """Planted forms: few plain letters, one separator, other signs, pairs, one doubled letter; and texts that are clean."""
+    rng = random.Random(12)
+    plain = "the river runs along quiet fields as farmers walk home under old trees and birds sing every evening it is so we go on to an inn".split()
+    rows, labels = [], []
+    for i in range(600):
+        w = rng.choices(plain, k=30)
+        if i % 4 == 0:
+            w[3], w[17] = rng.choice(["idiot", "moron", "ass"]), rng.choice(["idiot", "moron", "ass"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    scorer = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(scorer.words) == {"idiot", "moron", "ass"}
+    bad = ["a$$", "1d107", "4$5", "@$$", "id-iot", "mo.ron", "id*iot", "i-di-ot", "i/d/i/o/t", "i,d,i,o,t", "mo ro n", "idiiot", "moroon",
+           "asss", "i\u00b7d\u00b7i\u00b7o\u00b7t"]
+    good = ["as", "as-is", "455", "$455", "it is so", "river/trees", "as."]
+    score = scorer.score(pa.array([f"the river {x} runs along" for x in bad + good]))
+    assert [x for x, p in zip(bad, score) if p < 0.5] == []
+    assert [x for x, p in zip(good, score[len(bad):]) if p >= 0.5] == []
+
+
 def test_toxicity_without_labels(empty, toxic):
     scorer = toxicity.learn(toxic[0], toxic[1].filter("toxic = 0"))
     assert toxicity.score_texts(toxic[0], scorer).filter("predicted = 1").count() == 0
