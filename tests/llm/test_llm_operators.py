@@ -547,6 +547,18 @@ def test_secret_network(spark):
     assert (net.probability(x) >= net.threshold).mean() >= secret_scan.RECALL - 0.02
 
 
+def test_secret_windows_cover_long_runs():
+    """Every character of a long run outside the base spans is in a window, and a key past the first 48 lies in one whole."""
+    assert secret_scan.open_windows((5, 40), []) == [(5, 40)]
+    long = secret_scan.open_windows((10, 210), [])
+    assert set().union(*(range(a, b) for a, b in long)) == set(range(10, 210)) and {b - a for a, b in long} == {48}
+    assert all(any(a <= s and s + 24 <= b for a, b in long) for s in range(10, 187))
+    parts = secret_scan.open_windows((0, 200), [(60, 2, 100), (90, 0, 110)])
+    assert set().union(*(range(a, b) for a, b in parts)) == {*range(60), *range(110, 200)}
+    assert secret_scan.open_windows((0, 40), [(0, 2, 30)]) == []
+    assert secret_scan._merged([(24, 72), (0, 48), (90, 120)]) == [(0, 72), (90, 120)]
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, toxic):
