@@ -1,13 +1,40 @@
-"""Connected components over written edge tables."""
+"""Connected components over written edge tables; written tables whose rows have a place."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.session import saved, scratch_scope
+from offerlake.session import saved, scratch_path, scratch_scope
+
+__all__ = ["Landed", "components", "numbered_columns", "saved"]
+
+
+class Landed(NamedTuple):
+    """A written table: its columns are c0, c1, ... in the order of ``names``; file and row name each of its rows."""
+
+    path: str
+    table: DataFrame
+    names: list[str]
+
+    def placed(self) -> DataFrame:
+        """The columns c0, c1, ... with ``file`` and ``row``."""
+        return self.table.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The rows that are not in ``gone`` (file, row), under the names of the input."""
+        stay = self.placed().join(gone.select("file", "row"), ["file", "row"], "left_anti")
+        return stay.select(*self.table.columns).toDF(*self.names)
+
 
-__all__ = ["components", "saved"]
+def numbered_columns(df: DataFrame, name: str) -> Landed:
+    """``df`` written to the shared folder under column names that clash with nothing."""
+    path = scratch_path(df.sparkSession, name)
+    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    renamed.write.parquet(path)
+    return Landed(path, df.sparkSession.read.schema(renamed.schema).parquet(path), df.columns)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm import _text as X
-from offerlake.llm._tables import components
-from offerlake.session import saved, scratch_path, scratch_scope
+from offerlake.llm._tables import components, numbered_columns
+from offerlake.session import saved, scratch_scope
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -468,23 +468,16 @@ def drop_linked(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     folder, so that file and row name each of them for good: a null or repeated
     doc_id takes no other row along.  Columns are unchanged.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "ngram-docs")
-    docs.write.parquet(path)
-    landed = spark.read.schema(docs.schema).parquet(path)
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    rows = saved(_rows(landed.select(*docs.columns, *place), text, doc_id, ["file", "row"]), "ngram-rows")
-    named = _components(landed, rows, text, doc_id).select("tag", "component")
+    landed = numbered_columns(docs, "ngram-docs")
+    own = dict(zip(docs.columns, landed.table.columns))
+    rows = saved(_rows(landed.placed(), own[text], own[doc_id], ["file", "row"]), "ngram-rows")
+    named = _components(landed.table, rows, own[text], own[doc_id]).select("tag", "component")
     rows = rows.filter("n > 0").join(named, "tag").select("id", "file", "row", "component")
     least = rows.groupBy("component").agg(
         F.count(F.lit(1)).alias("members"),
         F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "file", "row")).alias("least")).filter("members > 1")
-    gone = rows.join(least, "component").filter(
-        (F.col("file") != F.col("least.file")) | (F.col("row") != F.col("least.row"))).select(
-        F.col("file").alias("__file"), F.col("row").alias("__row"))
-    placed = landed.select(*docs.columns, *[c.alias(n) for c, n in zip(place, ("__f", "__r"))])
-    stay = placed.join(gone, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")), "left_anti")
-    return stay.select(*docs.columns)
+    gone = rows.join(least, "component").filter((F.col("file") != F.col("least.file")) | (F.col("row") != F.col("least.row")))
+    return landed.without(gone)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

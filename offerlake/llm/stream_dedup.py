@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerlake.llm._tables import numbered_columns
 from offerlake.session import materialize, saved, scratch_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,9 +50,12 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def _rocksdb(spark: SparkSession, memory_mb: int | None = None):
-    """The state store on disk; ``memory_mb`` bounds the memory of all its instances in an executor."""
+    """The state store on disk; ``memory_mb`` bounds the memory of all its instances in an executor.
+
+    A store is closed when its task ends: only as many as there are running
+    tasks hold files open, however many partitions the state has."""
     prefix = "spark.sql.streaming.stateStore"
-    conf = {f"{prefix}.providerClass": PROVIDER}
+    conf = {f"{prefix}.providerClass": PROVIDER, f"{prefix}.unloadOnCommit": "true"}
     if memory_mb is not None:
         conf |= {f"{prefix}.rocksdb.boundedMemoryUsage": "true", f"{prefix}.rocksdb.maxMemoryUsageMB": str(memory_mb),
                  f"{prefix}.rocksdb.writeBufferSizeMB": "2", f"{prefix}.rocksdb.blockCacheSizeMB": "2"}
@@ -153,17 +157,13 @@ def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """The rows of ``docs`` that stay; columns unchanged.
 
     The rows are first written to the shared folder, so that file and row name
-    each of them for good.
+    each of them for good; there their columns have names of their own, so any
+    name may be in the input.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "dedup-docs")
-    docs.write.parquet(path)
-    gone = dedup_files(spark, path, text=text, doc_id=doc_id, memory_mb=memory_mb).filter("NOT kept").select(
-        F.col("file").alias("__file"), F.col("row").alias("__row"))
-    landed = spark.read.schema(docs.schema).parquet(path)
-    rows = landed.select(*docs.columns, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
-    stay = rows.join(gone, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")), "left_anti")
-    return stay.select(*docs.columns)
+    landed = numbered_columns(docs, "dedup-docs")
+    own = dict(zip(docs.columns, landed.table.columns))
+    gone = dedup_files(docs.sparkSession, landed.path, text=own[text], doc_id=own[doc_id], memory_mb=memory_mb).filter("NOT kept")
+    return landed.without(gone)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

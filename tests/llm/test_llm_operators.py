@@ -506,6 +506,19 @@ def test_drop_copies(docs, empty):
     assert stream_dedup.drop_copies(empty).count() == 0
 
 
+def test_stages_keep_any_column_names(spark):
+    """Columns named like those that the stages add or read themselves."""
+    long = " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "text", "file", "row", "id", "tag", "_metadata", "n", "first", "component"]
+    rows = [(1, long), (2, long), (3, long + " more"), (4, "another text"), (None, None)]
+    df = spark.createDataFrame([(*r, *map(str, range(8))) for r in rows], ", ".join(
+        f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for stage, ids in ((stream_dedup.drop_copies, {1, 3, 4, None}), (ngram_join.drop_linked, {1, 4, None})):
+        kept = stage(df)
+        assert kept.columns == names and {r.doc_id for r in kept.collect()} == ids
+        assert {tuple(r)[2:] for r in kept.collect()} == {tuple(map(str, range(8)))}
+
+
 # ---- secrets
 
 def _base(text):
