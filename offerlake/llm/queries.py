@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from offerlake.llm import (bpe, decontaminate, language_id, license_scan, ngram_join, secret_scan, stream_dedup, token_shards,
-                           toxicity, warc)
+from offerlake.llm import (bpe, decontaminate, fill_middle, language_id, license_scan, ngram_join, prefix_trie, secret_scan,
+                           stream_dedup, token_shards, toxicity, warc)
 
 QUERIES = {
     "op1_licenses": license_scan.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_stream_dedup": stream_dedup.op9,
     "op10_secrets": secret_scan.op10,
+    "op11_fill_middle": fill_middle.op11,
+    "op12_prefix_trie": prefix_trie.op12,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_stream_dedup": stream_dedup.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
