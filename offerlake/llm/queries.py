@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from offerlake.llm import (bpe, decontaminate, fill_middle, language_id, license_scan, ngram_join, prefix_trie, secret_scan,
-                           stream_dedup, token_shards, toxicity, warc)
+from offerlake.llm import (bpe, decontaminate, fill_middle, language_id, license_scan, ngram_join, packing, prefix_trie,
+                           secret_scan, stream_dedup, token_shards, toxicity, warc)
 
 QUERIES = {
     "op1_licenses": license_scan.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_secrets": secret_scan.op10,
     "op11_fill_middle": fill_middle.op11,
     "op12_prefix_trie": prefix_trie.op12,
+    "op13_packing": packing.op13,
 }
 
 ORACLE_SQL = {
