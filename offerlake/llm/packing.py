@@ -7,7 +7,7 @@
    configurations as possible.  It is solved by multiplicative weights: each
    length has a weight; a knapsack by dynamic programming finds the
    configurations of the largest weight; they are taken for a share of the
-   pieces, whose weights shrink by exp(-RATE * share); a covered length drops
+   pieces, whose weights shrink by exp(-rate * share); a covered length drops
    out.  Initial weights are length^(1 + LEAN), near the dual of a program
    that packs without waste, a little more for what is harder to place.
 3. Rounding: every configuration as often as whole, the largest first; then
@@ -40,9 +40,15 @@ from offerlake.llm.token_shards import coder
 from offerlake.session import saved, scratch_scope
 
 CAPACITY, END = 1024, 2
-#: The multiplicative weights: how far initial weights lean to long pieces, how fast weights shrink, the largest
-#: share of a length that one step covers, and how near to the best configuration one must be to be taken with it.
-LEAN, RATE, STEP, NEAR = 0.2, 0.2, 0.25, 0.003
+#: The multiplicative weights: how far initial weights lean to long pieces, the largest share of a length that one
+#: step covers, and how near to the best configuration one must be to be taken with it.
+LEAN, STEP, NEAR = 0.2, 0.25, 0.003
+#: Slow weights suit lengths that fill up nearly any way, fast ones lengths that few partners fit: the better plan is kept.
+RATES = (0.2, 4.0)
+#: A plan this near to the bound that no packing is below is kept without another try.
+NEAR_BOUND = 1.001
+#: The share of all tokens that the program may leave to the rounding.
+REST = 0.01
 #: Fixed value: the special token that the vocabulary's library recognises in texts.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -58,14 +64,17 @@ Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 # ---- the program, over a histogram
 
 def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each size up to ``capacity`` the largest value of pieces that fit, and the last of them (-1: as one less)."""
+    """For each size up to ``capacity`` the largest value of pieces that fit, and the type of the last of them (-1: as one less)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    types = np.full(capacity, -1)
+    types[lengths - 1] = np.arange(len(lengths))
+    by_length = np.full(capacity, -1.0)  # of lengths 1, 2, ...
+    by_length[lengths - 1] = value
     for c in range(int(lengths[0]), capacity + 1):
-        got = best[c - lengths[:fits[c]]] + value[:fits[c]]
+        got = best[c - 1::-1] + by_length[:c]
         j = int(got.argmax())
         if got[j] > best[c - 1]:
-            best[c], last[c] = got[j], j
+            best[c], last[c] = got[j], types[j]
         else:
             best[c] = best[c - 1]
     return best, last
@@ -83,14 +92,15 @@ def _filled(last: np.ndarray, lengths: np.ndarray, size: int, first: int) -> tup
     return np.unique(found, return_counts=True)
 
 
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[Config, float]:
-    """Configurations and how often each is used, fractions included, covering ``counts`` pieces of ascending ``lengths``."""
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float) -> dict[Config, float]:
+    """Configurations and how often each is used, fractions included, covering ``counts`` pieces of ascending ``lengths``
+    (all but REST of their tokens)."""
     n = counts.astype(float)
     left, out = n.copy(), {}
-    start = (lengths / capacity) ** (1 + LEAN)
-    while (open_ := left > 0).any():
-        share = left / n
-        weight = np.where(open_, start * np.exp(RATE * (share - share.max())), 0)
+    start, largest = (lengths / capacity) ** (1 + LEAN), min(STEP, 0.4 / rate)
+    while left @ lengths > REST * (n @ lengths):
+        open_, share = left > 0, left / n
+        weight = np.where(open_, start * np.exp(rate * (share / share.max() - 1)), 0)
         best, last = knapsack(weight, lengths, capacity)
         value = np.where(open_, weight + best[capacity - lengths], 0)
         use, taken = np.zeros(len(n)), {}
@@ -101,7 +111,7 @@ def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dic
                 taken[key] = (left[types] / times).min()
                 use[types] += times * taken[key]
         some = use > 0
-        step = min(1.0, (np.minimum(left, STEP * n)[some] / use[some]).min())
+        step = min(1.0, (np.minimum(left, largest * n)[some] / use[some]).min())
         for key, often in taken.items():
             out[key] = out.get(key, 0.0) + often * step
         left = np.maximum(left - use * step, 0)
@@ -134,23 +144,33 @@ def best_fit(left: dict[int, int], capacity: int) -> dict[Config, int]:
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[Config, int]:
     """How many sequences of each configuration hold exactly the pieces of ``histogram`` (length: count)."""
-    plan: dict[Config, int] = {}
     left = {n: c for n, c in histogram.items() if c}
-    if capacity in left:
-        plan[((capacity, 1),)] = left.pop(capacity)
-    if left:
-        lengths = np.array(sorted(left))
-        program = solve_program(lengths, np.array([left[n] for n in lengths.tolist()]), capacity)
-        order = sorted(program, key=lambda c: (-program[c], c))
-        for often in (lambda c: int(program[c]), lambda c: 1):
-            for config in order:
-                k = min(often(config), min(left[n] // times for n, times in config))
-                if k:
-                    plan[config] = plan.get(config, 0) + k
-                    for n, times in config:
-                        left[n] -= k * times
-        for config, k in best_fit({n: c for n, c in left.items() if c}, capacity).items():
-            plan[config] = plan.get(config, 0) + k
+    whole = {((capacity, 1),): left.pop(capacity)} if capacity in left else {}
+    if not left:
+        return whole
+    lengths = np.array(sorted(left))
+    counts = np.array([left[n] for n in lengths.tolist()])
+    plans = []
+    for rate in RATES:
+        plans.append(round_program(solve_program(lengths, counts, capacity, rate), left, capacity))
+        if sum(plans[-1].values()) <= NEAR_BOUND * least_sequences(left, capacity):
+            break
+    return whole | min(plans, key=lambda plan: sum(plan.values()))
+
+
+def round_program(program: dict[Config, float], histogram: dict[int, int], capacity: int) -> dict[Config, int]:
+    """Whole numbers of configurations that hold exactly the pieces of ``histogram``."""
+    left, plan = dict(histogram), {}
+    order = sorted(program, key=lambda c: (-program[c], c))
+    for often in (lambda c: int(program[c]), lambda c: 1):
+        for config in order:
+            k = min(often(config), min(left[n] // times for n, times in config))
+            if k:
+                plan[config] = plan.get(config, 0) + k
+                for n, times in config:
+                    left[n] -= k * times
+    for config, k in best_fit({n: c for n, c in left.items() if c}, capacity).items():
+        plan[config] = plan.get(config, 0) + k
     return plan
 
 
