@@ -1,5 +1,5 @@
-"""Declared stages over a text and a vector table: exact dedupe (D2a), TF-IDF
-(D3), text search (D4a) and vector search (D4b).
+"""Declared stages over a text table: exact dedupe (D2a), TF-IDF (D3) and text
+search (D4a).  Near dedupe (D2b) is in ``near``, vector search (D4b) in ``vectors``.
 
 The reference announces these stages without code; the definitions are ours.
 Weights and scores are whole millionths (BIGINT), so that sums do not depend
@@ -8,15 +8,11 @@ on the order of their parts and ranks are the same everywhere.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.session import saved
 
-#: Query vectors that are sent to the tasks at a time.
-QUERY_BLOCK = 4096
 MICRO = 1_000_000
 
 
@@ -48,7 +44,7 @@ def tf_idf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return counts.join(df, "term").select("doc_id", "term", weight.alias("weight"))
 
 
-def _top(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
+def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """The ``k`` best rows per query by score, ties by the smaller item; a partial limit runs before the shuffle."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.asc(item))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -59,58 +55,4 @@ def search_text(weights: DataFrame, queries: DataFrame, k: int = 10, query_id: s
     distinct terms: ``(query_id, rank, doc_id, score)``."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
     scored = weights.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
-    return _top(scored, "query_id", "doc_id", k).select("query_id", "rank", "doc_id", "score")
-
-
-def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "doc_id", vector: str = "vec") -> DataFrame:
-    """Per query vector the ``k`` rows of the largest cosine: ``(query_id, rank, doc_id, score)``.
-
-    The query set meets all rows in blocks of QUERY_BLOCK vectors: each task
-    multiplies its rows by the block and keeps its own best ``k`` per query, so
-    what is shuffled does not grow with the rows of a task.  Null or zero
-    vectors have no cosine and are in no result."""
-    spark = vectors.sparkSession
-    asked = saved(queries.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("query_id"), F.col(vector).alias("v")), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        best = _block_best(vectors, spark.sparkContext.broadcast(_matrix(own)), k, item_id, vector)
-        out = best if out is None else out.unionByName(best)
-    return _top(out, "query_id", "doc_id", k).select("query_id", "rank", "doc_id", "score")
-
-
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, np.float64)
-    norm = np.sqrt((m * m).sum(1, keepdims=True))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / norm
-
-
-def _matrix(table: pa.Table) -> tuple[list, np.ndarray]:
-    vectors = table.column("v").to_pylist()
-    return table.column("query_id").to_pylist(), _unit(vectors) if vectors else np.zeros((0, 0))
-
-
-def _block_best(vectors: DataFrame, sent, k: int, item_id: str, vector: str) -> DataFrame:
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("doc_id"), F.col(vector).alias("v"))
-
-    def run(batches):
-        queries, q = sent.value
-        for batch in batches:
-            if not queries or not batch.num_rows:
-                continue
-            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
-            cosine = _unit(batch.column("v").to_pylist()) @ q.T
-            score = np.where(np.isnan(cosine), -np.inf, np.rint(cosine * MICRO))
-            found = ([], [], [])
-            for j, query in enumerate(queries):
-                own = score[:, j]
-                best = np.lexsort((ids, -own))[:k]
-                best = best[np.isfinite(own[best])]
-                found[0].extend([query] * len(best))
-                found[1].extend(ids[best].tolist())
-                found[2].extend(own[best].astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "doc_id", "score"])
-
-    return rows.mapInArrow(run, "query_id long, doc_id long, score long")
+    return top_k(scored, "query_id", "doc_id", k).select("query_id", "rank", "doc_id", "score")

@@ -20,11 +20,13 @@ from offerlake.functions.keys import job_slug, source_id_a, source_id_b, url_a
 from offerlake.functions.salary import has_salary_a, has_salary_b
 from offerlake.functions.text import with_html_text
 from offerlake.functions.time import keep_since, posted_at, resolve_date, resolve_since, since_column
-from offerlake.operators.corpus import keep_first_copy, search_text, search_vectors, tf_idf
+from offerlake.operators.corpus import keep_first_copy, search_text, tf_idf
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details, with_sections
 from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
+from offerlake.operators.near import PERCENT, SHINGLE, near_dedupe
 from offerlake.operators.paging import cursor_chain, page_range
+from offerlake.operators.vectors import VectorIndex, search_vectors
 from offerlake.plans.ingest import plan_run, plan_sources
 from offerlake.session import configure, scratch_path
 from offerlake.sources.fixtures import damaged_a, landed, odd_cursors_b, table
@@ -347,6 +349,17 @@ def q_search_vectors(spark, sf):
     return search_vectors(vectors, vectors.where(F.col("vec_id") % 50 == 0), item_id="vec_id", vector="embedding")
 
 
+def q_near_dedupe(spark, sf):
+    """D2b on the documents table."""
+    return near_dedupe(table(spark, sf, "documents"))
+
+
+def q_search_vectors_index(spark, sf):
+    """D4b by the inverted file: the queries of search_vectors; recall is measured in the tests."""
+    vectors = table(spark, sf, "embeddings")
+    return VectorIndex(vectors, item_id="vec_id", vector="embedding").search(vectors.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "locate_postings": q_locate_postings,
     "locate_data_list": q_locate_data_list,
@@ -383,6 +396,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tf_idf": q_tf_idf,
     "search_text": q_search_text,
     "search_vectors": q_search_vectors,
+    "near_dedupe": q_near_dedupe,
+    "search_vectors_index": q_search_vectors_index,
 }
 
 
@@ -436,6 +451,18 @@ s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
       FROM e q, e WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+    "near_dedupe": f"""WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x09-\\x0D\\x20]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= {SHINGLE} THEN [list_aggregate(w[i:i + {SHINGLE - 1}], 'string_agg', ' ')
+                                                               FOR i IN range(1, len(w) - {SHINGLE - 2})]
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.o),
+c AS (SELECT t.r, min(d.doc_id) AS cluster_id FROM t JOIN d ON d.r = t.o GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, cluster_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)""",
     "locate_postings": "SELECT o_orderkey // 20 + 1 AS page, o_orderkey % 20 AS pos, o_orderkey AS id FROM orders",
     "locate_data_list": f"""WITH {_E}
 SELECT (g // 100) * 100 AS cursor, g % 100 AS pos,

@@ -19,7 +19,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE_SQL) <= set(entry.queries())
+    # an index answers all but exactly: its recall is tested in test_near_and_vectors
+    assert set(QUERIES) - {"search_vectors_index"} == set(ORACLE_SQL) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
