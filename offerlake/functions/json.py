@@ -13,7 +13,7 @@ of truthiness and ``isinstance`` on ``json.loads`` output:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,3 +82,22 @@ def simple_str(v: Column) -> Column:
     t = vtype(v)
     return F.when(t.isin("STRING", "BIGINT", "INT", "SMALLINT", "TINYINT"),
                   F.try_variant_get(v, "$", "string"))
+
+
+def walk(doc) -> Iterator:
+    """Every value of a parsed JSON document: a container before what it holds, of several the last first.
+
+    What is still to come is a list of iterators, one per level: no recursion,
+    and memory by depth."""
+    levels = [iter((doc,))]
+    while levels:
+        for node in levels[-1]:
+            yield node
+            if isinstance(node, dict):
+                levels.append(reversed(node.values()))
+                break
+            if isinstance(node, list):
+                levels.append(reversed(node))
+                break
+        else:
+            levels.pop()

@@ -40,44 +40,37 @@ def content_id(obj) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()[:CONTENT_ID_HEX]
 
 
-def key_from_text(posting: str | None, keys: Sequence[str]) -> str | None:
-    """Reference rule on JSON text: ``str()`` of the first truthy key, else J4."""
-    if posting is None:
-        return None
+def chosen_key(v: Column, keys: Sequence[str]) -> Column:
+    """The name of the first of ``keys`` whose value is truthy; NULL if none is."""
+    return F.coalesce(*[F.when(truthy(field(v, k)), F.lit(k)) for k in keys])
+
+
+def print_value(posting: str, key: str | None) -> str | None:
+    """What one posting's key prints: its value under ``key``, or the content id without one."""
     try:
-        obj = json.loads(posting)
+        read = json.loads(posting)
     except ValueError:
         return None
-    if isinstance(obj, dict):
-        for k in keys:
-            v = obj.get(k)
-            if v:
-                return str(v)
-    return content_id(obj)
-
-
-def _key_udf(keys: Sequence[str]):
-    keys = tuple(keys)
+    return str(read[key]) if key is not None else content_id(read)
 
-    @F.pandas_udf(T.StringType())
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: key_from_text(p, keys), na_action="ignore")
 
-    return _udf
+@F.pandas_udf(T.StringType())
+def _printed(posting: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else print_value(p, None if pd.isna(k) else k) for p, k in zip(posting, key)], dtype=object)
 
 
-_UDFS: dict[tuple, object] = {}
+def _exact(v: Column, posting: Column, keys: Sequence[str], simple: Column) -> Column:
+    """``simple`` where it is known; else what the chosen key prints (such rows only reach the helper)."""
+    other = simple.isNull()
+    return F.coalesce(simple, _printed(F.when(other, posting), F.when(other, chosen_key(v, keys))))
 
 
 def posting_key(v: Column, posting: Column, keys: Sequence[str]) -> Column:
     """First truthy of ``keys`` as ``str()``; content hash if none.
 
     ``v`` is the parsed posting, ``posting`` its JSON text (needed only by the
-    Python fallback)."""
-    keys = tuple(keys)
-    udf = _UDFS.setdefault(keys, _key_udf(keys))
-    fast = simple_str(first_truthy(v, keys))
-    return F.coalesce(fast, udf(F.when(fast.isNull(), posting)))
+    helper)."""
+    return _exact(v, posting, tuple(keys), simple_str(first_truthy(v, keys)))
 
 
 def source_id_a(v: Column, posting: Column) -> Column:
@@ -129,10 +122,8 @@ def with_keys(df, source_keys, url_keys, v: str = "v", posting: str = "posting",
     staged = df.withColumns({"_sid": first_truthy(pv, source_keys), "_slug": first_truthy(pv, JOB_SLUG_KEYS),
                              "_url": first_truthy(pv, url_keys)})
     staged = staged.withColumns({"_sid_s": simple_str(F.col("_sid")), "_slug_s": simple_str(F.col("_slug"))})
-    sid_udf = _UDFS.setdefault(tuple(source_keys), _key_udf(source_keys))
-    slug_udf = _UDFS.setdefault(JOB_SLUG_KEYS, _key_udf(JOB_SLUG_KEYS))
     return staged.select(
         *keep,
-        F.coalesce(F.col("_sid_s"), sid_udf(F.when(F.col("_sid_s").isNull(), pt))).alias(sid_n),
-        F.coalesce(F.col("_slug_s"), slug_udf(F.when(F.col("_slug_s").isNull(), pt))).alias(slug_n),
+        _exact(pv, pt, source_keys, F.col("_sid_s")).alias(sid_n),
+        _exact(pv, pt, JOB_SLUG_KEYS, F.col("_slug_s")).alias(slug_n),
         F.try_variant_get(F.col("_url"), "$", "string").alias(url_n))

@@ -91,11 +91,11 @@ def _from_iso(s: Column) -> Column:
     """ISO text -> TIMESTAMP (UTC); NULL where Python's parser would fail.
     A trailing ``Z`` turns every ``Z`` into ``+00:00`` first, as the
     reference does; naive times are UTC (ours).  Other forms than the common
-    one bind the string once (a one-element array) and take it apart with
-    the full pattern."""
+    one bind the string once (a one-element array), turn a week date into a
+    calendar date and take it apart with the full pattern."""
     s = F.when(s.endswith("Z"), F.replace(s, F.lit("Z"), F.lit("+00:00"))).otherwise(s)
-    s = F.when(s.rlike(ISO_WEEK), _from_week(s)).otherwise(s)
-    slow = F.transform(F.transform(F.array(s), _iso_parts), _iso_instant)[0]
+    dated = F.transform(F.array(s), lambda x: F.when(x.rlike(ISO_WEEK), _from_week(x)).otherwise(x))
+    slow = F.transform(F.transform(dated, _iso_parts), _iso_instant)[0]
     return F.when(s.rlike(ISO_COMMON), s.try_cast("timestamp")).otherwise(slow)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.functions.json import field, is_array, is_object, truthy
+from offerlake.functions.json import field, is_array, is_object, truthy, walk
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -34,6 +34,7 @@ GENERIC_LIST_KEYS = ("postings", "content", "data")
 # ---------------------------------------------------------------------------
 
 ERR_NOT_JSON = "body is not JSON"
+ERR_TOO_DEEP = "body is nested deeper than a JSON parser reads"
 ERR_NOT_OBJECT = "body is not a JSON object"
 ERR_NO_POSTINGS = "no postings list in body"
 ERR_DATA_NOT_LIST = "data is not a list"
@@ -47,15 +48,6 @@ def _is_posting_list(node) -> bool:
             and not node[0].keys().isdisjoint(POSTING_MARKER_KEYS))
 
 
-def _search(node) -> list | None:
-    """The postings list found first below ``node``: a list itself before its
-    items, and of several children the last one first."""
-    if _is_posting_list(node):
-        return node
-    children = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
-    return next((hit for hit in map(_search, reversed(children)) if hit is not None), None)
-
-
 def find_postings(body: str | None) -> tuple[list[str] | None, str | None]:
     """E1 + E2 on one body: (postings as JSON texts, error)."""
     if body is None:
@@ -64,9 +56,11 @@ def find_postings(body: str | None) -> tuple[list[str] | None, str | None]:
         doc = json.loads(body)
         if not isinstance(doc, dict):
             return None, ERR_NOT_OBJECT
-        found = doc["postings"] if isinstance(doc.get("postings"), list) else _search(doc)
-    except (ValueError, RecursionError):
+        found = doc["postings"] if isinstance(doc.get("postings"), list) else next(filter(_is_posting_list, walk(doc)), None)
+    except ValueError:
         return None, ERR_NOT_JSON
+    except RecursionError:  # the parser's own limit, some ten thousand levels
+        return None, ERR_TOO_DEEP
     if found is None:
         return None, ERR_NO_POSTINGS
     return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found], None

@@ -157,7 +157,7 @@ def test_split_lines_and_trim_match_python(spark):
 
 
 HTML = [
-    "<p>Build services</p>",
+    "<p>Water the plants</p>",
     "<p>a <b>b</b></p>",
     "<div>x<script>var t='</p>';</script>y<!-- c --><style>p{}</style>z</div>",
     "<p>Tom &amp; Jerry &middot; &quot;q&quot; &copy;</p>",
@@ -274,3 +274,18 @@ def test_sections_hand_derived(spark):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(docs)], "i int, b string")
     got = {r["i"]: r["s"].asDict() for r in with_sections(df, "b", "s").collect()}
     assert [got[i] for i in range(len(docs))] == [want for _, want in docs]
+
+
+@pytest.mark.parametrize("levels", [600, 5000])
+def test_deep_bodies_are_searched(levels):
+    """Nested deeper than Python recurses: the postings and sections are found all the same."""
+    from offerlake.operators.details import _legacy_sections
+    from offerlake.operators.extract import find_postings
+
+    open_, close = '{"a":[' * (levels // 2), "]}" * (levels // 2)
+    body = '{"first":[{"id":1}],"last":' + open_ + '[{"id":2},{"x":3}]' + close + "}"
+    assert find_postings(body) == (['{"id":2}', '{"x":3}'], None)  # of several children the last one first
+    assert find_postings('{"a":' + open_ + close + "}") == (None, "no postings list in body")
+    doc = json.loads('{"sections":[{"title":"own"}],"b":' + open_ + '{"sections":[{"title":"deep"}]}' + close + "}")
+    assert [x["title"] for x in _legacy_sections(doc)] == ["own", "deep"]
+    assert find_postings("[" * 60_000 + "]" * 60_000)[1] == "body is nested deeper than a JSON parser reads"
