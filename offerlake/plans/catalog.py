@@ -26,6 +26,7 @@ from offerlake.operators.details import attach_details, with_sections
 from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
 from offerlake.operators.near import PERCENT, SHINGLE, near_dedupe
 from offerlake.operators.paging import cursor_chain, page_range
+from offerlake.operators.postings import PostingsIndex
 from offerlake.operators.vectors import VectorIndex, search_vectors
 from offerlake.plans.ingest import plan_run, plan_sources
 from offerlake.session import configure, scratch_path
@@ -349,6 +350,11 @@ def q_search_vectors(spark, sf):
     return search_vectors(vectors, vectors.where(F.col("vec_id") % 50 == 0), item_id="vec_id", vector="embedding")
 
 
+def q_search_text_blocks(spark, sf):
+    """D4a by the postings index: the queries of search_text."""
+    return PostingsIndex(tf_idf(table(spark, sf, "documents"))).search(table(spark, sf, "benchmark"))
+
+
 def q_near_dedupe(spark, sf):
     """D2b on the documents table."""
     return near_dedupe(table(spark, sf, "documents"))
@@ -398,6 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_vectors": q_search_vectors,
     "near_dedupe": q_near_dedupe,
     "search_vectors_index": q_search_vectors_index,
+    "search_text_blocks": q_search_text_blocks,
 }
 
 
@@ -595,3 +602,4 @@ UNION ALL SELECT 'nofluff', o_orderkey, 'perm', NULL, NULL, 'PLN', 'month' FROM
 UNION ALL SELECT 'justjoin', g, CASE WHEN event_type <> 'click' THEN 'b2b' END,
        CASE WHEN event_type = 'error' THEN 0.0 ELSE value END, NULL, 'PLN', 'month' FROM e WHERE {_OK_W}""",
 }
+ORACLE_SQL["search_text_blocks"] = ORACLE_SQL["search_text"]

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.operators import near, vectors
+from offerlake.operators import near, postings, vectors
 from offerlake.operators.components import components
+from offerlake.operators.corpus import search_text, tf_idf
 
 
 def roots(links):
@@ -109,6 +110,27 @@ def test_drop_near(spark):
     assert {tuple(r) for r in near.drop_near(df).collect()} == {(1, long + " more", "b"), (2, "else", "c")}
 
 
+# ---- postings
+
+def test_postings_give_the_same_rows_from_fewer_blocks(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    rng = random.Random(2)
+    vocabulary = [f"t{i}" for i in range(300)]
+    chance = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rng.choices(vocabulary, chance, k=rng.randrange(1, 200)) + ["everywhere"])) for i in range(900)]
+    asked = [(f"q{i}", " ".join(rng.choices(vocabulary, k=6))) for i in range(20)]
+    asked += [("common", "everywhere"), ("none", "zzz"), ("rare", "t299 everywhere t298"), ("null", None), ("twice", "t5 t5 t6")]
+    weights = tf_idf(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = spark.createDataFrame(asked, "item_id string, text string")
+    index = postings.PostingsIndex(weights)
+    plan = index.plan(queries, k=5)
+    want = search_text(weights, queries, k=5)
+    assert sorted(map(tuple, index.search(queries, k=5, plan=plan).collect())) == sorted(map(tuple, want.collect()))
+    n = plan.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("read").cast("int")).alias("read")).first()
+    print("blocks", n)
+    assert 0 < n["read"] < 0.8 * n["all"]
+
+
 # ---- vectors
 
 def best(rows, queries, k):
