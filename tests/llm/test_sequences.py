@@ -234,3 +234,20 @@ def test_ids_equal_the_library():
     texts = ["".join(rng.choices(signs, k=60)) for _ in range(3000)] + ["".join(rng.choices(" \n\t 　\u0085​ax1'", k=40)) for _ in range(3000)]
     texts += ["a<|endoftext|>b <|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|"]
     assert packing.encode(texts, plain, packing.SPECIAL) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+# ---- language identification: every learning row counts
+
+def test_language_of_one_fold_is_learned(spark):
+    """A language whose only rows are in the fold that calibrates."""
+    from offerlake.llm import language_id
+
+    def of(fold, n):
+        return [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 == fold][:n]
+
+    rows = [(i, f"the quick brown fox jumps over the lazy dog {i}", "en") for f in (1, 2, 3) for i in of(f, 20)]
+    rows += [(i, f"zażółć gęślą jaźń i pchnąć w tę łódź jeża {i}", "pl") for i in of(1, 60)[40:]]
+    rows += [(of(0, 2)[0], "pchnąć w tę łódź gęślą jaźń", None), (of(0, 2)[1], "the lazy dog jumps over the fox", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.learn(docs)).filter("lang IS NULL").collect()}
+    assert got == {of(0, 2)[0]: "pl", of(0, 2)[1]: "en"}
