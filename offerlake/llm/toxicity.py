@@ -41,8 +41,8 @@ from offerlake.llm.language_id import fold
 from offerlake.session import saved, scratch_scope
 
 TRAIN_ROWS = 5000
-#: Words kept in the lexicon at most, and the least log-likelihood ratio of one.
-LEXICON_WORDS, LEAST_RATIO = 500, 18.0
+#: The least log-likelihood ratio of a word of the lexicon.
+LEAST_RATIO = 18.0
 LEARN_FOLDS = "fold <> 0"
 
 # What a sign may stand for besides itself.
@@ -330,7 +330,7 @@ def _learn(docs: DataFrame, labels: DataFrame, model: C.Model | None, text: str,
     ratio = 2 * (part(F.col("a"), n1) + part(F.col("b"), n0))
     toxic = F.col("a") / n1 > 3 * F.col("b") / n0
     lexicon = seen.withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & toxic)
-    words = [r["word"] for r in lexicon.orderBy(F.desc("ratio"), "word").limit(LEXICON_WORDS).select("word").collect()]
+    words = [r["word"] for r in lexicon.orderBy(F.desc("ratio"), "word").select("word").collect()]
     if not words:
         share = n1 / (n1 + n0)
         return Scorer(model, [], np.zeros(0), float(np.log(share / (1 - share))))
