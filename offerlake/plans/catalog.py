@@ -29,8 +29,9 @@ from offerlake.operators.paging import cursor_chain, page_range
 from offerlake.operators.postings import PostingsIndex
 from offerlake.operators.vectors import VectorIndex, search_vectors
 from offerlake.plans.ingest import plan_run, plan_sources
-from offerlake.session import configure, scratch_path
+from offerlake.session import configure, saved, scratch_path
 from offerlake.sources.fixtures import damaged_a, landed, odd_cursors_b, table
+from offerlake.sources.sketch import append_sketched, skip_sketched
 from offerlake.sources.store import append_records, stored_ids
 from offerlake.sources.tables import QUARANTINE, RAW_POSTINGS, SOURCE_A, SOURCE_B
 
@@ -209,6 +210,20 @@ def q_skip_existing(spark, sf):
     return new.select("source_id", _big("page"), _id().alias("id"))
 
 
+def q_skip_sketched(spark, sf):
+    """A2 by the key sketch: the store of every 50th order, over three dates; the
+    first-seen postings that no date holds remain."""
+    store = scratch_path(spark, "store-sketched")
+    sal = _salaried_a(spark, sf)
+    for i in range(3):
+        stamp = STAMP + dt.timedelta(seconds=i)
+        rec = first_seen(sal.where((_id() % 50 == 0) & (_id() % 3 == i)))
+        rec = _stored_record(rec).withColumn("ingested_at", F.lit(stamp.isoformat(sep=" ")).cast("timestamp"))
+        append_sketched(rec.withColumn("ingest_date", F.date_add("ingest_date", i)), store, stamp)
+    first = saved(first_seen(sal).select("source", "source_id", "page", _id().alias("id")), "first-seen")
+    return skip_sketched(first, store, source=SOURCE_A).select("source_id", _big("page"), "id")
+
+
 def q_enrich_details(spark, sf):
     """Every posting left-joined to its latest detail document."""
     p = _a_postings(spark, sf).withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
@@ -386,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_range": q_page_range,
     "first_seen": q_first_seen,
     "skip_existing": q_skip_existing,
+    "skip_sketched": q_skip_sketched,
     "run_summary": q_run_summary,
     "enrich_details": q_enrich_details,
     "enrich_details_b": q_enrich_details_b,
@@ -519,6 +535,10 @@ SELECT source_id, min(o_orderkey) // 20 + 1 AS page, min(o_orderkey) AS id FROM
     "skip_existing": f"""WITH p AS (SELECT o_orderkey, {_SID_A} AS source_id FROM orders WHERE o_orderstatus IN ('F','O')),
 s AS (SELECT DISTINCT source_id FROM p WHERE o_orderkey % 50 = 0)
 SELECT source_id, min(o_orderkey) // 20 + 1 AS page, min(o_orderkey) AS id FROM p
+WHERE source_id NOT IN (SELECT source_id FROM s) GROUP BY source_id""",
+    "skip_sketched": f"""WITH p AS (SELECT o_orderkey, {_SID_A} AS source_id FROM orders WHERE o_orderstatus IN ('F','O')),
+s AS (SELECT DISTINCT source_id FROM p WHERE o_orderkey % 50 = 0)
+SELECT source_id, min(o_orderkey) // 20 + 1 AS page, min(o_orderkey) AS id FROM p
 WHERE source_id NOT IN (SELECT source_id FROM s) GROUP BY source_id""",
     "run_summary": f"""WITH a AS (SELECT count(DISTINCT {_SID_A}) AS n FROM orders WHERE o_orderstatus IN ('F','O')),
 {_E},

@@ -35,8 +35,9 @@ from offerlake.operators.details import attach_details
 from offerlake.operators.extract import locate_data_list, locate_postings
 from offerlake.operators.paging import (NO_STOP, contiguous_end, cursor_chain, latest_pages, page_range, run_stops,
                                         target_page)
-from offerlake.session import saved
-from offerlake.sources.store import append_records, read_store, stored_ids
+from offerlake.session import saved, scratch_scope
+from offerlake.sources.sketch import append_sketched, skip_sketched
+from offerlake.sources.store import read_store, stored_ids
 from offerlake.sources.tables import (DEFAULT_PAGE_SIZE_A, DEFAULT_PAGE_SIZE_B, MAX_ITEMS_B, RAW_POSTINGS,
                                       SOURCE_A, SOURCE_B)
 
@@ -168,9 +169,10 @@ def find_run_b(landed: DataFrame, *, run_id: str, max_pages: int | None, start_p
     return RunPages(pages.where(F.col("cursor") <= upto), "cursor", upto, numbers, bad)
 
 
-def _kept_postings(run: RunPages, source: str, since, upto: int | None = None) -> DataFrame:
-    """Kept postings with their keys, in pages up to ``upto`` (a filter that reaches the scan)."""
+def _kept_postings(run: RunPages, source: str, since, upto: int | None = None, after: int | None = None) -> DataFrame:
+    """Kept postings with their keys, in pages from ``after`` up to ``upto`` (filters that reach the scan)."""
     pages = run.pages if upto is None else run.pages.where(F.col(run.order) <= upto)
+    pages = pages if after is None else pages.where(F.col(run.order) >= after)
     if source == SOURCE_B:
         # pages that are landed but off the chain; adaptive execution broadcasts the narrow side if it is small
         pages = pages.join(run.numbers.select("cursor"), "cursor", "left_semi") if run.numbers is not None else pages
@@ -208,12 +210,19 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
     quarantine = located.where(F.col("page_error").isNotNull()).select(
         "source", "run_id", "page", "cursor", F.col("page_error").alias("reason"), "body")
 
-    stored = stored_ids(spark, store_path, source, ingest_date, scope)
     order = (run.order, "pos")
+    if scope == "all_dates" and store_path is not None:
+        def skip(df):  # the key sketch names the few ids that the store may hold, and only those meet its id column
+            return skip_sketched(saved(df, "first-seen"), store_path, source=source)
+    else:
+        stored = stored_ids(spark, store_path, source, ingest_date, scope)
+
+        def skip(df):
+            return skip_existing(df, stored)
     if target_count:
-        run.pages = run.pages.where(F.col(run.order) <= _target(run, source, since, stored, target_count, order))
+        run.pages = run.pages.where(F.col(run.order) <= _target(run, source, since, skip, target_count, order))
     posts = _kept_postings(run, source, since)
-    new = skip_existing(first_seen(posts, order=order), stored)
+    new = skip(first_seen(posts, order=order))
     if source == SOURCE_B:
         empty = spark.createDataFrame([], "cursor long, page int")
         numbers = run.numbers if run.numbers is not None else empty
@@ -232,21 +241,28 @@ def plan_run(spark: SparkSession, landed: DataFrame, *, source: str, run_id: str
                    failed_page=run.bad)
 
 
-def _target(run: RunPages, source: str, since, stored: DataFrame | None, target_count: int, order: tuple[str, str]) -> int:
+def _target(run: RunPages, source: str, since, skip, target_count: int, order: tuple[str, str]) -> int:
     """L3: the value of the run's order on which ``target_count`` new records are reached, else its last one.
 
-    Only ids and places are deduplicated and counted, over growing ranges of pages."""
+    Only ids and places are deduplicated and counted, over growing ranges of
+    pages.  A range reads its own pages: the ids that are new in it are written,
+    and the next ranges leave them out and count on from them."""
     first = run.pages.agg(F.min(run.order).alias("c")).first()["c"]
     if first is None:
         return run.upto
     unit = 1 if source == SOURCE_A else MAX_ITEMS_B
-    for _, hi in _ranges(first // unit, run.upto // unit):
-        upto = min(run.upto, hi * unit + unit - 1)
-        ids = _kept_postings(run, source, since, upto).select("source", "run_id", run.order, "pos", "source_id")
-        new = skip_existing(first_seen(ids, order=order), stored)
-        stop = target_page(new.withColumn("page", F.col(run.order)), target_count).first()
-        if stop is not None:
-            return int(stop["stop_page"])
+    seen, missing = None, target_count
+    with scratch_scope(run.pages.sparkSession):
+        for lo, hi in _ranges(first // unit, run.upto // unit):
+            after, upto = lo * unit, min(run.upto, hi * unit + unit - 1)
+            ids = _kept_postings(run, source, since, upto, after).select("source", "run_id", run.order, "pos", "source_id")
+            new = saved(skip(skip_existing(first_seen(ids, order=order), seen)).withColumn("page", F.col(run.order)), "target-ids")
+            stop = target_page(new, missing).first()
+            if stop is not None:
+                return int(stop["stop_page"])
+            missing -= new.count()
+            known = new.select("source", "source_id")
+            seen = known if seen is None else seen.unionByName(known)
     return run.upto
 
 
@@ -265,7 +281,7 @@ def run_ingest(spark: SparkSession, landed: DataFrame, *, store_path: str, on_ba
     if on_bad_page == "fail" and plan.failed_page is not None:
         row = plan.quarantine.select("page", "cursor", "reason").first()
         raise RuntimeError(f"unreadable listing page {row['page']} (cursor {row['cursor']}): {row['reason']}")
-    append_records(plan.records, store_path)
+    append_sketched(plan.records, store_path, stamp)
     if plan.failed_page is not None:
         path = quarantine_path or f"{store_path.rstrip('/')}_quarantine"
         plan.quarantine.write.mode("append").partitionBy("source").parquet(path)
