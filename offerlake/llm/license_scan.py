@@ -151,7 +151,7 @@ def words(text: Column) -> Column:
 
 
 def _detections(w: Column) -> Column:
-    """All matches of all rules in an array of words, ordered for the sweep."""
+    """All matches of all rules in an array of words, ordered for the sweep; a match may come twice."""
     rule_list = F.from_json(F.lit(json.dumps(RULES)), _RULE)
     places = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))),
                       lambda p: p["word"].isin(ANCHORS))
@@ -177,10 +177,19 @@ def _detections(w: Column) -> Column:
 
         return F.transform(F.filter(found, lambda x: x["m"] != ""), detection)
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.transform(places, window), matches))))
+    return F.array_sort(F.flatten(F.transform(F.transform(places, window), matches)))
 
 
-_STATE = "struct<ends:array<int>,kept:array<struct<label:string,start:int,end:int,priority:int,conf:double>>>"
+def _distinct(name: str) -> Column:
+    """A column of ordered structs without repeats (``array_distinct`` compares all pairs of structs)."""
+    return F.filter(name, lambda d, i: (i == 0) | (d != F.get(F.col(name), i - 1)))
+
+
+_ENDS = "array<int>"
+_KEPT = "array<struct<label:string,start:int,end:int,priority:int,conf:double>>"
+_STATE = f"struct<ends:{_ENDS},kept:{_KEPT}>"
+#: Detections a block of the sweep: what it keeps grows by copies, so no long array may.
+SWEEP_BLOCK = 64
 
 
 def _sweep(found: Column) -> Column:
@@ -188,10 +197,22 @@ def _sweep(found: Column) -> Column:
 
     In order of start (longest first), a detection lies within an earlier one
     exactly if an earlier end reaches its own; one largest end is kept per
-    priority, so the sweep is linear.
+    priority.  The detections are cut into blocks: the ends before each block are
+    added up over the blocks' own largest ends, then each block is swept from there.
     """
-    zero = F.struct(F.array_repeat(F.lit(-1), TIERS).alias("ends"),
-                    F.from_json(F.lit("[]"), "array<struct<label:string,start:int,end:int,priority:int,conf:double>>").alias("kept"))
+    size = F.lit(SWEEP_BLOCK)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int")),
+                         lambda i: F.slice(found, i * size + 1, size))
+    none = F.array_repeat(F.lit(-1), TIERS)
+
+    def reach(block: Column, tier: int) -> Column:
+        own = F.filter(block, lambda d: d["priority"] == tier)
+        return F.coalesce(F.array_max(F.transform(own, lambda d: -d["neg_end"])), F.lit(-1))
+
+    def later(ends: Column, block: Column) -> Column:
+        return F.zip_with(F.element_at(ends, -1), F.array(*[reach(block, t) for t in range(TIERS)]), lambda a, b: F.greatest(a, b))
+
+    before = F.aggregate(blocks, F.array(none.cast(_ENDS)), lambda ends, block: F.array_append(ends, later(ends, block)))
 
     def step(state: Column, d: Column) -> Column:
         end = -d["neg_end"]
@@ -202,7 +223,13 @@ def _sweep(found: Column) -> Column:
         return F.struct(ends.alias("ends"), F.when(inside, state["kept"]).otherwise(
             F.array_append(state["kept"], one)).alias("kept"))
 
-    return F.aggregate(found, zero.cast(_STATE), lambda s, d: step(s, d).cast(_STATE), lambda s: s["kept"])
+    def swept(block: Column, ends: Column) -> Column:
+        start = F.struct(ends.alias("ends"), F.from_json(F.lit("[]"), _KEPT).alias("kept")).cast(_STATE)
+        return F.aggregate(block, start, lambda s, d: step(s, d).cast(_STATE), lambda s: s["kept"])
+
+    # one entry of ``before`` more than blocks: the ends after the last one
+    pairs = F.arrays_zip(blocks.alias("block"), F.slice(before, F.lit(1), F.size(before) - 1).alias("ends"))
+    return F.when(F.size(found) > 0, F.flatten(F.transform(pairs, lambda p: swept(p["block"], p["ends"]))))
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -214,12 +241,13 @@ def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
     has = t.rlike(GATE)
     new = {"n_words": F.regexp_count(t, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")}
     out = docs.withColumn("__words", F.when(has, words(t)))
-    out = out.withColumn("__found", F.when(F.col("__words").isNotNull(), _detections(F.col("__words"))))
+    out = out.withColumn("__matches", F.when(F.col("__words").isNotNull(), _detections(F.col("__words"))))
+    out = out.withColumn("__found", _distinct("__matches"))
     new["base_places"] = F.coalesce(F.filter("__found", lambda d: d["base"]), F.array().cast(
         "array<struct<start:int,neg_end:int,priority:int,label:string,conf:double,base:boolean>>"))
     new["detections"] = F.coalesce(F.when(F.col("__words").isNotNull(), _sweep(F.col("__found"))), F.array().cast(
         "array<struct<label:string,start:int,end:int,priority:int,conf:double>>"))
-    return out.withColumns(new).drop("__words", "__found")
+    return out.withColumns(new).drop("__words", "__matches", "__found")
 
 
 def _labels(places: str) -> Column:

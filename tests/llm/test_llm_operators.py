@@ -604,3 +604,18 @@ def test_queries_read_their_tables(spark):
 
     assert sorted(QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1])) == list(QUERIES)
     assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_license_sweep_of_many_detections(spark):
+    """Several blocks of the sweep, a text with repeats among them, against the rule applied pair by pair."""
+    text = "licensed under the apache license version 2 mit license gnu general public license version 3 " * 60
+    docs = spark.createDataFrame([(1, text), (2, "mit license\n" * 3000), (3, "no such words")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    w = docs.where("doc_id = 1").select(license_scan.words(F.col("text")).alias("w"))
+    every = w.select(license_scan._detections(F.col("w")).alias("d")).first()["d"]
+    every = sorted({(d["start"], d["neg_end"], d["priority"], d["label"], d["conf"]) for d in every})
+    assert len(every) > 3 * license_scan.SWEEP_BLOCK
+    want = [d for k, d in enumerate(every) if not any(b[2] <= d[2] and b[1] <= d[1] for b in every[:k])]
+    assert sorted((d["start"], -d["end"], d["priority"], d["label"], d["conf"]) for d in rows[1]["detections"]) == want
+    assert len({d["start"] for d in rows[2]["detections"]}) >= 3000
+    assert rows[3]["detections"] == [] and rows[3]["base_places"] == []
