@@ -6,9 +6,11 @@ to nine words is one window.  Documents are scanned as windows of the same
 lengths: a window whose hash is in the set is compared word for word with the
 benchmark windows of that hash, and its words are hit.
 
-The benchmark is broadcast only below ``block_bytes`` of text.  Beyond that it
-is cut into blocks of about that size and the documents are scanned once per
-block, the spans found so far being carried in a table written in between.
+The index is a sorted array of window hashes, the place of each window in the
+benchmark's words, and the words as bytes: 16 bytes a word, and the text.  It is
+broadcast only if it stays below ``block_bytes``.  A larger benchmark is a
+table of windows: the documents are scanned once, past a bitmap of the window hashes
+of at most ``block_bytes``, and what passes is joined with that table by the words themselves.
 
 Defined cases: a null or empty text, or one without words, has no words and
 no hits; a null benchmark text has no windows; an item without id marks hits
@@ -20,7 +22,6 @@ columns named like an added one are replaced.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm import _text as X
-from offerlake.session import scratch_path
+from offerlake.llm._tables import numbered_columns, saved
+from offerlake.session import scratch_scope
 
 WIDTH = 10
 BLOCK_BYTES = 64 << 20
+BUCKET = 32768  # bits of one of Spark's bitmaps
 
 SPANS = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -41,27 +44,52 @@ SPANS = T.StructType([
 ])
 
 
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text in UTF-8, a blank after each, and where each starts; the end of the last comes last."""
+    data = X.LOWER[np.frombuffer(text.encode("utf-8", "replace") + b" ", np.uint8)]
+    kept = X.WORD_BYTE[data]
+    s, e = X.runs(kept)
+    data[~kept] = 32
+    kept[e] = True
+    return data[kept], np.concatenate(([0], np.cumsum(e - s + 1)))
+
+
 class Windows:
-    """The windows of some benchmark items, by length and hash."""
+    """The windows of some benchmark items in arrays, by length and hash."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        self.by_length: dict[int, dict[int, dict[bytes, set]]] = {}
+        lines, starts, first, names, found = [], [], [], [], {}
+        at = size = 0
         for item, text in items:
-            words = words_bytes(text)
+            line, begin = _words(text or "")
+            words = len(begin) - 1
             if not words:
                 continue
-            n = min(width, len(words))
-            hashes = X.window_hashes(word_hashes(words), n)
-            table = self.by_length.setdefault(n, {})
-            for i, h in enumerate(hashes.tolist()):
-                table.setdefault(h, {}).setdefault(b" ".join(words[i:i + n]), set()).add(item)
-        self.sorted = {n: np.array(sorted(t), np.uint64) for n, t in self.by_length.items()}
-        # one bit per low 20 bits of a hash: most windows end here
-        self.bits = {}
-        for n, hashes in self.sorted.items():
+            n = min(width, words)
+            hashes = X.window_hashes(X.span_hashes(line, begin[:-1], begin[1:] - 1), n)
+            found.setdefault(n, []).append((hashes, np.arange(at, at + len(hashes), dtype=np.uint32)))
+            lines.append(line)
+            starts.append((begin[:-1] + size).astype(np.uint32))
+            first.append(at)
+            names.append(item)
+            at, size = at + words, size + len(line)
+        self.line = np.concatenate(lines) if lines else np.zeros(0, np.uint8)
+        self.starts = np.concatenate([*starts, np.array([size], np.uint32)])
+        self.first, self.names = np.array(first, np.uint32), names
+        self.sorted, self.at, self.bits = {}, {}, {}
+        for n, parts in found.items():
+            hashes, places = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.sorted[n], self.at[n] = hashes[order], places[order]
+            # one bit per low 20 bits of a hash: most windows end here
             self.bits[n] = np.zeros(1 << 20, bool)
             self.bits[n][(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all that grows with the items."""
+        return sum(x.nbytes for x in (self.line, self.starts, self.first, *self.sorted.values(), *self.at.values()))
+
     def places(self, n: int, hashes: np.ndarray) -> np.ndarray:
         """Where a hash of the set stands in ``hashes``."""
         some = np.flatnonzero(self.bits[n][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
@@ -69,19 +97,16 @@ class Windows:
         at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
         return some[known[at] == hashes[some]]
 
-
-def words_bytes(text: str | None) -> list[bytes]:
-    """The words of one text, in UTF-8."""
-    buf = X.LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
-    s, e = X.runs(X.WORD_BYTE[buf])
-    raw = buf.tobytes()
-    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    buf = np.frombuffer(b" ".join(words), np.uint8)
-    s, e = X.runs(X.WORD_BYTE[buf])
-    return X.span_hashes(buf, s, e)
+    def items(self, n: int, key: int, words: bytes) -> set | None:
+        """The items with this window, compared word for word; None if there is none."""
+        key = np.uint64(key)
+        lo, hi = (int(np.searchsorted(self.sorted[n], key, side)) for side in ("left", "right"))
+        at = self.at[n][lo:hi].astype(np.int64)
+        begin, end = self.starts[at].astype(np.int64), self.starts[at + n].astype(np.int64) - 1
+        at, begin = at[end - begin == len(words)], begin[end - begin == len(words)]
+        same = [self.line[b:b + len(words)].tobytes() == words for b in begin.tolist()]
+        own = np.unique(np.searchsorted(self.first, at[np.array(same, bool)], "right") - 1)
+        return {self.names[i] for i in own.tolist()} if len(own) else None
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -108,13 +133,16 @@ def scan_batch(col: pa.Array, windows: Windows) -> tuple[np.ndarray, list[list],
         n_words[lo:hi] = np.bincount(row, minlength=hi - lo)
         first = np.concatenate(([0], np.cumsum(n_words[lo:hi])))
         h = X.span_hashes(buf, ws, we)
-        for n, table in windows.by_length.items():
+        for n in windows.sorted:
+            known: dict[bytes, set | None] = {}  # of this slice
             grams = X.window_hashes(h, n)
             at = windows.places(n, grams)
             at = at[row[at] == row[at + n - 1]]
             for i, key in zip(at.tolist(), grams[at].tolist()):
                 text = b" ".join(buf[a:b].tobytes() for a, b in zip(ws[i:i + n].tolist(), we[i:i + n].tolist()))
-                if (found := table[key].get(text)) is not None:
+                if text not in known:
+                    known[text] = windows.items(n, key, text)
+                if (found := known[text]) is not None:
                     r = int(row[i])
                     k = i - int(first[r])
                     own = spans[lo + r]
@@ -130,45 +158,124 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                    block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, hit_spans (word numbers, end exclusive) and hit_items.
 
-    One pass over the documents, without a shuffle, per block of the benchmark.
+    One pass over the documents, without a shuffle, while the index of the
+    benchmark fits ``block_bytes``; beyond, one pass and a join of what may hit.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words"))
-    size = bench.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    words = F.regexp_count("words", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    size = bench.agg(F.sum(F.octet_length("words") + 16 * words + 64).alias("n")).first()["n"] or 0
     names = list(docs.columns if keep is None else keep)
-    done = docs
-    for b in range(blocks):
-        own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in own.collect()])
-        if b:
-            path = scratch_path(spark, "decontaminate")
-            done.write.parquet(path)
-            done = spark.read.schema(done.schema).parquet(path)
-        last = b == blocks - 1
-        done = _pass(done, sent, text, width, names if last else list(dict.fromkeys([*names, text])), first=b == 0)
-    return done
+    if size > block_bytes:
+        return _find_by_join(docs, bench, text, width, block_bytes, names)
+    sent = spark.sparkContext.broadcast(Windows([(r["item"], r["words"]) for r in bench.collect()], width))
 
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        n_words, spans, items = scan_batch(batch.column(text), sent.value)
+        return [pa.array(n_words, pa.int64()), pa.array([merged(s) for s in spans], pa.list_(pa.list_(pa.int64()))),
+                pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.string()))]
 
-_built: list = [None, None]  # a worker's last broadcast value and its windows
+    return X.add_columns(docs, compute, SPANS, names)
 
 
-def _windows(sent, width: int) -> Windows:
-    if _built[0] is not sent.value:
-        _built[:] = sent.value, Windows(sent.value, width)
-    return _built[1]
+#: Windows of an Arrow batch that leaves a task.
+_WINDOWS = 1 << 14
 
 
-def _pass(docs, sent, text: str, width: int, keep: list[str], first: bool) -> DataFrame:
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        n_words, spans, items = scan_batch(batch.column(text), _windows(sent, width))
-        if not first:
-            spans = [(a or []) + s for a, s in zip(batch.column("hit_spans").to_pylist(), spans)]
-            items = [set(a or []) | s for a, s in zip(batch.column("hit_items").to_pylist(), items)]
-        return [pa.array(n_words, pa.int64()), pa.array([merged(s) for s in spans], pa.list_(pa.list_(pa.int64()))),
-                pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.string()))]
+def _benchmark_windows(batches):
+    """(item, n, key, gram) of every window; ``width`` is a column."""
+    for batch in batches:
+        for item, text, width in zip(*(batch.column(c).to_pylist() for c in ("item", "words", "width"))):
+            line, begin = _words(text or "")
+            n = min(width, len(begin) - 1)
+            if not n:
+                continue
+            keys = X.window_hashes(X.span_hashes(line, begin[:-1], begin[1:] - 1), n).view(np.int64)
+            for lo in range(0, len(keys), _WINDOWS):
+                own = keys[lo:lo + _WINDOWS]
+                grams = [line[begin[i]:begin[i + n] - 1].tobytes() for i in range(lo, lo + len(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(own), pa.string()), pa.array([n] * len(own), pa.int32()), pa.array(own),
+                     pa.array(grams, pa.binary())], names=["item", "n", "key", "gram"])
+
+
+def _find_by_join(docs: DataFrame, bench: DataFrame, text: str, width: int, filter_bytes: int, names: list[str]) -> DataFrame:
+    """The hits by a join on the windows' words.
 
-    return X.add_columns(docs, compute, SPANS, keep)
+    A window of the benchmark is one row with its items, so a passage that is
+    in a third of the documents is a hot key of one row there, which adaptive execution
+    splits.  The bitmap only saves rows of the join; its size changes no result.
+    """
+    spark = docs.sparkSession
+    with scratch_scope(spark):
+        windows = saved(bench.withColumn("width", F.lit(width)).mapInArrow(
+            _benchmark_windows, "item string, n int, key long, gram binary").distinct(), "decontaminate-windows")
+        buckets = max(1, min(filter_bytes * 8 // BUCKET, 16 * windows.count() // BUCKET + 1))
+        place = F.pmod("key", F.lit(buckets * BUCKET))
+        bits = np.zeros(buckets * BUCKET // 8, np.uint8)
+        for r in (windows.groupBy(F.floor(place / BUCKET).alias("bucket"))
+                  .agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BUCKET))).alias("bits")).collect()):
+            bits[r["bucket"] * BUCKET // 8:(r["bucket"] + 1) * BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+        lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
+        sent = spark.sparkContext.broadcast(bits)
+
+        landed = numbered_columns(docs, "decontaminate-documents")
+        column = landed.table.columns[docs.columns.index(text)]
+
+        def candidates(batches):
+            for batch in batches:
+                file, number = batch.column("file"), batch.column("row")
+                for r, n, at, grams in _may_hit(batch.column(column), lengths, sent.value):
+                    yield pa.RecordBatch.from_arrays(
+                        [file.take(pa.array(r)), number.take(pa.array(r)), pa.array(np.full(len(r), n, np.int32)), pa.array(at),
+                         pa.array(grams, pa.binary())], names=["file", "row", "n", "at", "gram"])
+
+        asked = landed.placed().select("file", "row", column).mapInArrow(
+            candidates, "file string, row long, n int, at long, gram binary")
+        asked = saved(asked, "decontaminate-candidates")
+        known = windows.groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
+        hits = saved(asked.join(known, ["n", "gram"]).select("file", "row", "n", "at", "items"), "decontaminate-hits", keep=True)
+    spans = (hits.groupBy("file", "row").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end"))))
+                                             .alias("spans")))
+    items = (hits.select("file", "row", F.explode("items").alias("item")).distinct()
+             .groupBy("file", "row").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    whole = landed.placed()
+    new = {f.name.lower() for f in SPANS}
+    stay = [(c, name) for c, name in zip(landed.table.columns, docs.columns) if name in names and name.lower() not in new]
+    found = whole.join(spans, ["file", "row"], "left").join(items, ["file", "row"], "left")
+
+    def finish(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, starts, ends = X.utf8(batch.column(column))
+        n_words = np.zeros(len(starts), np.int64)
+        for lo, hi in X.slices(starts, ends):
+            buf, begin = X.joined(data, starts[lo:hi], ends[lo:hi])
+            n_words[lo:hi] = np.bincount(X.words_of(X.LOWER[buf], X.WORD_BYTE, begin)[2], minlength=hi - lo)
+        spans = [merged([[s["at"], s["end"]] for s in x or []]) for x in batch.column("spans").to_pylist()]
+        return [pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                pa.array([x or [] for x in batch.column("items").to_pylist()], pa.list_(pa.string()))]
+
+    done = X.add_columns(found, finish, SPANS, [c for c, _ in stay])
+    return done.toDF(*[name for _, name in stay], *SPANS.names)
+
+
+def _may_hit(col: pa.Array, lengths: list[int], bits: np.ndarray):
+    """Windows of a text column whose hash is in the bitmap: rows, length, word numbers and words, in parts."""
+    data, starts, ends = X.utf8(col)
+    for lo, hi in X.slices(starts, ends):
+        buf, begin = X.joined(data, starts[lo:hi], ends[lo:hi])
+        buf = X.LOWER[buf]
+        ws, we, row = X.words_of(buf, X.WORD_BYTE, begin)
+        first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=hi - lo))))
+        h = X.span_hashes(buf, ws, we)
+        for n in lengths:
+            place = X.window_hashes(h, n).view(np.int64) % (len(bits) * 8)
+            at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            at = at[row[at] == row[at + n - 1]]
+            for part in range(0, len(at), _WINDOWS):
+                own = at[part:part + _WINDOWS]
+                grams = [b" ".join(buf[a:b].tobytes() for a, b in zip(ws[i:i + n].tolist(), we[i:i + n].tolist()))
+                         for i in own.tolist()]
+                yield row[own] + lo, n, own - first[row[own]], grams
 
 
 def n_hit():

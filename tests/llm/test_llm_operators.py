@@ -351,6 +351,18 @@ def _decontaminated(rows, items):
     return out
 
 
+def test_decontamination_index():
+    rng = random.Random(4)
+    items = [(str(i), " ".join(f"w{rng.randrange(40_000)}" for _ in range(300))) for i in range(300)]
+    items += [("300", items[7][1].upper()), ("301", "ß " + items[7][1])]
+    size = sum(len(t.encode()) for _, t in items)
+    index = decontaminate.Windows(items, 10)
+    assert index.nbytes <= size + 16 * sum(len(words(t)) for _, t in items) + 64 * len(items) and index.nbytes < 4 * size
+    n_words, spans, found = decontaminate.scan_batch(pa.array([f"x {items[7][1]} y", None, items[9][1][:40]]), index)
+    assert n_words.tolist()[:2] == [302, 0] and spans == [[[1, 301]], [], []]
+    assert found == [{"7", "300", "301"}, set(), set()]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_decontamination(spark, docs, block_bytes):
     items = [(1, "One two, three four five six seven eight nine ten eleven"), (2, "same text here"), (2, "same text here"),
@@ -369,7 +381,11 @@ def test_decontamination_spans_and_empty(spark, docs, empty):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench).filter("doc_id IN (10, 11, 13)").collect()}
     assert cut[10] == "Before, ! after" and cut[11] == "" and cut[13].startswith("token = ")
-    assert decontaminate.find_benchmark(empty, bench).count() == 0
+    for block_bytes in (1 << 20, 40):
+        assert decontaminate.find_benchmark(empty, bench, block_bytes=block_bytes).count() == 0
+    clash = docs.toDF(*[{"lang": "file", "n_words": "row", "score": "items"}.get(c, c) for c in docs.columns])
+    clean = decontaminate.remove_contaminated(clash, bench, block_bytes=40)
+    assert clean.columns == clash.columns and clean.count() == docs.count() - 2
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.remove_contaminated(docs, none).count() == docs.count()
 
