@@ -1,8 +1,9 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 A text's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased.
-Rules are regular expressions over words joined by single spaces.  Each rule
-has one anchor word, marked @, and a keyword:
+Rules are regular expressions over words joined by single spaces.  Rules
+are written by hand (names, identifiers, notices, sentences of license bodies) or made from families of
+licenses and templates.  Each has one anchor word, marked @, and a keyword:
 
 1. texts without any anchor are done (one scan of the raw text);
 2. each anchor word gets a window of the words around it;
@@ -53,7 +54,7 @@ FAMILIES = [
     ("gpl-2", "(?:gnu )?(?:general public|gpl)", "v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3", "(?:gnu )?(?:general public|gpl)", "v?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
     ("lgpl-2", "(?:gnu )?(?:(?:library|lesser) general public|lgpl)", "v?2(?: [01])?", "lgpl 2 [01](?: only| or later)?"),
-    ("lgpl-3", "(?:gnu )?(?:lesser general public|lgpl)", "v?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-3", "(?:gnu )?(?:(?:library|lesser) general public|lgpl)", "v?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
     ("agpl-3", "(?:gnu )?(?:affero general public|agpl)", "v?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
     ("fdl", "(?:gnu )?(?:free documentation|gfdl)", "1(?: [123])?", "gfdl 1 [123](?: only| or later)?"),
     ("mpl-1", "mozilla public", "1(?: [01])?", "mpl 1 [01]"),
@@ -108,6 +109,112 @@ TEMPLATES = [
 ]
 #: Families that share a name differ in their version alone: only templates with a version, or the identifier, tell them.
 _SHARED = {n for n in (f[1] for f in FAMILIES) if sum(f[1] == n for f in FAMILIES) > 1}
+#: Their names without a version, for the templates without one.
+GENERIC = [("gpl", "(?:gnu )?(?:general public|gpl)"), ("lgpl", "(?:gnu )?(?:(?:library|lesser) general public|lgpl)"),
+           ("apache", "apache(?: software)?"), ("mpl", "mozilla public"), ("epl", "eclipse public")]
+
+_LATER = "(?: only| or later| or newer| or any later version)?"
+_CC_VERSION = "(?: [1234](?: [05])?)?"
+
+# Priority, confidence, label, pattern.
+WRITTEN = [
+    # sentences of license bodies
+    (3, 0.95, "mit", "permission is @hereby granted free of charge to any person obtaining a copy of this software"),
+    (3, 0.95, "boost", "permission is @hereby granted free of charge to any person or organi[sz]ation obtaining a copy"),
+    (3, 0.95, "ofl", "permission is @hereby granted free of charge to any person obtaining a copy of the font software"),
+    (3, 0.95, "unicode", "permission is @hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    (3, 0.95, "isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is @hereby granted"),
+    (3, 0.95, "hpnd", "modify and distribute this software and its documentation for any purpose"
+                      "(?:(?: and)? without fee)? is @hereby granted"),
+    (3, 0.9, "postgresql", "distribute this software and its documentation for any purpose without fee and without a written agreement is @hereby granted"),
+    (3, 0.9, "upl", "subject to the condition set forth below permission is @hereby granted to any person"),
+    (3, 0.85, "mit", "the above copyright notice and this permission notice shall be included in all copies or @substantial portions"),
+    (4, 0.8, "mit", "merchantability fitness for a particular purpose and @noninfringement"),
+    (3, 0.95, "bsd", "@redistribution and use in source and binary forms with or without modification are permitted"),
+    (4, 0.9, "bsd", "@redistributions of source code must retain the (?:above )?copyright notice"),
+    (4, 0.9, "bsd", "@redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    (3, 0.9, "bsd-3", "used to @endorse or promote products derived from this software"),
+    (3, 0.9, "bsd-4", "all @advertising materials mentioning features or use of this software must display"),
+    (3, 0.9, "zlib", "@altered source versions must be plainly marked as such"),
+    (4, 0.85, "zlib", "the origin of this software must not be @misrepresented"),
+    (3, 0.9, "apache-2", "you may not use this file except in @compliance with the license"),
+    (4, 0.85, "apache-2", "(?:distributed )?on an as is basis without @warranties or conditions of any kind"),
+    (3, 0.9, "apache-1", "this product includes software developed by the @apache (?:software foundation|group)"),
+    (3, 0.95, "gpl", "you can @redistribute it and or modify it under the terms of the gnu general public license"),
+    (3, 0.95, "lgpl", "you can @redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    (3, 0.95, "agpl", "you can @redistribute it and or modify it under the terms of the gnu affero general public license"),
+    (3, 0.85, "gpl-2", "either version 2 of the @license or at your option any later version"),
+    (3, 0.85, "gpl-3", "either version 3 of the @license or at your option any later version"),
+    (4, 0.8, "gpl", "the licenses for most software are designed to take away your @freedom to share and change it"),
+    (3, 0.95, "mpl-2", "this source code form is subject to the terms of the mozilla public @license v(?:ersion)? ?2 0"),
+    (3, 0.9, "mpl-1", "the contents of this file are subject to the mozilla public @license version 1 [01]"),
+    (3, 0.9, "cddl", "the terms of the common development and distribution @license"),
+    (3, 0.9, "epl", "this program and the accompanying materials are made available under the terms of the eclipse public @license"),
+    (3, 0.95, "unlicense", "this is free and @unencumbered software released into the public domain"),
+    (3, 0.9, "wtfpl", "permitted to copy and distribute @verbatim or modified copies of this license"),
+    (3, 0.9, "beerware", "you can buy me a @beer in return"),
+    (3, 0.9, "json", "the software shall be used for good not @evil"),
+    (3, 0.9, "psf", "the python software foundation psf and the individual or organi[sz]ation @licensee"),
+    (3, 0.9, "cc0", "waives all of his or her rights to the work @worldwide under copyright law"),
+    (4, 0.8, "public-domain", "(?:dedicated|released|placed|put) (?:in|to|into) the public @domain"),
+    (5, 0.7, "public-domain", "(?:is|are) in the public @domain"),
+    (4, 0.8, "proprietary", "@proprietary and confidential"),
+    (4, 0.8, "proprietary", "confidential and @proprietary"),
+    (4, 0.75, "proprietary", "unauthori[sz]ed copying of this file via any medium is @strictly prohibited"),
+    # notices
+    (5, 0.85, "apache-2", "@licensed to the apache software foundation asf under one or more contributor license agreements"),
+    (5, 0.8, "bsd", "governed by a bsd style @license"),
+    (5, 0.8, "same-as-perl", "under the same terms as @perl itself"),
+    (5, 0.8, "ruby", "under the same terms as @ruby"),
+    (5, 0.8, "dual-mit-gpl", "dual @licensed under the mit and gpl(?: licenses)?"),
+    (5, 0.8, "dual-mit-apache", "@licensed under either of (?:the )?apache"),
+    # names and identifiers that stand without the word license
+    *[(8, 0.6, f"{name}-{v}", f"@{name} (?:v|version )?{v}(?: [01])?{_LATER}")
+      for name in ("gpl", "lgpl", "agpl") for v in (1, 2, 3) if (name, v) not in (("lgpl", 1), ("agpl", 2))],
+    *[(8, 0.6, f"{name}-{v}", f"@{name}{form}{v}(?: [01])?{_LATER}")
+      for name, v in (("gpl", 2), ("gpl", 3), ("lgpl", 2), ("lgpl", 3), ("agpl", 3)) for form in ("v", "")],
+    (8, 0.6, "lgpl-2", "@lgplv21"),
+    (9, 0.5, "gpl", "@gpl"),
+    (9, 0.5, "lgpl", "@lgpl"),
+    (9, 0.5, "agpl", "@agpl"),
+    (9, 0.5, "fdl", "@gfdl"),
+    (8, 0.6, "apache-2", "@apache(?: software)? 2 0"),
+    (8, 0.6, "apache-2", "@asl 2 0"),
+    (8, 0.6, "mpl-2", "@mpl 2 0"),
+    (8, 0.6, "mpl-1", "@mpl 1 [01]"),
+    (8, 0.6, "epl-1", "@epl 1 0"),
+    (8, 0.6, "epl-2", "@epl 2 0"),
+    (8, 0.6, "eupl", "@eupl(?: v?1 [12])?"),
+    (8, 0.6, "cddl", "@cddl(?: 1 [01])?"),
+    (8, 0.6, "ofl", "@ofl 1 [01]"),
+    (8, 0.6, "afl", "@afl [123] [01]"),
+    (8, 0.6, "osl", "@osl [123] [01]"),
+    (8, 0.6, "odbl", "@odbl(?: 1 0)?"),
+    (8, 0.6, "boost", "@bsl 1 0"),
+    (8, 0.6, "bsd-0", "@0bsd"),
+    (8, 0.6, "bsd-2", "@bsd 2 clause"),
+    (8, 0.6, "bsd-3", "@bsd 3 clause"),
+    (8, 0.6, "bsd-4", "@bsd 4 clause"),
+    (8, 0.6, "bsd-2", "(?:2|two) clause @bsd"),
+    (8, 0.6, "bsd-3", "(?:3|three) clause @bsd"),
+    (8, 0.6, "bsd-4", "(?:4|four) clause @bsd"),
+    (8, 0.6, "unlicense", "@unlicense"),
+    (8, 0.6, "wtfpl", "@wtfpl"),
+    (8, 0.7, "cc0", "@cc0(?: 1 0)?(?: universal)?"),
+    (8, 0.7, "cc0", "creative @commons zero(?: 1 0)?"),
+    (8, 0.7, "cc-by", f"@cc by{_CC_VERSION}"),
+    (8, 0.7, "cc-by-sa", f"@cc by sa{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nd", f"@cc by nd{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc", f"@cc by nc{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc-sa", f"@cc by nc sa{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc-nd", f"@cc by nc nd{_CC_VERSION}"),
+    (8, 0.7, "cc-by", f"creative @commons attribution{_CC_VERSION}"),
+    (8, 0.7, "cc-by-sa", f"creative @commons attribution share ?alike{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nd", f"creative @commons attribution no ?deriv(?:ative)?s{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc", f"creative @commons attribution non ?commercial{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc-sa", f"creative @commons attribution non ?commercial share ?alike{_CC_VERSION}"),
+    (8, 0.7, "cc-by-nc-nd", f"creative @commons attribution non ?commercial no ?deriv(?:ative)?s{_CC_VERSION}"),
+]
 
 
 def rules() -> list[dict]:
@@ -121,23 +228,56 @@ def rules() -> list[dict]:
                 continue
             pattern = template.format(name=name, version=version, spdx=spdx)
             out.append({"label": label, "priority": priority, "conf": conf, "base": False, **_anchored(pattern)})
-    return out
+        if "{name}" in template and "{version}" not in template:
+            out += [{"label": label, "priority": priority, "conf": conf, "base": False, **_anchored(template.format(name=name))}
+                    for label, name in GENERIC]
+    out += [{"label": label, "priority": priority, "conf": conf, "base": False, **_anchored(pattern)}
+            for priority, conf, label, pattern in WRITTEN]
+    return sorted(out, key=lambda r: r["priority"])
+
+
+def _bare(pattern: str) -> str:
+    """A pattern with | for each group and class."""
+    while (inner := re.sub(r"\([^()]*\)\??", "|", pattern)) != pattern:
+        pattern = inner
+    return re.sub(r"\[[^\]]*\]", "|", pattern)
 
 
 def _anchored(pattern: str) -> dict:
     """A rule's anchor, and its longest word that every match must hold."""
-    anchor = re.search("@([a-z]+)", pattern)[1]
-    bare = pattern
-    while (inner := re.sub(r"\([^()]*\)\??", "|", bare)) != bare:
-        bare = inner
-    literal = [w for w in re.sub(r"\[[^\]]*\]", "|", bare).split(" ") if re.fullmatch("[a-z0-9]+", w)]
+    anchor = re.search("@([a-z0-9]+)", pattern)[1]
+    literal = [w for w in _bare(pattern).split(" ") if re.fullmatch("[a-z0-9]+", w)]
     return {"anchor": anchor, "keyword": max(literal, key=len, default=""), "pattern": f" ({pattern}) "}
 
 
 RULES = rules()
 ANCHORS = sorted({r["anchor"] for r in RULES})
-#: Each anchor's spelling in raw text, in any case of the letters.
-GATE = r"(?i)licen[cs]|spdx|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+_SIGN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
+def _gate() -> str:
+    """Each anchor as a whole word of raw text, in any case, with the words that all its rules have beside it."""
+    spelled = []
+    for anchor in ANCHORS:
+        beside = [_beside(r["pattern"]) for r in RULES if r["anchor"] == anchor]
+        left, right = ({b[i] for b in beside} for i in (0, 1))
+        before = left.pop() + _GAP if len(left) == 1 and "" not in left else ""
+        after = _GAP + right.pop() if len(right) == 1 and "" not in right else ""
+        spelled.append(f"{before}{anchor}{after}")
+    return f"(?i)(?<!{_SIGN})(?:{'|'.join(spelled)})(?!{_SIGN})"
+
+
+def _beside(pattern: str) -> tuple[str, str]:
+    """The literal words right before and after a rule's anchor; empty if they vary."""
+    left, right = _bare(pattern.strip()[1:-1]).split("@")
+    near = (left.split(" ")[-2] if left.endswith(" ") else "", (right.split(" ") + [""])[1].rstrip("|"))
+    return tuple(w if re.fullmatch("[a-z0-9]+", w) else "" for w in near)
+
+
+GATE = _gate()
 TIERS = 1 + max(r["priority"] for r in RULES)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -73,7 +73,7 @@ def test_license_base(docs):
 
 
 def test_license_rules_and_suppression(spark):
-    assert len(license_scan.RULES) > 300
+    assert len(license_scan.RULES) > 500 and len(license_scan.WRITTEN) > 100
     text = "Licensed under the GNU General Public License, version 3. SPDX-License-Identifier: Apache-2.0"
     row = license_scan.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()
     assert {d["label"] for d in row.detections} == {"gpl-3", "apache-2"}
@@ -82,6 +82,36 @@ def test_license_rules_and_suppression(spark):
         assert not any(b is not a and b[0] <= a[0] and a[1] <= b[1] and b[2] <= a[2] for b in spans)
 
 
+def test_license_names_notices_and_bodies(spark):
+    texts = {
+        "Licensed under the GNU General Public License.": "gpl", "Apache License": "apache", "Mozilla Public License": "mpl",
+        "CC BY-SA 4.0": "cc-by-sa", "GPLv3": "gpl-3", "CC0 1.0": "cc0", "under the terms of the GNU GPL v3 license": "gpl-3",
+        "GNU Lesser General Public License": "lgpl", "code is GPL-2.0-or-later": "gpl-2", "Creative Commons Attribution-ShareAlike": "cc-by-sa",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that": "bsd",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "an example of simple successful beer for everyone in the domain of good ruby and perl": "",
+        "a mit, a bsd, hereby granted, all substantial parts": "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    for r in license_scan.scan_licenses(df).collect():
+        assert ",".join(sorted({d["label"] for d in r.detections})) == r.want, r.text
+
+
+def test_license_gate_opens_for_every_rule(spark):
+    def shortest(pattern):
+        while (now := re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], pattern)) != pattern:
+            pattern = now
+        return re.sub(r".\?", "", re.sub(r"\[(.)[^\]]*\]", r"\1", pattern)).replace("@", "")
+
+    examples = [(i, shortest(r["pattern"].strip()[1:-1]).upper()) for i, r in enumerate(license_scan.RULES)]
+    df = spark.createDataFrame(examples, "rule int, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        rule = license_scan.RULES[r.rule]
+        assert re.search(rule["pattern"], re.sub(rf"(?<= ){rule['anchor']}(?= )", "@" + rule["anchor"], f" {r.text.lower()} ")), r.text
+        assert r.detections and max(d["priority"] for d in r.detections) <= rule["priority"], (r.text, rule)
+
+
 def test_license_windows_are_wide_enough():
     for r in license_scan.RULES:
         before, after = r["pattern"].split("@")
