@@ -606,6 +606,31 @@ def test_secret_network(spark):
     assert (net.probability(x) >= net.threshold).mean() >= secret_scan.RECALL - 0.02
 
 
+def test_secret_labels_go_by_window():
+    key = "0123456789abcdef" * 2
+    raw = ("x" * 69 + "-" + key + "-" + "y" * 60).encode()
+    base = [(70, 2, 102)]
+    labels = {w: secret_scan._label(w, base, secret_scan._values(raw, base)) for w in secret_scan.open_windows((0, len(raw)), [])}
+    assert labels[(0, 48)] == (0, (0, 48)) and labels[(48, 96)] == (1, (70, 96)) and labels[(72, 120)] == (1, (72, 102))
+    told = b'say api_key = "' + b"Zx81" * 8
+    assert secret_scan._values(told, [(4, 0, len(told))]) == [(15, len(told))]
+
+
+def test_secret_network_finds_keys_without_keyword(spark):
+    """Keys that no base rule names, short ones and ones without a digit reach the network; plain runs stay clean."""
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choices("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=n))
+    rows = [(i, f'the password = "{mixed(rng.randrange(9, 40))}" was set' if i % 2 else
+             f"on 2024-0{rng.randrange(1, 10)}-{rng.randrange(10, 29)} at www.{rng.choice(['north', 'south'])}-station.example.org saw counterrevolutionaries")
+            for i in range(600)]
+    net = secret_scan.train_network(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert net.measured["recall"] >= 0.95 and net.measured["precision"] >= 0.9
+    new = [(i, f"they wrote {mixed(24 if i % 2 else 12)} on a wall") for i in range(100)]
+    new += [(i, "on 2024-03-17 at www.south-station.example.org saw counterrevolutionaries") for i in range(100, 110)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(new, "doc_id long, text string"), net).collect()}
+    assert sum("cnn:11:" in got[i] for i in range(100)) >= 80 and not any(got[i] for i in range(100, 110))
+
+
 def test_secret_windows_cover_long_runs():
     """Every character of a long run outside the base spans is in a window, and a key past the first 48 lies in one whole."""
     assert secret_scan.open_windows((5, 40), []) == [(5, 40)]
