@@ -68,20 +68,26 @@ class Lattice:
     """Viterbi search for the likeliest reading of a disguised chunk under a character model."""
 
     TABLE = 200_000
+    LOGS = 2_000_000
 
     def __init__(self, model: C.Model):
         self.model = model
         self.known: dict[str, tuple[tuple[str, str], ...]] = {}
         self.logs: dict[str, float] = {}
 
+    def _look(self, grams: list[str]) -> dict[str, float]:
+        """A table of log-likelihoods that holds those of ``grams``; unknown ones are looked up together."""
+        logs = self.logs
+        if missing := list({g for g in grams if g not in logs}):
+            if len(logs) + len(missing) > self.LOGS:
+                logs.clear()
+                missing = list(set(grams))
+            chars = np.frombuffer("".join(missing).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(missing), -1)
+            logs.update(zip(missing, self.model.log_probability(chars)[:, 0].tolist()))
+        return logs
+
     def _log(self, context: str, letter: str) -> float:
-        gram = context + letter
-        if (found := self.logs.get(gram)) is None:
-            chars = np.array([[ord(c) for c in gram]], np.uint32)
-            found = float(self.model.log_probability(chars)[0, 0])
-            if len(self.logs) < 2_000_000:
-                self.logs[gram] = found
-        return found
+        return self._look([context + letter])[context + letter]
 
     def read(self, chunk: str) -> tuple[tuple[str, str], ...]:
         """The words of the likeliest reading, without and with the letters dropped as repeats; a chunk is decoded once per worker."""
@@ -99,18 +105,9 @@ class Lattice:
         states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
         before = ""
         for sign in chunk:
-            options: list[tuple[str, float]] = []
-            if sign.isalpha():
-                options.append((sign, 0.0))
-                if sign == before:
-                    options.append(("", COST_REPEAT))
-            elif sign not in LOOKS:
-                options += [("", COST_DROP), (" ", COST_BLANK)]
-            else:
-                options.append(("", COST_STRAY))
-            options += [(c, COST_LOOK) for c in LOOKS.get(sign, "")]
-            if sign in LOOKS and sign == before:
-                options.append(("", COST_REPEAT))
+            options = _options(sign, before)
+            letters = [c for c, _ in options if c]
+            logs = self._look([s + c for s in states for c in letters])
             new: dict[str, tuple[float, tuple | None]] = {}
             for state, (cost, path) in states.items():
                 for letter, price in options:
@@ -120,12 +117,13 @@ class Lattice:
                             way = _DROPPED, path
                     else:
                         after = state[1:] + letter
-                        total, way = cost + price - self._log(state, letter), (letter, path)
+                        total, way = cost + price - logs[state + letter], (letter, path)
                     if after not in new or total < new[after][0]:
                         new[after] = total, way
             best = min(c for c, _ in new.values())
-            # readings far behind the best can't win within the next letters
-            states = {s: v for s, v in new.items() if v[0] < best + 25}
+            # The best reading can go on as any other does; a letter costs it at most -log(LEAST) more,
+            # and after as many letters as a state holds both are in one state: what is further behind can't win.
+            states = {s: v for s, v in new.items() if v[0] <= best - size * np.log(C.LEAST)}
             before = sign
         last = min(((cost - self._log(s, " ") if s[-1] != " " else cost), s) for s, (cost, _) in states.items())[1]
         out, path = [], states[last][1]
@@ -135,6 +133,21 @@ class Lattice:
         return "".join(reversed(out))
 
 
+def _options(sign: str, before: str) -> list[tuple[str, float]]:
+    """What a sign may be read as after the sign ``before``, and its price; the empty string leaves it out."""
+    options = []
+    if sign.isalpha():
+        options.append((sign, 0.0))
+    elif sign not in LOOKS:
+        options += [("", COST_DROP), (" ", COST_BLANK)]
+    else:
+        options.append(("", COST_STRAY))
+    options += [(c, COST_LOOK) for c in LOOKS.get(sign, "")]
+    if sign == before and (sign.isalpha() or sign in LOOKS):
+        options.append(("", COST_REPEAT))
+    return options
+
+
 def disguised(buf: np.ndarray, begin: np.ndarray):
     """(row, start, end) of the chunks of joined bytes that look disguised."""
     s, e, row = X.words_of(buf, X.NON_SPACE_BYTE, begin)

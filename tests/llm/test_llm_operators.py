@@ -502,6 +502,32 @@ def test_toxicity_reads_every_disguise(spark):
     assert [x for x, p in zip(good, score[len(bad):]) if p >= 0.5] == []
 
 
+def test_toxicity_lattice_equals_exhaustive_search():
+    """No reading is cheaper than the one found, under a model with probabilities from 1 down to the least one."""
+
+    class Model:
+        order = 4
+
+        def log_probability(self, chars):
+            return np.array([[-float(zlib.crc32(row.tobytes()) % 1000) / 999 * 27.6] for row in chars])
+
+    lattice, rng = toxicity.Lattice(Model()), random.Random(6)
+
+    def readings(chunk):
+        found = [("   ", 0.0, "")]
+        for i, sign in enumerate(chunk):
+            found = [(state, cost + price, read) if not c or c == " " == state[-1] else
+                     (state[1:] + c, cost + price - lattice._log(state, c), read + c)
+                     for state, cost, read in found for c, price in toxicity._options(sign, chunk[i - 1:i])]
+        return [(cost if state[-1] == " " else cost - lattice._log(state, " "), read) for state, cost, read in found]
+
+    for _ in range(300):
+        chunk = "".join(rng.choices("abii0011l!6$. -", k=rng.randint(1, 7)))
+        every = readings(chunk)
+        got = lattice._search(chunk).replace(toxicity._DROPPED, "")
+        assert min(c for c, r in every if r == got) <= min(every)[0] + 1e-9, chunk
+
+
 def test_toxicity_without_labels(empty, toxic):
     scorer = toxicity.learn(toxic[0], toxic[1].filter("toxic = 0"))
     assert toxicity.score_texts(toxic[0], scorer).filter("predicted = 1").count() == 0
