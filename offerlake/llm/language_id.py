@@ -3,11 +3,12 @@
 One interpolated Kneser-Ney model per language is counted over every text of
 the learning rows.  A text gets the language of the lowest cross-entropy per
 character.  Its score is the calibrated probability that this is right: a
-logistic function of the margin to the second language, fitted on a sample of
-learning rows (at most ``CALIBRATION_ROWS``, by hash) with models that are counted
-on all the others.  ``rejected`` marks texts whose cross-entropy is above what all but
-``REJECT_SHARE`` of the right calibration texts of that language have: text
-of no learned language.
+logistic function of the margin to the second language, fitted on every
+learning row, each predicted by models that are counted on the other half of the folds.
+``rejected`` marks texts whose cross-entropy is above what all but
+``REJECT_SHARE`` of the rightly predicted learning texts of that language have: text
+of no learned language.  Margins and cross-entropies are counted in steps of
+``STEP``, so that what reaches the driver has a fixed bound.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows with a null language or null doc_id are not learned from; with no
@@ -18,19 +19,24 @@ gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm import _charlm as C
 from offerlake.llm import _text as X
-from offerlake.session import saved
+from offerlake.session import saved, scratch_scope
 
-CALIBRATION_ROWS = 2000
 REJECT_SHARE = 0.005
 FOLDS = 5
+#: The learning folds: each half is predicted by the models of the other.
+HALVES = (1, 2), (3, 4)
+#: Margins count up to this one; width of a step of margins and of cross-entropies.
+MARGIN_MAX, STEP = 5, 1e-4
 
 
 def fold(doc_id: str) -> Column:
@@ -58,57 +64,71 @@ class Identifier:
         return np.where(n > 0, best, -1), margin, low
 
     def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(margin, 5) + self.shift, -30, 30)))
-
-    def calibrate(self, best: np.ndarray, margin: np.ndarray, low: np.ndarray, langs: list[str]):
-        """Fit the score and the limits to predictions of texts of known languages."""
-        name = np.array([self.model.names.index(x) if x in self.model.names else -2 for x in langs], np.int64)
-        ok = best >= 0
-        right = (best == name)[ok]
-        z = np.minimum(margin[ok], 5)
-        if len(right):
-            t = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
-            w = np.array([1.0, 0.0])
-            for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(z * w[0] + w[1], -30, 30)))
-                s = p * (1 - p) + 1e-9
-                h = np.array([[(s * z * z).sum(), (s * z).sum()], [(s * z).sum(), s.sum()]]) + 1e-3 * np.eye(2)
-                w = w - np.linalg.solve(h, np.array([((p - t) * z).sum(), (p - t).sum()]) + 1e-3 * w)
-            if np.isfinite(w).all() and w[0] >= 0:
-                self.slope, self.shift = float(w[0]), float(w[1])
-        for i in range(len(self.limit)):
-            own = np.sort(low[(best == i) & (name == i)])
-            if len(own):
-                self.limit[i] = own[min(len(own) - 1, int((1 - REJECT_SHARE) * len(own)))]
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(margin, MARGIN_MAX) + self.shift, -30, 30)))
+
+    def calibrate(self, margin: np.ndarray, right: np.ndarray, count: np.ndarray):
+        """Fit the score to margins of predictions, whether they are right, and how many texts have them."""
+        if not count.sum():
+            return
+        good, bad = count[right].sum(), count[~right].sum()
+        t = np.where(right, (good + 1) / (good + 2), 1 / (bad + 2))
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(margin * w[0] + w[1], -30, 30)))
+            s = count * (p * (1 - p) + 1e-9)
+            g = count * (p - t)
+            h = np.array([[(s * margin * margin).sum(), (s * margin).sum()], [(s * margin).sum(), s.sum()]]) + 1e-3 * np.eye(2)
+            w = w - np.linalg.solve(h, np.array([(g * margin).sum(), g.sum()]) + 1e-3 * w)
+        if np.isfinite(w).all() and w[0] >= 0:
+            self.slope, self.shift = float(w[0]), float(w[1])
+
+
+def trials(rows: DataFrame, learned: Identifier) -> DataFrame:
+    """(lang_pred, right, margin, low) of the ``rows`` (text, lang) that get a language; margin and low in whole steps."""
+    sent = rows.sparkSession.sparkContext.broadcast(learned)
+
+    def predict(batches):
+        for batch in batches:
+            best, margin, low = sent.value.predict(batch.column("text"))
+            names = [*sent.value.model.names, None]
+            steps = np.rint(np.minimum(margin, MARGIN_MAX) / STEP).astype(np.int64), np.ceil(low / STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.tolist()], pa.string()), *map(pa.array, steps), batch.column("lang")],
+                                             names=["lang_pred", "margin", "low", "lang"])
+
+    got = rows.select("text", "lang").mapInArrow(predict, "lang_pred string, margin long, low long, lang string")
+    return got.filter("lang_pred IS NOT NULL").select("lang_pred", (F.col("lang_pred") == F.col("lang")).alias("right"), "margin", "low")
+
+
+def limits(tried: DataFrame) -> dict[str, float]:
+    """Per language the cross-entropy that all but ``REJECT_SHARE`` of its rightly predicted texts don't exceed."""
+    steps = tried.filter("right").groupBy("lang_pred", "low").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("lang_pred")
+    steps = steps.withColumns({"upto": F.sum("n").over(own.orderBy("low")), "all": F.sum("n").over(own)})
+    place = F.least(F.col("all") - 1, F.floor((1 - REJECT_SHARE) * F.col("all")))
+    return {r[0]: r[1] * STEP for r in steps.filter(F.col("upto") > place).groupBy("lang_pred").agg(F.min("low")).collect()}
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Identifier:
-    """Models of the languages in ``docs``, over all rows but those of fold 0; calibrated by models that leave a sample out."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
+    """Models of the languages in ``docs``, over all rows but those of fold 0; calibrated on each of these rows by
+    models of the half of the folds that it isn't in."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
                        fold(doc_id).alias("fold")).filter("lang IS NOT NULL AND fold <> 0")
     found = Identifier(C.fit(rows, key="lang"))
     if found.model is None:
         return found
-    # the sample is chosen by narrow rows; its texts stay in the tasks that predict them
-    order = F.xxhash64(F.col("id").cast("string"))
-    sampled = rows.filter("fold = 1").select("id", order.alias("order")).distinct().orderBy("order", "id").limit(CALIBRATION_ROWS)
-    sampled = F.broadcast(saved(sampled.select("id"), "language-sample"))
-    others = C.fit(rows.join(sampled, "id", "left_anti"), key="lang")
-    if others is not None:
-        trial = Identifier(others)
-        sent = docs.sparkSession.sparkContext.broadcast(trial)
-
-        def predict(batches):
-            for batch in batches:
-                best, margin, low = sent.value.predict(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(margin), pa.array(low), batch.column("lang")],
-                                                 names=["best", "margin", "low", "lang"])
-
-        held = rows.filter("fold = 1").join(sampled, "id", "left_semi")
-        got = held.select("text", "lang").mapInArrow(predict, "best long, margin double, low double, lang string").toArrow()
-        trial.calibrate(*(got.column(c).to_numpy() for c in ("best", "margin", "low")), got.column("lang").to_pylist())
-        found.slope, found.shift = trial.slope, trial.shift
-        limit = dict(zip(others.names, trial.limit.tolist()))
+    parts = []
+    for half in HALVES:
+        others = C.fit(rows.filter(~F.col("fold").isin(*half)), key="lang")
+        if others is not None:
+            parts.append(trials(rows.filter(F.col("fold").isin(*half)), Identifier(others)))
+    if parts:
+        with scratch_scope(docs.sparkSession):
+            tried = saved(reduce(DataFrame.unionByName, parts), "language-trials")
+            # a row per step at most: 2 * MARGIN_MAX / STEP
+            steps = tried.groupBy("margin", "right").agg(F.count(F.lit(1)).alias("n")).orderBy("margin", "right").toArrow()
+            margin, right, n = (steps.column(c).to_numpy() for c in ("margin", "right", "n"))
+            found.calibrate(margin * STEP, right.astype(bool), n.astype(float))
+            limit = limits(tried)
         found.limit = np.array([limit.get(name, np.inf) for name in found.model.names])
     return found
 

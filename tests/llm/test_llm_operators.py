@@ -202,6 +202,28 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[None].lang_pred == "en" and got[1002].lang_pred == "en"
 
 
+def test_language_calibration_counts_every_learning_row(spark, monkeypatch):
+    """Score and limits come from all learning rows with a letter, each predicted by models that did not count it."""
+    seen, plain = [], language_id.Identifier.calibrate
+    monkeypatch.setattr(language_id.Identifier, "calibrate", lambda self, *told: (seen.append(told), plain(self, *told)))
+    table = _language_table(spark)
+    learned = language_id.learn(table)
+    rows = [r for r in table.collect() if r.doc_id is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    rows = [r for r in rows if r.text is not None and re.search("[a-z]", r.text)]
+    (margin, right, n), = seen
+    assert n.sum() == len(rows) > 100 and n[right].sum() > 0.9 * len(rows) and margin.min() >= 0
+    assert np.isfinite(learned.limit).all() and learned.slope > 0
+
+
+def test_language_limits_are_order_statistics(spark):
+    rng = random.Random(12)
+    rows = [(lang, rng.random() < 0.8, 0, rng.randrange(20_000)) for lang in ("de", "en") for _ in range(3000)] + [("fr", True, 0, 7)]
+    got = language_id.limits(spark.createDataFrame(rows, "lang_pred string, right boolean, margin long, low long"))
+    for lang in ("de", "en", "fr"):
+        own = sorted(r[3] for r in rows if r[0] == lang and r[1])
+        assert got[lang] == own[min(len(own) - 1, int((1 - language_id.REJECT_SHARE) * len(own)))] * language_id.STEP
+
+
 def test_character_model_sums_to_one(spark):
     from offerlake.llm import _charlm
 
