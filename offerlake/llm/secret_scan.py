@@ -8,10 +8,11 @@ by half.  Accepted windows that overlap become one span.  It is trained in numpy
 candidate, 1 if they hold half of a base rule's value (or lie half within it), 0 if no
 base span touches them, others unused.  Half of both kinds, by hash, are
 seen without the text around them, positive ones as the value alone: so the network learns the look
-of a key, not of the rules' keywords.  At most ``TRAIN_ROWS`` of each label are
-taken by hash over the whole corpus (a bounded, documented sample; the rest of
-the work covers every row).  Scores are calibrated on findings held out from
-the training, where the threshold is set, too: half way between the lowest score that the
+of a key, not of the rules' keywords.  It learns from every distinct finding but the quarter that
+is held out by hash: the findings are dealt by hash into shards of about ``SHARD_ROWS``, each
+shard trains an epoch in its own task from the shared weights, and the weights and
+moments of all shards are averaged.  Scores are calibrated on all findings held out, counted in
+steps of ``STEP`` of the logit, where the threshold is set, too: half way between the lowest score that the
 wanted recall needs and the next one below it.  Candidates outside the base spans that reach it become
 spans of kind ``cnn``; base spans always stay.
 
@@ -26,6 +27,7 @@ an empty table gives an empty one.  Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.llm import _text as X
-from offerlake.session import saved
+from offerlake.session import saved, scratch_scope
 
 # The base rules.
 KEYWORDS = "password|passwd|secret|token|api_?key"
@@ -47,8 +49,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN_MIN = 6
 
-#: Labelled findings of each label that the network is trained and calibrated on.
-TRAIN_ROWS = 4000
+#: Findings that a task trains on (about), rounds of training, width of a step of logits.
+SHARD_ROWS, EPOCHS, STEP = 8192, 6, 1e-3
 RECALL = 0.98
 CANDIDATE_MIN = 16
 #: Shorter runs of this length are candidates if they hold a digit.
@@ -80,6 +82,8 @@ class Network:
         # two embeddings: of characters within the candidate and around it
         self.w = {"e": rng.normal(0, 0.3, (2 * CLASSES, depth)), "k": rng.normal(0, 0.15, (span * depth, filters)),
                   "c": np.zeros(filters), "o": rng.normal(0, 0.1, filters), "b": np.zeros(1)}
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
+        self.steps = 0
         self.slope, self.shift, self.threshold = 1.0, 0.0, 2.0
         self.measured: dict = {}  # recall and precision of the threshold on the findings held out
 
@@ -101,21 +105,29 @@ class Network:
         """Calibrated scores."""
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logit(x) + self.shift, -30, 30)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(a) for k, a in self.w.items()}
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for i in range(0, len(x), batch):
-                rows = order[i:i + batch]
-                grads = self._gradient(x[rows], y[rows])
-                step += 1
-                for k, g in grads.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+    def epoch(self, x: np.ndarray, y: np.ndarray, seed: int, batch: int = 64, rate: float = 0.01):
+        """One pass of Adam steps over the rows."""
+        order = np.random.default_rng(seed).permutation(len(x))
+        for i in range(0, len(x), batch):
+            rows = order[i:i + batch]
+            grads = self._gradient(x[rows], y[rows])
+            self.steps += 1
+            for k, g in grads.items():
+                self.m[k] = 0.9 * self.m[k] + 0.1 * g
+                self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+                self.w[k] = self.w[k] - rate * (self.m[k] / (1 - 0.9 ** self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999 ** self.steps)) + 1e-8)
+
+    def state(self) -> np.ndarray:
+        """Weights and moments in one array."""
+        return np.concatenate([d[k].ravel() for d in (self.w, self.m, self.v) for k in sorted(d)])
+
+    def take(self, state: np.ndarray, steps: int):
+        """The weights and moments of ``state``, after so many steps."""
+        at, self.steps = 0, steps
+        for d in (self.w, self.m, self.v):
+            for k in sorted(d):
+                d[k] = state[at:at + d[k].size].reshape(d[k].shape).copy()
+                at += d[k].size
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         out, (x, view, at, top, pooled) = self._forward(x)
@@ -129,23 +141,24 @@ class Network:
         np.add.at(e, chars.reshape(-1), back.reshape(-1, depth))
         return {"e": e, "k": np.einsum("nfj,nf->jf", picked, d_top), "c": d_top.sum(0), "o": pooled.T @ d, "b": np.array([d.sum()])}
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float):
-        """Platt's scaling on held-out findings; the highest threshold that keeps ``recall`` of the positive ones."""
-        z = self.logit(x)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray):
+        """Platt's scaling on logits, labels, and the number of held-out findings that have them."""
         # targets a little inside (0, 1), so that separable findings have a finite scale
-        t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        middle, spread = z.mean(), z.std() + 1e-9
+        good, bad = n[y > 0].sum(), n[y == 0].sum()
+        t = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+        middle = np.average(z, weights=n)
+        spread = np.sqrt(np.average((z - middle) ** 2, weights=n)) + 1e-9
         u = (z - middle) / spread
 
         def loss(w):
             a = u * w[0] + w[1]
-            return (np.logaddexp(0, a) - t * a).sum() + 1e-4 * (w @ w)
+            return (n * (np.logaddexp(0, a) - t * a)).sum() + 1e-4 * (w @ w)
 
         w = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(u * w[0] + w[1], -30, 30)))
-            g = np.array([((p - t) * u).sum(), (p - t).sum()]) + 2e-4 * w
-            s = p * (1 - p) + 1e-9
+            g = np.array([(n * (p - t) * u).sum(), (n * (p - t)).sum()]) + 2e-4 * w
+            s = n * (p * (1 - p) + 1e-9)
             h = np.array([[(s * u * u).sum(), (s * u).sum()], [(s * u).sum(), s.sum()]]) + 2e-4 * np.eye(2)
             step, now = np.linalg.solve(h, g), loss(w)
             # a whole Newton step overshoots where the findings are separable
@@ -153,15 +166,6 @@ class Network:
             w = w - scale * step
         if w[0] > 0:
             self.slope, self.shift = float(w[0] / spread), float(w[1] - w[0] * middle / spread)
-        positive = np.sort(z[y > 0])
-        if len(positive):
-            lowest = positive[int((1 - recall) * len(positive))]
-            # between the lowest finding that must stay and the next lower one: the same findings pass, new ones have room
-            middle = (lowest + max(z[z < lowest], default=lowest)) / 2
-            self.threshold = float(1 / (1 + np.exp(-np.clip(self.slope * middle + self.shift, -30, 30))))
-        taken = self.probability(x) >= self.threshold
-        self.measured = {"rows": len(y), "positive": int(y.sum()), "recall": float(taken[y > 0].mean()) if len(positive) else 0.0,
-                         "precision": float(y[taken].mean()) if taken.any() else 0.0}
 
 
 def _sample_key(raw: bytes, s: int, e: int) -> int:
@@ -281,20 +285,74 @@ def labelled_findings(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, label int, seen binary")
 
 
-def train_network(docs: DataFrame, *, text: str = "text", rows: int = TRAIN_ROWS, recall: float = RECALL) -> Network | None:
-    """The network trained on at most ``rows`` findings of each label, a quarter of them held out for calibration."""
-    found = saved(labelled_findings(docs, text=text).distinct(), "secret-findings")
-    picked = sorted(tuple(r) for label in (0, 1) for r in found.filter(F.col("label") == label).orderBy("key").limit(rows).collect())
-    y = np.array([p[1] for p in picked], float)
-    if not len(y) or y.min() == y.max():
-        return None
-    x = np.stack([np.frombuffer(p[2], np.uint8) for p in picked]).astype(np.int64)
-    held = np.arange(len(y)) % 4 == 3
-    if not (0 < y[held].sum() < held.sum()):
-        held = np.zeros(len(y), bool)
-    net = Network()
-    net.train(x[~held], y[~held])
-    net.calibrate(*((x[held], y[held]) if held.any() else (x, y)), recall)
+def _findings(table) -> tuple[np.ndarray, np.ndarray]:
+    """Character classes and labels of findings."""
+    seen = table.column("seen").to_pylist()
+    return np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), WIDTH).astype(np.int64), table.column("label").to_numpy().astype(float)
+
+
+def _round(dealt: DataFrame, net: Network, epoch: int) -> None:
+    """One epoch of every shard from the weights of ``net``, which takes their average."""
+    sent = dealt.sparkSession.sparkContext.broadcast(net)
+
+    def run(part: pa.Table) -> pa.Table:
+        own = copy.deepcopy(sent.value)
+        x, y = _findings(part.sort_by([("label", "ascending"), ("key", "ascending"), ("seen", "ascending")]))
+        own.epoch(x, y, seed=11 + epoch)
+        return pa.table({"shard": [part.column("shard")[0].as_py()], "n": [len(y)], "steps": [own.steps], "state": [own.state().tobytes()]})
+
+    # a row of the network's size per shard
+    parts = sorted(tuple(r) for r in dealt.groupBy("shard").applyInArrow(run, "shard long, n long, steps long, state binary").collect())
+    states = np.stack([np.frombuffer(p[3]) for p in parts])
+    net.take(np.average(states, axis=0, weights=[p[1] for p in parts]), max(p[2] for p in parts))
+
+
+def _logits(findings: DataFrame, net: Network) -> DataFrame:
+    """(label, z) of findings."""
+    sent = findings.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            x, y = _findings(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sent.value.logit(x))], names=["label", "z"])
+
+    return findings.select("label", "seen").mapInArrow(run, "label int, z double")
+
+
+def _set_threshold(scored: DataFrame, net: Network, recall: float) -> None:
+    """Calibrate on every finding of ``scored`` (label, z); the highest threshold that keeps ``recall`` of the positive ones."""
+    steps = scored.groupBy("label", F.rint(F.col("z") / STEP).cast("long").alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy("label", "step").toArrow()
+    y, step, n, low, high = (steps.column(c).to_numpy() for c in ("label", "step", "n", "low", "high"))
+    net.calibrate(step * STEP, y, n.astype(float))
+    total = int(n[y > 0].sum())
+    at = np.searchsorted(np.cumsum(n[y > 0]), int((1 - recall) * total), "right")
+    # between the lowest finding that must stay and the next lower one: the same findings pass, new ones have room
+    lowest = low[y > 0][at]
+    ends = np.concatenate([low, high])
+    cut = float((lowest + max(ends[ends < lowest], default=lowest)) / 2)
+    net.threshold = float(1 / (1 + np.exp(-np.clip(net.slope * cut + net.shift, -30, 30))))
+    taken = {r["label"]: r["n"] for r in scored.where(F.col("z") >= cut).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    net.measured = {"rows": int(n.sum()), "positive": total, "recall": taken.get(1, 0) / total,
+                    "precision": taken.get(1, 0) / max(1, sum(taken.values()))}
+
+
+def train_network(docs: DataFrame, *, text: str = "text", recall: float = RECALL) -> Network | None:
+    """The network trained on every distinct finding of ``docs``, but a quarter by hash, on which it is calibrated."""
+    with scratch_scope(docs.sparkSession):
+        found = saved(labelled_findings(docs, text=text).distinct(), "secret-findings")
+        held = F.pmod(F.xxhash64("key"), F.lit(4)) == 3
+        count = {(r[0], r[1]): r[2] for r in found.groupBy("label", held).count().collect()}
+        if len({label for label, _ in count}) < 2:
+            return None
+        learned = found.where(~held) if len(count) == 4 else found
+        rows = sum(n for (_, out), n in count.items() if len(count) < 4 or not out)
+        shards = -(-rows // SHARD_ROWS)
+        dealt = learned.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
+        net = Network()
+        for epoch in range(EPOCHS):
+            _round(dealt, net, epoch)
+        _set_threshold(saved(_logits(found.where(held) if len(count) == 4 else found, net), "secret-logits"), net, recall)
     return net
 
 
