@@ -20,7 +20,7 @@ from offerlake.functions.keys import job_slug, source_id_a, source_id_b, url_a
 from offerlake.functions.salary import has_salary_a, has_salary_b
 from offerlake.functions.text import with_html_text
 from offerlake.functions.time import keep_since, posted_at, resolve_date, resolve_since, since_column
-from offerlake.operators.corpus import keep_first_copy, search_text, tf_idf
+from offerlake.operators.corpus import keep_first_copy, query_terms, search_text, tf_idf
 from offerlake.operators.dedup import count_written, first_seen, skip_existing
 from offerlake.operators.details import attach_details, with_sections
 from offerlake.operators.extract import explode_postings, first_list, locate_data_list, locate_postings
@@ -356,7 +356,8 @@ def q_tf_idf(spark, sf):
 
 def q_search_text(spark, sf):
     """Every benchmark item as a query against all documents."""
-    return search_text(tf_idf(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+    queries = table(spark, sf, "benchmark")
+    return search_text(tf_idf(table(spark, sf, "documents"), wanted=query_terms(queries)), queries)
 
 
 def q_search_vectors(spark, sf):
