@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.operators.corpus import terms, top_k
+from offerlake.operators.corpus import query_terms, top_k
 from offerlake.session import saved
 
 #: Postings of a block, and blocks of each term that a query reads first.
@@ -65,7 +65,7 @@ class PostingsIndex:
         self.blocks = saved(rows.withColumn("block", F.monotonically_increasing_id()), "postings")
 
     def _wanted(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
-        return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).distinct()
+        return query_terms(queries, query_id, text).distinct()
 
     def _read(self, chosen: DataFrame) -> DataFrame:
         """(query_id, term, doc_id, weight) of the chosen (query_id, block) blocks."""
@@ -73,9 +73,13 @@ class PostingsIndex:
         return own.select("query_id", "term", F.col("p.docs").alias("doc_id"), F.col("p.weights").alias("weight"))
 
     def _scores(self, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of some (query_id, doc_id): their weights are looked up."""
-        asked = pairs.join(wanted, "query_id")
-        return asked.join(self.weights, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+        """(query_id, doc_id, score) of some (query_id, doc_id): their weights are looked up.
+
+        The weights of the queries' terms meet the pairs by document and the queries there, so that
+        neither a pair's terms are shuffled nor its weights a second time for the sum."""
+        held = self.weights.join(wanted.select("term").distinct(), "term", "left_semi")
+        met = pairs.join(held, "doc_id").join(wanted, ["query_id", "term"])
+        return met.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
 
     def plan(self, queries: DataFrame, k: int = 10, query_id: str = "item_id", text: str = "text") -> DataFrame:
         """(query_id, term, block, floor, share, read): the blocks of each query's terms, and whether it reads them."""
@@ -105,5 +109,6 @@ class PostingsIndex:
             F.sum("weight").alias("score"), F.sum("share").alias("known"))
         reach = F.col("score") + F.col("whole") - F.col("known") >= F.col("floor") - 1e-6
         able = found.join(whole, "query_id").filter(F.col("floor").isNull() | reach).select("query_id", "doc_id")
-        scored = self._scores(saved(able, "postings-candidates"), shares.select("query_id", "term"))
+        wanted = saved(self._wanted(queries, query_id, text), "postings-terms")
+        scored = self._scores(saved(able, "postings-candidates"), wanted)
         return top_k(scored, "query_id", "doc_id", k).select("query_id", "rank", "doc_id", "score")
