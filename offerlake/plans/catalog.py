@@ -226,9 +226,9 @@ def q_skip_sketched(spark, sf):
 
 def q_enrich_details(spark, sf):
     """Every posting left-joined to its latest detail document."""
-    p = _a_postings(spark, sf).withColumn("job_slug", job_slug(F.col("v"), F.col("posting")))
-    out = attach_details(p, landed(spark, sf, "c"), SOURCE_A)
-    return out.select(_id().alias("id"), F.col("details").isNotNull().alias("has_details"))
+    p = _a_postings(spark, sf).select(_id().alias("id"), job_slug(F.col("v"), F.col("posting")).alias("job_slug"))
+    out = attach_details(saved(p, "slugs"), landed(spark, sf, "c"), SOURCE_A)  # read for the slugs and for the join
+    return out.select("id", F.col("details").isNotNull().alias("has_details"))
 
 
 def q_enrich_details_b(spark, sf):
