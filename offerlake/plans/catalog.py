@@ -38,6 +38,8 @@ from offerlake.sources.tables import QUARANTINE, RAW_POSTINGS, SOURCE_A, SOURCE_
 RUN_DATE = resolve_date("2024-02-01")  # P7
 STAMP = dt.datetime(2024, 2, 1, 12, 0, 0)
 UNLIMITED = 10**9
+#: Micro-batches of the stream query.
+BATCHES = 4
 
 
 def _a_postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,9 +334,10 @@ def q_stream_ingest(spark, sf):
 
     landed_dir = scratch_path(spark, "landed-a")
     pages = damaged_a(landed(spark, sf, "a"))
-    pages.repartition(4).write.parquet(landed_dir)  # several files: several micro-batches
+    tasks = spark.sparkContext.defaultParallelism
+    pages.repartition(BATCHES * tasks).write.parquet(landed_dir)  # each micro-batch has a file for every core
     store, bad = scratch_path(spark, "store-stream"), scratch_path(spark, "quarantine-stream")
-    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=1, quarantine_path=bad,
+    run_stream_available_now(spark, landed_dir, store, source=SOURCE_A, max_files_per_trigger=tasks, quarantine_path=bad,
                              checkpoint=scratch_path(spark, "stream-ckpt"))
     held = spark.read.schema(QUARANTINE).parquet(bad)
     return read_store(spark, store, SOURCE_A).select(F.lit("posting").alias("kind"), F.col("source_id").alias("value")).unionByName(
