@@ -89,37 +89,66 @@ def whole(first: np.ndarray, last: np.ndarray, size: int, order: int) -> np.ndar
     return ok
 
 
-def gram_counts(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER) -> DataFrame:
-    """(key, gram, c): how often each n-gram of the longest order occurs, over all rows (with a key)."""
-    named = docs.select(F.col(text).alias("text"), (F.col(key) if key else F.lit("")).cast("string").alias("key")).filter("key IS NOT NULL")
+def distinct_grams(chars: np.ndarray, ok: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, characters and count of each distinct n-gram at the places that are ``ok``, by the places' owners (from 0).
+
+    An n-gram is sorted as one whole number, of its characters' numbers among those of the slice after its owner's;
+    where that is too wide, as a row of characters."""
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
+    owner = owner[at]
+    seen = np.zeros(int(chars.max()) + 1, bool)
+    seen[chars] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    width = bits * order + int(owner.max()).bit_length()
+    if width > 64:
+        rows, c = np.unique(np.column_stack([owner, *(chars[at + j] for j in range(order))]).astype(np.int64), axis=0, return_counts=True)
+        return rows[:, 0], rows[:, 1:].astype(np.uint32), c
+    kind = np.uint32 if width <= 32 else np.uint64
+    number = np.zeros(len(seen), kind)
+    number[alphabet] = np.arange(len(alphabet), dtype=kind)
+    number = number[chars]
+    packed = owner.astype(kind)
+    for j in range(order):
+        packed = packed << kind(bits) | number[at + j]
+    packed, c = np.unique(packed, return_counts=True)
+    shifts = [kind(bits * (order - 1 - j)) for j in range(order)]
+    grams = np.stack([alphabet[packed >> s & kind((1 << bits) - 1)] for s in shifts], 1)
+    whose = packed >> kind(bits * order) if bits * order < 8 * kind().itemsize else np.zeros(len(packed))
+    return whose.astype(np.int64), grams, c
+
+
+def gram_counts(docs: DataFrame, *, text: str = "text", key: str | None = None, split: str | None = None,
+                order: int = ORDER) -> DataFrame:
+    """(key, gram, c): how often each n-gram of the longest order occurs, over all rows (with a key).  With ``split``,
+    a column of whole numbers, (key, split, gram, c): counted for each of them."""
+    named = docs.select(F.col(text).alias("text"), (F.col(key) if key else F.lit("")).cast("string").alias("key"),
+                        (F.col(split) if split else F.lit(0)).cast("int").alias("split")).filter("key IS NOT NULL AND split IS NOT NULL")
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("key").dictionary_encode()
-            names, code = keys.dictionary.to_pylist(), keys.indices.to_numpy()
+            keys, splits = batch.column("key").dictionary_encode(), batch.column("split").dictionary_encode()
+            names, numbers = keys.dictionary.to_pylist(), splits.dictionary.to_pylist()
+            code = keys.indices.to_numpy().astype(np.int64) * len(numbers) + splits.indices.to_numpy()
             held: list[tuple] = []
             for lo, hi, chars, first, last in streams(batch.column("text"), order):
                 ok = whole(first, last, len(chars), order)
-                h = hashes(chars, order)
-                row = np.repeat(np.arange(lo, hi), last - first)[:len(ok)]
-                owner = code[row]
-                for k in np.unique(owner).tolist():
-                    at = np.flatnonzero(ok & (owner == k))
-                    if len(at):
-                        u, i, c = np.unique(h[at], return_index=True, return_counts=True)
-                        held.append((k, u, np.stack([chars[at[i] + j] for j in range(order)], 1), c))
-            for k in {x[0] for x in held}:
-                u = np.concatenate([x[1] for x in held if x[0] == k])
-                grams = np.concatenate([x[2] for x in held if x[0] == k])
-                c = np.concatenate([x[3] for x in held if x[0] == k])
-                _, i, back = np.unique(u, return_index=True, return_inverse=True)
+                held.append(distinct_grams(chars, ok, np.repeat(code[lo:hi], last - first)[:len(ok)], order))
+            owner = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.int64)
+            for k in np.unique(owner).tolist():
+                grams = np.concatenate([x[1][x[0] == k] for x in held])
+                c = np.concatenate([x[2][x[0] == k] for x in held])
+                _, i, back = np.unique(_hash_rows(grams), return_index=True, return_inverse=True)
                 flat = np.ascontiguousarray(grams[i], "<u4").tobytes().decode("utf-32-le")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[k]] * len(i), pa.string()), pa.array([flat[j:j + order] for j in range(0, len(flat), order)], pa.string()),
-                     pa.array(np.bincount(back, weights=c).astype(np.int64), pa.int64())], names=["key", "gram", "c"])
+                    [pa.array([names[k // len(numbers)]] * len(i), pa.string()), pa.array([numbers[k % len(numbers)]] * len(i), pa.int32()),
+                     pa.array([flat[j:j + order] for j in range(0, len(flat), order)], pa.string()),
+                     pa.array(np.bincount(back, weights=c).astype(np.int64), pa.int64())], names=["key", "split", "gram", "c"])
 
-    rows = named.mapInArrow(run, "key string, gram string, c long")
-    return rows.groupBy("key", "gram").agg(F.sum("c").alias("c"))
+    rows = named.mapInArrow(run, "key string, split int, gram string, c long")
+    return rows.groupBy("key", *(["split"] if split else []), "gram").agg(F.sum("c").alias("c"))
 
 
 class Table:
@@ -174,22 +203,28 @@ class Ranges:
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is there, and its values."""
-        ok, out = np.zeros(len(h), bool), np.zeros((len(h), self.width), np.float32)
         if self.parts == 1:
-            groups = [(0, np.arange(len(h)))]
-        else:
+            order, edge = None, [0, len(h)]
+        else:  # whole numbers of 16 bits are sorted by their digits
             part = self.part(h)
-            order = np.argsort(part, kind="stable")
-            names, edge = np.unique(part[order], return_index=True)
-            groups = zip(names.tolist(), np.split(order, edge[1:]))
-        for k, at in groups:
-            if k in self.full and len(at):
+            order = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
+            h, part = h[order], part[order]
+            edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(h)]
+        ok, out = np.zeros(len(h), bool), np.zeros((len(h), self.width), np.float32)
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            k = int(part[lo]) if self.parts > 1 and hi > lo else 0
+            if k in self.full and hi > lo:
                 table = self._table(k)
-                found = table.find(h[at])
-                some = found >= 0
-                ok[at[some]] = True
-                out[at[some]] = table.values[found[some]]
-        return ok, out
+                found = table.find(h[lo:hi])
+                ok[lo:hi] = found >= 0
+                if len(table.keys):
+                    out[lo:hi] = table.values[found]
+        out[~ok] = 0
+        if order is None:
+            return ok, out
+        dealt_ok, dealt = np.empty_like(ok), np.empty_like(out)
+        dealt_ok[order], dealt[order] = ok, out
+        return dealt_ok, dealt
 
 
 def _write_ranges(rows: DataFrame, name: str, width: int) -> Ranges:
@@ -272,10 +307,10 @@ class Model:
             miss = np.flatnonzero(~ok)
             if len(miss):
                 logs[miss] = self.log_probability(np.stack([chars[at[miss] + j] for j in range(n)], 1))
-            row = np.searchsorted(first, at, "right") - 1
-            edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            total[lo + row[edge]] = np.add.reduceat(logs, edge, axis=0, dtype=np.float64)
-            count[lo + row[edge]] = np.diff(np.append(edge, len(row)))
+            edge = np.searchsorted(at, np.append(first, len(chars)))  # where each row's places begin, and the end
+            row = np.flatnonzero(np.diff(edge))
+            total[lo + row] = np.add.reduceat(logs, edge[row], axis=0, dtype=np.float64)
+            count[lo + row] = np.diff(edge)[row]
         return -total / np.maximum(count, 1)[:, None], count
 
 
@@ -299,15 +334,20 @@ def _by_key(rows: DataFrame, name: str, names: list[str], default: float) -> Dat
     return wide.select(name, F.transform(keys, lambda k: F.coalesce(F.element_at("m", k), F.lit(default))).alias("x"))
 
 
-def fit(docs: DataFrame, **options) -> Model | None:
+def fit(docs: DataFrame, *, order: int = ORDER, **options) -> Model | None:
     """The model of the texts in ``docs`` (``text``), one set of probabilities per value of ``key``; None without
     any n-gram.  Options: text, key, order."""
-    with scratch_scope(docs.sparkSession):
-        return _fit(docs, **options)
+    return fit_counts(gram_counts(docs, order=order, **options), order=order)
+
+
+def fit_counts(counts: DataFrame, *, order: int = ORDER) -> Model | None:
+    """The model of counted n-grams (key, gram, c: a row per key and n-gram of the longest order); None without any."""
+    with scratch_scope(counts.sparkSession):
+        return _fit(counts, order)
 
 
-def _fit(docs: DataFrame, *, text: str = "text", key: str | None = None, order: int = ORDER) -> Model | None:
-    level = saved(gram_counts(docs, text=text, key=key, order=order), "charlm-grams")
+def _fit(counts: DataFrame, order: int) -> Model | None:
+    level = saved(counts, "charlm-grams")
     names = sorted(r[0] for r in level.select("key").distinct().collect())
     if not names:
         return None

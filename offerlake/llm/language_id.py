@@ -111,16 +111,20 @@ def limits(tried: DataFrame) -> dict[str, float]:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Identifier:
     """Models of the languages in ``docs``, over all rows but those of fold 0; calibrated on each of these rows by
     models of the half of the folds that it isn't in."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
-                       fold(doc_id).alias("fold")).filter("lang IS NOT NULL AND fold <> 0")
-    found = Identifier(C.fit(rows, key="lang"))
-    if found.model is None:
-        return found
-    parts = []
-    for half in HALVES:
-        others = C.fit(rows.filter(~F.col("fold").isin(*half)), key="lang")
-        if others is not None:
-            parts.append(trials(rows.filter(F.col("fold").isin(*half)), Identifier(others)))
+    half = F.coalesce(*[F.when(fold(doc_id).isin(*folds), F.lit(i)) for i, folds in enumerate(HALVES)])
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), half.alias("half"))
+    rows = rows.filter("lang IS NOT NULL AND half IS NOT NULL")
+    with scratch_scope(docs.sparkSession):
+        # each text is counted once: the final model's counts are the sums over both halves
+        counts = saved(C.gram_counts(rows, key="lang", split="half"), "language-grams")
+        found = Identifier(C.fit_counts(counts.groupBy("key", "gram").agg(F.sum("c").alias("c"))))
+        if found.model is None:
+            return found
+        parts = []
+        for i in range(len(HALVES)):
+            others = C.fit_counts(counts.filter(F.col("split") != i).groupBy("key", "gram").agg(F.sum("c").alias("c")))
+            if others is not None:
+                parts.append(trials(rows.filter(F.col("half") == i), Identifier(others)))
     if parts:
         with scratch_scope(docs.sparkSession):
             tried = saved(reduce(DataFrame.unionByName, parts), "language-trials")

@@ -276,6 +276,41 @@ def test_character_model_keeps_every_gram(spark, monkeypatch):
     assert np.abs(got - np.log([below[g] for g in grams])).max() < 1e-4
 
 
+def test_language_texts_are_counted_once(spark, monkeypatch):
+    """The final models and those of both halves come from one count of the texts, with the counts of a count each."""
+    from offerlake.llm import _charlm
+
+    rows = [(i, text if i % 3 else text[i % 7:i % 7 + 60], lang) for i in range(60) for lang, text in TEXTS.items()]
+    docs = spark.createDataFrame([(j, t, k) for j, (_, t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    whole, fitted, counted = _charlm.gram_counts, _charlm.fit_counts, []
+    calls = []
+    monkeypatch.setattr(_charlm, "gram_counts", lambda *a, **k: calls.append(k) or whole(*a, **k))
+    monkeypatch.setattr(_charlm, "fit_counts", lambda c, **k: counted.append({(r["key"], r["gram"]): r["c"] for r in c.collect()}) or fitted(c, **k))
+    language_id.learn(docs)
+    assert len(calls) == 1 and len(counted) == 1 + len(language_id.HALVES)
+    learning = docs.withColumn("fold", language_id.fold("doc_id")).filter("fold <> 0")
+    for got, left_out in zip(counted, [(), *language_id.HALVES]):
+        own = whole(learning.filter(~F.col("fold").isin(*left_out)), key="lang").collect()
+        assert got == {(r["key"], r["gram"]): r["c"] for r in own}
+
+
+@pytest.mark.parametrize("letters,owners", [(40, 1), (40, 3), (3000, 5), (70_000, 3)])
+def test_distinct_grams_by_plain_counting(letters, owners):
+    """Narrow and wide alphabets, beyond 64 bits too."""
+    from offerlake.llm import _charlm
+
+    rng = np.random.default_rng(letters)
+    n = 3 * letters
+    chars = (rng.permutation(n) % letters * 3 + 32).astype(np.uint32)
+    chars[: n // 4] = chars[n // 2: n // 2 + n // 4]
+    ok = rng.random(n - 3) < 0.9
+    owner = np.sort(rng.integers(0, owners, n - 3))
+    want = collections.Counter((int(owner[i]), tuple(chars[i:i + 4].tolist())) for i in np.flatnonzero(ok))
+    whose, grams, count = _charlm.distinct_grams(chars, ok, owner, 4)
+    assert len(whose) == len(want) and {(k, tuple(g)): c for k, g, c in zip(whose.tolist(), grams.tolist(), count.tolist())} == want
+    assert len(_charlm.distinct_grams(chars, np.zeros(n - 3, bool), owner, 4)[0]) == 0
+
+
 def test_language_without_rows(empty):
     learned = language_id.learn(empty)
     assert learned.model is None and language_id.identify(empty, learned).count() == 0
