@@ -62,9 +62,10 @@ def salaried_postings(pages: DataFrame, source: str, since=None,
     unreadable list keeps one row with NULL ``posting``), parsed once, with
     ``salaried`` (P1/P2), ``posted_at`` (J5) and ``old`` (older than ``since``)."""
     has_salary = has_salary_a if source == SOURCE_A else has_salary_b
-    posts = (pages.select(*keep, F.posexplode_outer("postings").alias("pos", "posting"))
-             .select(*keep, F.col("pos").cast("int").alias("pos"), "posting",
-                     F.try_parse_json("posting").alias("v")))
+    # parsed inside the list: a filter on the parsed value can't be pushed below the explode and parse it again
+    parsed = F.transform("postings", lambda p: F.struct(p.alias("posting"), F.try_parse_json(p).alias("v")))
+    posts = (pages.select(*keep, F.posexplode_outer(parsed).alias("pos", "_parsed"))
+             .select(*keep, F.col("pos").cast("int").alias("pos"), "_parsed.posting", "_parsed.v"))
     posts = posts.withColumn("salaried", F.coalesce(has_salary(F.col("v")), F.lit(False)))
     posts = with_posted_at(posts, when=F.col("salaried"))
     since_c = since_column(since)
@@ -82,6 +83,19 @@ def page_facts(posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.max(F.col("old")).alias("has_old"))
 
 
+def stop_facts(pages: DataFrame, source: str, since, keys: tuple[str, ...]) -> DataFrame:
+    """What ``run_stops`` reads of located pages, one row per page.
+
+    Without ``since`` a page only tells whether it has a salaried posting (``n_salaried`` 1 or 0): its postings are
+    parsed up to the first one, on the page row.  ``pages`` has one row per value of ``keys``."""
+    if since is not None:
+        return page_facts(salaried_postings(pages, source, since, keep=(*keys, "page_error")), keys)
+    has_salary = has_salary_a if source == SOURCE_A else has_salary_b
+    some = F.exists("postings", lambda p: F.coalesce(has_salary(F.try_parse_json(p)), F.lit(False)))
+    return pages.select(*keys, "page_error", F.coalesce(some, F.lit(False)).cast("bigint").alias("n_salaried"),
+                        F.lit(False).alias("has_old"))
+
+
 def _ranges(first: int, last: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of growing width that cover ``first`` to ``last``."""
     width = FIRST_RANGE
@@ -118,7 +132,7 @@ def find_run_a(landed: DataFrame, *, run_id: str, max_pages: int | None, start_p
     upto, bad = end, None
     for lo, hi in _ranges(start_page, end):
         some = locate_postings(pages.where(F.col("page").between(lo, hi)))
-        last, bad = _stop_of(page_facts(salaried_postings(some, SOURCE_A, since), ("source", "run_id", "page")))
+        last, bad = _stop_of(stop_facts(some, SOURCE_A, since, ("source", "run_id", "page")))
         if last != NO_STOP:
             upto = min(end, last)
             break
@@ -142,8 +156,7 @@ def find_run_b(landed: DataFrame, *, run_id: str, max_pages: int | None, start_p
     keys = ("source", "run_id", "cursor", "next_cursor", "items_count")
     for lo, hi in _ranges(start // step, (top if top is not None else -1) // step):
         some = locate_data_list(pages.where(F.col("cursor").between(lo * step, hi * step + step - 1)))
-        posts = salaried_postings(some, SOURCE_B, since, keep=(*keys, "page_error"))
-        facts = saved(page_facts(posts, keys), "page-facts")
+        facts = saved(stop_facts(some, SOURCE_B, since, keys), "page-facts")
         seen = facts if seen is None else seen.unionByName(facts)
         numbers = saved(cursor_chain(seen, start, max_pages, step, stored=True), "chain")
         end = numbers.agg(F.max("cursor").alias("c"), F.max("page").alias("p")).first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlake.operators.dedup import first_seen
 from offerlake.plans.ingest import plan_run
-from offerlake.sources.tables import LANDED_PAGES, SOURCE_A
+from offerlake.sources.tables import LANDED_PAGES, SOURCE_A, SOURCE_B
 from tests import model
 
 DATE = dt.date(2024, 3, 1)
@@ -152,3 +152,35 @@ def test_details_without_sections_make_none(spark):
     assert "ArrowEvalPython" in _plan(out) and "ArrowEvalPython" not in _plan(told)
     assert {tuple(r) for r in told.collect()} == {(1, True), (2, False), (3, False), (4, False)}
     assert {r["id"]: r["sections"] and r["sections"]["offer_description"] for r in out.collect()} == {1: "x", 2: None, 3: None, 4: None}
+
+
+def _odd_pages(spark):
+    """Located pages of both sources: salaried first, last, not at all, empty, failed, with broken and null postings."""
+    yes = {SOURCE_A: '{"salary":1}', SOURCE_B: '{"salary":1,"employmentTypes":[{"from":0}]}'}
+    no, rows = '{"id":1,"employmentTypes":[{"from":""}]}', []
+    for source, one in yes.items():
+        lists = [[one, no], [no, no, one], [no, no], [], None, [None, "{", one], [None, "{"], [one] * 3]
+        rows += [(source, "r", i, i, "bad" if x is None else None, x) for i, x in enumerate(lists)]
+    return spark.createDataFrame(rows, "source string, run_id string, page int, cursor long, page_error string, postings array<string>")
+
+
+def test_stop_facts_stop_where_page_facts_do(spark):
+    from offerlake.plans.ingest import page_facts, salaried_postings, stop_facts
+
+    keys = ("source", "run_id", "page")
+    for source in (SOURCE_A, SOURCE_B):
+        pages = _odd_pages(spark).where(F.col("source") == source)
+        want = page_facts(salaried_postings(pages, source), keys)
+        for since in (None, dt.datetime(2024, 1, 1)):
+            got = stop_facts(pages, source, since, keys)
+            assert {(r["page"], r["page_error"], r["n_salaried"] > 0, r["has_old"]) for r in got.collect()} == \
+                {(r["page"], r["page_error"], r["n_salaried"] > 0, r["has_old"]) for r in want.collect()}
+        assert got.count() == 8
+
+
+def test_a_filter_does_not_parse_postings_again(spark):
+    from offerlake.plans.ingest import salaried_postings
+
+    kept = salaried_postings(_odd_pages(spark), SOURCE_A, keep=("source", "page")).where("salaried").select("page", "posting")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?i)parse_?json", plan)) == 1
